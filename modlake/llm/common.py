@@ -6,13 +6,15 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but a space or the controls U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,24 +42,52 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def split_words(text: str) -> list[str]:
-    """Words as WORD has them; str.split() alone would also split at other Unicode blanks."""
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
+class WordHashes:
+    """64-bit hashes of the words in UTF-8 bytes, all at once.
 
+    The hash of a word is a polynomial in its bytes: with running sums over the buffer each word costs a difference,
+    and a multiplication by an inverse power takes its place out of it. Long buffers are gone through in segments
+    that end at a blank.
+    """
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number of words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    SEGMENT = 1 << 21
+
+    def __init__(self, blank: np.ndarray = _BLANK, fold: np.ndarray | None = None):
+        self.blank, self.byte = blank, _BYTE if fold is None else _BYTE[fold]
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.up) < n:
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first byte and end of every word."""
+        raw = np.frombuffer(data, np.uint8)
+        found, at = [], 0
+        while at < len(raw):
+            to = min(len(raw), at + self.SEGMENT)
+            while to < len(raw) and not self.blank[raw[to]]:
+                more = np.flatnonzero(self.blank[raw[to : to + self.SEGMENT]])
+                to = to + int(more[0]) if len(more) else min(len(raw), to + self.SEGMENT)
+            found.append(self._segment(raw[at:to], at))
+            at = to
+        if not found:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _segment(self, raw: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._grow(len(raw) + 1)
+        edge = np.ones(len(raw) + 2, np.int8)
+        edge[1:-1] = self.blank[raw]
+        edges = np.flatnonzero(np.diff(edge))
+        start, end = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(self.byte[raw] * self.up[: len(raw)], out=sums[1:])
+            h = mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return h, start + at, end + at
 
 
 def mix(x: np.ndarray) -> np.ndarray:

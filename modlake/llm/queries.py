@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pieces, quality, tokens, urls, vectors
+from . import lines, minhash, packing, pieces, quality, search, substrings, tokens, urls, vectors
 
 
 def _path(name: str) -> str:
@@ -46,15 +46,52 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link_vectors(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.search(spark, docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op9_quality_classifier)
+    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search)
 }
 
 ORACLES: dict[str, str] = {
+    "op10_top_k_search": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM w),
+p AS (SELECT doc_id, t, count(*)::DOUBLE AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w)::DOUBLE AS dl, unnest(w) AS t FROM w) GROUP BY doc_id, t),
+f AS (SELECT t, count(*)::DOUBLE AS df FROM p GROUP BY t),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / n.mean))), 6) AS score
+  FROM p q JOIN f USING (t) JOIN p ON p.t = q.t CROSS JOIN n WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, p.doc_id
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
+    "op8_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM s),
+f AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 13)) AS i FROM k JOIN f USING (g) WHERE f.first < k.doc_id),
+gone AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+""",
     "op2_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL
