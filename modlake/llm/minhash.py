@@ -96,9 +96,9 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same binary, marks binary, keys array<long>")
 
 
-def bag_similarity(a: str, b: str, words: WordHashes, shingle: int = SHINGLE) -> float:
-    """Weighted Jaccard of two texts' shingle bags, exactly; two texts without words are alike."""
-    (x, n), (y, m) = bags_of([a or "", b or ""], words, shingle)
+def overlap(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags, exactly; two empty ones are alike."""
+    (x, n), (y, m) = one, other
     total = int(n.sum() + m.sum())
     if not total:
         return 1.0
@@ -107,6 +107,10 @@ def bag_similarity(a: str, b: str, words: WordHashes, shingle: int = SHINGLE) ->
     return shared / (total - shared)
 
 
+def bag_similarity(a: str, b: str, words: WordHashes, shingle: int = SHINGLE) -> float:
+    return overlap(*bags_of([a or "", b or ""], words, shingle))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, bar: float = BAR, shingle: int = SHINGLE) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts ``(id, text)`` reach the bar; texts are only sent for documents in pairs."""
     kind = dict(pairs.dtypes)["a"]
@@ -121,24 +125,41 @@ def verified(pairs: DataFrame, texts: DataFrame, bar: float = BAR, shingle: int
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(least: float, most: int):
-    """Within one cell of a bucket: pairs of different components whose marks agree enough, best first.
+def _links_across(least: float, bar: float, shingle: int):
+    """Within one cell of a bucket: links between texts that were in different components.
 
-    Of the partners of one document in one component, the ``most`` best not yet tried are given.
+    Pairs whose marks agree enough are verified where they meet, the most alike first, unless a link found before has
+    joined them or an earlier band has brought them together. Only links that join something are sent on.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
-        marks = lambda x: np.frombuffer(b"".join(x["marks"]), np.uint8).reshape(len(x), -1)
-        ml, mr = marks(left), marks(right)
-        il, ir, cl, cr = left["id"].to_numpy(), right["id"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-        out = []
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        side, band = pdf["side"].to_numpy(), int(pdf["band"].iloc[0])
+        marks = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), -1)
+        keys, root = np.stack(pdf["keys"]), np.unique(pdf["component"], return_inverse=True)[1]
+        words, bags, links = WordHashes(), {}, []
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = bags_of([pdf["text"].iloc[i] or ""], words, shingle)[0]
+            return bags[i]
+
         for at in range(0, len(left), 64):
-            for to in range(0, len(right), 1024):
-                alike = (ml[at : at + 64, None, :] == mr[None, to : to + 1024, :]).mean(axis=2)
-                i, j = np.nonzero((alike >= least) & (cl[at : at + 64, None] > cr[None, to : to + 1024]))
-                out.append(pd.DataFrame({"a": il[at + i], "b": ir[to + j], "other": cr[to + j], "alike": alike[i, j]}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": il[:0], "b": il[:0], "other": il[:0], "alike": []})
-        return found.sort_values("alike", ascending=False, kind="stable").groupby(["a", "other"]).head(most)[["a", "b", "alike"]]
+            own = left[at : at + 64]
+            i, j = np.nonzero(root[own][:, None] != root[right][None, :])
+            i, j = own[i], right[j]
+            if side[0] == 2:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 65_536):
+                x, y = i[k : k + 65_536], j[k : k + 65_536]
+                alike = (marks[x] == marks[y]).mean(axis=1)
+                good = (alike >= least) & ~(keys[x, :band] == keys[y, :band]).any(axis=1)
+                x, y, alike = x[good], y[good], alike[good]
+                for x, y in zip(*(z[np.argsort(-alike, kind="stable")].tolist() for z in (x, y))):
+                    if root[x] != root[y] and overlap(bag(x), bag(y)) >= bar:
+                        links.append((pdf["id"].iloc[x], pdf["id"].iloc[y]))
+                        root[root == root[y]] = root[x]
+        return pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -147,13 +168,13 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, bar: float =
     """``same, class_id`` for each distinct text (by digest): the smallest doc_id that chains of links reach.
 
     1. Documents with the same text become one, by digest, so copies never meet in a bucket.
-    2. In each bucket every text is paired with the bucket's first one; each text's most frequent such partner is
-       verified, then the other partners, but for pairs that links have already joined.
-    3. Buckets whose texts are then still in several components are gone through in cells: pairs across components
-       whose signatures agree well enough are verified in rounds of growing size, until none is left.
+    2. In each bucket every text is paired with the bucket's first one, and each text's most frequent such partner is
+       verified.
+    3. Buckets whose texts are then still in several components are gone through in cells of bounded size: pairs
+       across components whose signatures agree well enough are verified there.
 
     Nothing is capped: every pair that shares a bucket is joined by links, verified, or estimated at over four
-    standard deviations under the bar. Pairs sent are at most a few for each text and component.
+    standard deviations under the bar. What is sent is one pair per text, the texts of mixed buckets, and links.
     """
     kind = dict(docs.dtypes)["doc_id"]
     sigs = scratch.write(signatures(docs.where("doc_id is not null"), bands, rows, shingle))
@@ -170,39 +191,20 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, bar: float =
     best = scratch.write(best)
     links = scratch.write(verified(best, texts, bar, shingle))
 
-    def joined() -> DataFrame:
-        return scratch.write(components(spark, links, scratch))
-
-    def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        own, other = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(own, "a", "left").join(other, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    comp = joined()
-    tried = best
-    rest = scratch.write(across(star.select("a", "b").join(best, ["a", "b"], "left_anti"), comp))
-    if not rest.isEmpty():
-        links = scratch.write(links.unionByName(verified(rest, texts, bar, shingle)))
-        tried = scratch.write(best.unionByName(rest))
-        comp = joined()
+    comp = scratch.write(components(spark, links, scratch))
+    other = members.where("n = 2 and id <> low").join(best, (F.col("id") == F.col("a")) & (F.col("low") == F.col("b")), "left_anti").select("band", "key")
+    open_ = members.where("n > 2").unionByName(members.join(other, ["band", "key"], "left_semi"))  # of two texts that were verified, no more is to be found
+    of = open_.join(comp, "id", "left").select("band", "key", "n", "id", F.coalesce("component", "id").alias("component"))
+    mixed = of.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
     sigma = (bar * (1 - bar) / (bands * rows)) ** 0.5
-    most = 4
-    while True:
-        of = members.join(comp, "id", "left").select("band", "key", "n", "id", F.coalesce("component", "id").alias("component"))
-        mixed = of.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("k")).where("x <> y and k > 2").select("band", "key")
-        cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-        of = of.join(mixed, ["band", "key"]).withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-        cell = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.least("own", c).alias("row"), F.greatest("own", c).alias("col"), F.when(F.col("own") == c, 2).when(F.col("own") < c, 0).otherwise(1).alias("side")))
-        of = of.withColumn("c", F.explode(cell)).select("band", "key", "c.*", "id", "component").join(one.select("id", "marks"), "id")
-        # both orders matter in a cell of two blocks, since the larger component asks
-        both = of.unionByName(of.where("side <> 2").withColumn("side", 1 - F.col("side")).withColumn("row", -1 - F.col("row")))
-        found = both.groupBy("band", "key", "row", "col").applyInPandas(_cross_pairs(bar - 4.5 * sigma, most), f"a {kind}, b {kind}, alike double")
-        new = scratch.write(found.select("a", "b").distinct().join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        links = scratch.write(links.unionByName(verified(new, texts, bar, shingle)))
-        tried = scratch.write(tried.unionByName(new))
-        comp = joined()
-        most *= 8
+    of = of.join(mixed, ["band", "key"]).withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.least("own", c).alias("row"), F.greatest("own", c).alias("col"), F.when(F.col("own") == c, 2).when(F.col("own") < c, 0).otherwise(1).alias("side")))
+    of = scratch.write(of.withColumn("c", F.explode(cell)).select("band", "key", "c.*", "id", "component"))
+    looks = one.select("id", "marks", "keys").join(texts.select("id", "text"), "id")
+    cells = of.join(looks, "id").groupBy("band", "key", "row", "col")
+    more = scratch.write(cells.applyInPandas(_links_across(bar - 4.5 * sigma, bar, shingle), f"a {kind}, b {kind}"))
+    if not more.isEmpty():
+        comp = scratch.write(components(spark, links.unionByName(more), scratch))
     scratch.free(texts)
     named = one.join(comp, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("component", "id").alias("class_id"), "n")
     return sigs.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
