@@ -1,10 +1,246 @@
-"""Registered queries over the synthetic tables, each with its SQL equivalent where SQL can express it."""
+"""Registered queries over the synthetic tables, each with SQL for DuckDB that says the same independently.
+
+The decision log is ``events`` under other names: error is a reject, click a revision, view and purchase allow, signup
+is a decision of its own. Evaluation rows are labelled documents with a deterministic stand-in score.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, corpus, decision, evaluation, gate, vision
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def log(self) -> DataFrame:
+        d = F.when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "click", "revise").when(F.col("event_type").isin("view", "purchase"), "allow").otherwise("escalate")
+        m = F.when(F.col("event_id") % 5 == 1, "image").when(F.col("event_id") % 5 > 1, "text")
+        return self.events.select(F.col("event_id").alias("request_id"), "user_id", d.alias("decision"), m.alias("modality"), F.col("value").alias("latency_ms"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("created_at"), "ts", F.col("props").alias("preview"))
+
+    @property
+    def scored(self) -> DataFrame:
+        return self.documents.join(self.labels, "doc_id").select("doc_id", "lang", "source", F.col("toxic").alias("y"), "quality", T.code_sum_score(F.col("text")).alias("p"))
+
+    @property
+    def images(self) -> DataFrame:
+        return self.embeddings.withColumn("u", vision.unit(F.col("embedding")))
+
+
+LOG = """WITH log AS (SELECT event_id AS request_id, user_id, CASE event_type WHEN 'error' THEN 'reject' WHEN 'click' THEN 'revise' WHEN 'view' THEN 'allow'
+ WHEN 'purchase' THEN 'allow' ELSE 'escalate' END AS decision, CASE WHEN event_id % 5 = 1 THEN 'image' WHEN event_id % 5 > 1 THEN 'text' END AS modality,
+ value AS latency_ms, floor(epoch(ts)) AS created_at, ts, props AS preview FROM events) """
+SCORED = """WITH scored AS (SELECT doc_id, lang, source, toxic AS y, quality, list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 1000 / 1000.0 AS p
+ FROM documents JOIN labels USING (doc_id)) """
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# -- decision log ------------------------------------------------------------------------------------------------------
+query("a1_a2_kpis", LOG + """SELECT coalesce(modality, 'text') AS modality, count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, count(*) FILTER (decision = 'revise') AS revised,
+ count(*) FILTER (decision = 'reject') AS rejected, round(count(*) FILTER (decision = 'reject') / nullif(count(*) FILTER (decision IN ('allow','revise','reject')), 0), 4) AS reject_rate FROM log GROUP BY 1""")(lambda t: audit.kpis(t.log))
+query("a3_log_span", LOG + "SELECT min(created_at) AS first_at, max(created_at) AS last_at FROM log WHERE decision = 'reject'")(lambda t: t.log.where(audit.where_log(decision="Reject")).agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")))
+query("a4_f9_filtered_kpis", LOG + "SELECT coalesce(modality,'text') AS modality, count(*) AS n FROM log WHERE preview ILIKE '%7%' AND created_at >= 1704500000 AND created_at < 1706000000 GROUP BY 1")(
+    lambda t: t.log.where(audit.where_log(search="7", since=1704500000, until=1706000000, columns=("preview",))).groupBy(F.coalesce("modality", F.lit("text")).alias("modality")).agg(F.count("*").alias("n")))
+query("a5_repeat_offenders", LOG + """SELECT user_id, count(*) AS total, count(*) FILTER (decision='reject') AS rejected, max(created_at) AS last_seen, round(count(*) FILTER (decision='reject')/count(*),4) AS rate
+ FROM log WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (decision='reject') >= 5 AND count(*) FILTER (decision='reject')/count(*) >= 0.2""")(lambda t: audit.repeat_offenders(t.log, 5, 0.2))
+query("a6_member_record", LOG + "SELECT count(*) AS total, coalesce(sum(CASE WHEN decision='reject' THEN 1 ELSE 0 END),0)::BIGINT AS rejected FROM log WHERE user_id = 7")(
+    lambda t: t.log.where(audit.where_log(user="7")).agg(F.count("*").alias("total"), F.coalesce(F.sum(F.when(F.col("decision") == "reject", 1).otherwise(0)), F.lit(0)).alias("rejected")))
+query("a7_traffic_health", LOG + """, g AS (SELECT coalesce(modality,'text') AS modality, count(*) AS n, count(*) FILTER (decision='reject') AS rejected, round(avg(latency_ms),6) AS avg_ms, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL)) AS v FROM log GROUP BY 1)
+ SELECT modality, n, rejected, avg_ms, v[least(len(v)-1, floor(len(v)*0.95))::INT + 1] AS p95_ms FROM g""")(lambda t: audit.health(t.log))
+query("a49_count_matching", LOG + "SELECT count(*) AS n FROM log WHERE decision='revise' AND coalesce(modality,'text')='image'")(lambda t: t.log.where(audit.where_log(decision="revise", modality="image")).agg(F.count("*").alias("n")))
+query("k6_latest_per_user", LOG + "SELECT user_id, max(request_id) AS request_id FROM log GROUP BY 1")(lambda t: audit.latest(t.log, "user_id", "request_id").select("user_id", "request_id"))
+query("k7_log_projection", LOG + """SELECT request_id, CASE decision WHEN 'reject' THEN 'high' WHEN 'revise' THEN 'medium' ELSE 'none' END AS severity, left(preview, 5) || CASE WHEN length(preview) > 5 THEN '...' ELSE '' END AS preview,
+ strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || ' UTC' AS decided_at FROM log""")(
+    lambda t: t.log.select("request_id", F.when(F.col("decision") == "reject", "high").when(F.col("decision") == "revise", "medium").otherwise("none").alias("severity"), T.preview(F.col("preview"), 5).alias("preview"), T.stamp(F.col("created_at")).alias("decided_at")))
+query("w11_page", LOG + "SELECT request_id, created_at FROM log ORDER BY created_at DESC, request_id DESC LIMIT 25 OFFSET 50")(lambda t: t.log.select("request_id", "created_at").orderBy(F.desc("created_at"), F.desc("request_id")).offset(50).limit(25))
+query("w13_page_arithmetic", LOG + "SELECT decision, count(*) AS n, ceil(count(*) / 25.0)::BIGINT AS pages FROM log GROUP BY 1")(lambda t: t.log.groupBy("decision").agg(F.count("*").alias("n")).withColumn("pages", F.ceil(F.col("n") / 25)))
+query("r4_hourly_health", LOG + "SELECT date_trunc('hour', ts) AS hour, coalesce(modality,'text') AS modality, count(*) AS n, count(*) FILTER (decision='reject') AS rejected, round(avg(latency_ms),6) AS avg_ms FROM log GROUP BY 1,2")(
+    lambda t: jobs.hourly_health(t.log).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "modality", "n", "rejected", "avg_ms"))
+query("r5_sliding_offenders", LOG + """SELECT user_id, w AS start, count(*) AS total, count(*) FILTER (decision='reject') AS rejected FROM (SELECT *, unnest(range(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS w FROM log)
+ GROUP BY 1,2 HAVING count(*) FILTER (decision='reject') >= 3""")(lambda t: jobs.sliding_offenders(t.log, 3).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "total", "rejected"))
+query("r10_decision_mix", LOG + """, d AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (decision='reject') AS rejected FROM log GROUP BY 1), m AS (SELECT sum(rejected)/sum(n) AS p FROM d)
+ SELECT day::VARCHAR AS day, n, rejected, round(rejected/n,6) AS share, round(greatest(0.0, p-3*sqrt(p*(1-p)/n)),6) AS low, round(p+3*sqrt(p*(1-p)/n),6) AS high FROM d, m""")(lambda t: jobs.decision_mix(t.log).withColumn("day", F.col("day").cast("string")))
+query("j15_blocked_flags", LOG + "SELECT user_id, count(*) AS n, user_id % 10 = 3 AS blocked FROM log WHERE user_id IS NOT NULL GROUP BY 1")(
+    lambda t: t.log.groupBy("user_id").agg(F.count("*").alias("n")).join(t.log.select("user_id").distinct().where("user_id % 10 = 3").withColumn("b", F.lit(True)), "user_id", "left").where("user_id is not null").select("user_id", "n", F.coalesce("b", F.lit(False)).alias("blocked")))
+query("f14_blocklist_priority", LOG + """SELECT request_id, CASE WHEN user_id % 10 = 3 THEN 'member' WHEN request_id % 7 = 0 THEN 'ip' WHEN request_id % 49 < 14 THEN 'network' END AS scope FROM log""")(
+    lambda t: t.log.select("request_id", F.when(F.col("user_id") % 10 == 3, "member").when(F.col("request_id") % 7 == 0, "ip").when(F.col("request_id") % 49 < 14, "network").alias("scope")))
+query("j25_run_delta", LOG + """, d AS (SELECT decision, ts::DATE AS day, count(*) AS n FROM log GROUP BY 1,2) SELECT decision, day::VARCHAR AS day, n, n - lag(n) OVER (PARTITION BY decision ORDER BY day) AS delta FROM d""")(
+    lambda t: t.log.groupBy("decision", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).select("decision", F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n").over(Window.partitionBy("decision").orderBy("day"))).alias("delta")))
+query("w19_keep_last", LOG + "SELECT user_id, request_id FROM (SELECT user_id, request_id, row_number() OVER (PARTITION BY user_id ORDER BY request_id DESC) AS r FROM log) WHERE r <= 3")(lambda t: corpus.capped(t.log, "user_id", 3, F.desc("request_id")).select("user_id", "request_id"))
+
+# -- text functions ----------------------------------------------------------------------------------------------------
+query("p25_p26_p27_keys", r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS k, left(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z# ]', '', 'g'), 160) AS s,
+ md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS l FROM documents""")(
+    lambda t: t.documents.select("doc_id", F.md5(T.norm_key(F.col("text"))).alias("k"), T.skeleton(F.col("text")).alias("s"), F.md5(T.leak_key(F.col("text"))).alias("l")))
+query("p15_p31_p32_readings", r"""SELECT doc_id, sha256(text) AS sha, left(text, 250) || CASE WHEN length(text) > 250 THEN '...' ELSE '' END AS preview, right(CASE WHEN regexp_matches(rtrim(text), '[^.!?।॥]$') THEN rtrim(text) || '.' ELSE text END, 12) AS tail FROM documents""")(
+    lambda t: t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), T.preview(F.col("text")).alias("preview"), F.right(T.with_terminator(F.col("text")), F.lit(12)).alias("tail")))
+query("p29_unleet", "SELECT doc_id, md5(translate(text, '$@013457!', 'saoieasti')) AS m FROM documents")(lambda t: t.documents.select("doc_id", F.md5(T.unleet(F.col("text"))).alias("m")))
+query("p11_word_windows", """SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, '|')) AS m FROM (SELECT doc_id, list_transform(list_filter(range(0, len(ws), 8), lambda i: i = 0 OR i + 8 < len(ws)), lambda i: array_to_string(ws[i+1:i+16], ' ')) AS w
+ FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM documents))""")(
+    lambda t: t.documents.select("doc_id", T.windows(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""), 16, 8).alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", "|")).alias("m")))
+query("p17_hashtags", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(p_type, ' ', '_') || p_size, '__', '_'), '_+', ' ', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')) AS words FROM part""")(
+    lambda t: t.part.select("p_partkey", T.hashtag_words(F.concat(F.lit("#"), F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))).alias("words")))
+query("p19_canonical_hashtag", """SELECT p_partkey, left(lower(w[1]) || array_to_string(list_transform(w[2:], lambda x: upper(left(x,1)) || substring(x, 2)), ''), 50) AS tag FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_name, '[^A-Za-z0-9]+'), lambda x: x <> '') AS w FROM part)""")(
+    lambda t: t.part.select("p_partkey", T.canonical_hashtag(F.col("p_name")).alias("tag")))
+query("p28_swap_pronoun", r"""SELECT doc_id, md5(o) AS m FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\bthe\b', 'their', 'g'), '\bThe\b', 'Their', 'g') AS o FROM documents WHERE lang = 'en') WHERE o <> text AND NOT regexp_matches(text, '[^\x00-\x7F]')""")(
+    lambda t: t.documents.where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.md5(T.swap_pronoun(F.col("text"), "the", "their")).alias("m")).where("m is not null"))
+query("p35_network", "SELECT c_custkey, '10.' || c_custkey % 256 || '.' || c_nationkey || '.0/24' AS network FROM customer")(lambda t: t.customer.select("c_custkey", T.network_of(F.concat_ws(".", F.lit("10"), F.col("c_custkey") % 256, "c_nationkey", F.lit("9"))).alias("network")))
+query("p37_caller", "SELECT c_custkey, 'a' || c_nationkey AS caller FROM customer")(lambda t: t.customer.select("c_custkey", T.caller(F.lit("peer"), F.concat(F.lit("x, a"), F.col("c_nationkey"), F.lit(" , proxy")), 2).alias("caller")))
+query("p34_parse_when", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE floor(epoch(ts))::DOUBLE END AS at FROM events")(
+    lambda t: t.events.select("event_id", T.parse_when(F.when(F.col("event_id") % 3 == 0, F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")).alias("at")))
+query("p40_p41_names", "SELECT n_regionkey, CASE WHEN count(*) = 1 THEN any_value(n_name) ELSE array_to_string(list_sort(list(n_name))[1:count(*)-1], ', ') || ' and ' || list_sort(list(n_name))[-1] END AS names FROM nation GROUP BY 1")(
+    lambda t: t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("l")).select("n_regionkey", T.and_list(F.col("l")).alias("names")))
+query("p39_severity", SCORED + "SELECT doc_id, CASE WHEN p <= 0.3 THEN 'none' WHEN p >= 0.8 THEN 'critical' WHEN p >= 0.7 THEN 'high' ELSE 'medium' END AS severity FROM scored")(
+    lambda t: t.scored.select("doc_id", decision.severity_of(F.col("p"), decision.name_of(decision.route(F.col("p"), F.lit(0.3), F.lit(0.7))), F.lit(0.7)).alias("severity")))
+query("p47_logit", SCORED + "SELECT doc_id, round(ln(least(greatest(p,1e-6),1-1e-6)/(1-least(greatest(p,1e-6),1-1e-6))),6) AS z FROM scored")(lambda t: t.scored.select("doc_id", F.round(T.logit(F.col("p")), 6).alias("z")))
+query("p56_wilson", SCORED + """, g AS (SELECT source, count(*)::DOUBLE AS n, sum(y)/count(*) AS p FROM scored GROUP BY 1) SELECT source, round((p+3.8416/(2*n)-1.96*sqrt(p*(1-p)/n+3.8416/(4*n*n)))/(1+3.8416/n),6) AS low, round((p+3.8416/(2*n)+1.96*sqrt(p*(1-p)/n+3.8416/(4*n*n)))/(1+3.8416/n),6) AS high FROM g""")(
+    lambda t: t.scored.groupBy("source").agg(F.sum("y").alias("k"), F.count("*").alias("n")).select("source", F.round(T.wilson(F.col("k"), F.col("n"))[0], 6).alias("low"), F.round(T.wilson(F.col("k"), F.col("n"))[1], 6).alias("high")))
+query("p20_join_parts", "SELECT p_partkey, p_name || chr(10) || chr(10) || p_brand AS content, length(p_name) + 2 AS brand_at FROM part")(lambda t: t.part.select("p_partkey", F.concat_ws("\n\n", "p_name", "p_brand").alias("content"), (F.length("p_name") + 2).cast("long").alias("brand_at")))
+query("s17_json_request", "SELECT event_id, (props->>'$.k')::INT AS k FROM events")(lambda t: t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k")))
+query("w3_bigrams", """SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS g FROM (SELECT string_split(p_name, ' ') AS w FROM part)) GROUP BY 1""")(
+    lambda t: t.part.select(F.split("p_name", " ").alias("w")).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).alias("g")).groupBy("g").agg(F.count("*").alias("n")))
+query("w4_char_grams", """SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(p)-1), lambda i: substring(p, i, 3)), list_concat(list_transform(range(1, length(p)-2), lambda i: substring(p, i, 4)), list_transform(range(1, length(p)-3), lambda i: substring(p, i, 5))))) AS g
+ FROM (SELECT ' ' || p_name || ' ' AS p FROM part)) GROUP BY 1""")(lambda t: t.part.select(F.explode(T.char_grams(F.col("p_name"))).alias("g")).groupBy("g").agg(F.count("*").alias("n")))
+
+
+@query("a40_m7_linear_probability")
+def _linear(t: Tables) -> DataFrame:
+    """Hashed n-grams, L2-normalised, dotted with weights that are a fixed function of the bucket."""
+    grams = t.part.select("p_partkey", F.explode(T.char_grams(F.col("p_name"))).alias("g")).groupBy("p_partkey", T.bucket(F.col("g")).alias("b")).agg(F.count("*").alias("c"))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")))
+    weights = grams.select("b").distinct().withColumn("w", (F.pmod(F.xxhash64("b"), F.lit(2001)) - 1000) / 500.0)
+    return grams.join(weights, "b").groupBy("p_partkey").agg(F.round(T.sigmoid(F.sum(F.col("c") * F.col("w")) / norm), 6).alias("p"))
+
+
+# -- gate and cascade --------------------------------------------------------------------------------------------------
+query("f2_f3_f6_gate", r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^\w])(idiots?|scums?|morons?)($|[^\w])') OR blocked2 AS blocked FROM (SELECT *, regexp_matches(lower(text), '(^|[^\w])akia[0-9a-z]{16}($|[^\w])')
+ OR len(list_filter(regexp_split_to_array(lower(text), '[.!?]+\s|[.!?]+$|[।॥]+'), lambda s: regexp_matches(s, '(^|[^\w])(yous?|theys?|hes?|shes?|it)($|[^\w])') AND regexp_matches(s, '(^|[^\w])(pathetics?|useless(es)?)($|[^\w])'))) > 0 AS blocked2 FROM documents)""")(
+    lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select("doc_id", "blocked"))
+query("f5_gate_rules_hit")(lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select(F.explode("gate_matches").alias("m")).groupBy("m.rule_id", "m.action").agg(F.count("*").alias("docs"), F.sum("m.hits").alias("hits")))
+
+
+@query("x3_cascade")
+def _cascade(t: Tables) -> DataFrame:
+    levels = t.spark.createDataFrame([("src3", False, None, None), ("src4", True, 0.5, 0.9)], "surface string, enabled boolean, allow_max double, reject_min double")
+    return decision.cascade(t.documents.withColumnRenamed("source", "surface"), gate.DEFAULT_RULES, T.code_sum_score, levels)
+
+
+query("x1_x2_route", SCORED + "SELECT doc_id, CASE greatest(CASE WHEN p <= 0.3 THEN 0 WHEN p >= 0.7 THEN 2 ELSE 1 END, quality) WHEN 0 THEN 'allow' WHEN 1 THEN 'revise' ELSE 'reject' END AS decision FROM scored")(
+    lambda t: t.scored.select("doc_id", decision.name_of(decision.route(F.col("p"), F.lit(0.3), F.lit(0.7), F.col("quality"))).alias("decision")))
+query("j22_threshold_default", "SELECT doc_id, coalesce(CASE source WHEN 'src1' THEN 0.4 WHEN 'src2' THEN 0.6 END, 0.5)::DOUBLE AS bar FROM documents")(
+    lambda t: t.documents.join(F.broadcast(t.spark.createDataFrame([("src1", 0.4), ("src2", 0.6)], "source string, bar double")), "source", "left").select("doc_id", F.coalesce("bar", F.lit(0.5)).alias("bar")))
+query("m3_stub_score", "SELECT doc_id, list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 1000 / 1000.0 AS p FROM documents WHERE text <> ''")(lambda t: t.documents.where("text <> ''").select("doc_id", T.code_sum_score(F.col("text")).alias("p")))
+query("m5_scored_once", "SELECT count(*) AS rows, count(DISTINCT text) AS calls FROM documents")(lambda t: t.documents.agg(F.count("*").alias("rows"), F.count_distinct("text").alias("calls")))
+
+# -- corpus ------------------------------------------------------------------------------------------------------------
+SPLIT = "('0x' || left(md5({}), 8))::BIGINT / 4294967295.0"
+query("t1_split", f"SELECT doc_id, CASE WHEN u < 0.06 THEN 'test' WHEN u < 0.12 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, {SPLIT.format('text')} AS u FROM documents)")(lambda t: t.documents.select("doc_id", corpus.split_of(F.col("text"), 0.06, 0.06).alias("split")))
+query("w1_first_wins", r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))")(lambda t: corpus.first_wins(t.documents.withColumn("k", T.norm_key(F.col("text"))), "k", "doc_id").select("doc_id"))
+query("w2_u4_distinct_by_source", "SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY 1")(lambda t: t.documents.dropDuplicates(["text", "source"]).groupBy("source").agg(F.count("*").alias("n")))
+query("t3_f19_cap", "SELECT source, least(count(*), 30) AS n FROM documents GROUP BY 1")(lambda t: corpus.capped(t.documents, "source", 30, F.xxhash64("doc_id"), "doc_id").groupBy("source").agg(F.count("*").alias("n")))
+query("a22_one_label", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING min(quality) <> max(quality))")(
+    lambda t: corpus.one_label(t.documents.join(t.labels, "doc_id").withColumn("k", F.md5("text")), "k", "quality").select("doc_id"))
+query("j1_leak_guard", "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")(lambda t: corpus.without_leaks(t.documents, t.documents.where("doc_id % 10 = 0"), "text").select("doc_id"))
+query("j3_precedence_map", "SELECT text, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")(lambda t: corpus.most_of(t.documents, "text", "lang", "doc_id"))
+query("j4_masks", """SELECT doc_id, a.quality AS y_a, a.quality IS NOT NULL AS m_a, b.toxic AS y_b, b.toxic IS NOT NULL AS m_b FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b USING (doc_id)""")(
+    lambda t: t.labels.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("y_a")).join(t.labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y_b")), "doc_id", "full").withColumns({"m_a": F.col("y_a").isNotNull(), "m_b": F.col("y_b").isNotNull()}))
+query("j6_leak_sources", "SELECT md5(text) AS k, count(DISTINCT source) AS sources, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda t: t.documents.groupBy(F.md5("text").alias("k")).agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n")).where("n > 1"))
+query("j8_label_conflicts", "SELECT md5(text) AS k FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT toxic) > 1")(lambda t: t.documents.join(t.labels, "doc_id").groupBy(F.md5("text").alias("k")).agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).where("a <> b").select("k"))
+query("j9_markers", "SELECT doc_id FROM documents WHERE contains(text, 'License') OR contains(text, 'rights reserved')")(lambda t: t.documents.where(F.exists(F.array(F.lit("License"), F.lit("rights reserved")), lambda m: F.contains(F.col("text"), m))).select("doc_id"))
+query("j10_first_prefix", "SELECT doc_id, CASE WHEN starts_with(text, 'In') THEN 'in' WHEN starts_with(text, 'I') THEN 'i' WHEN starts_with(text, 'The') THEN 'the' ELSE 'unmatched' END AS rule FROM documents")(
+    lambda t: t.documents.select("doc_id", F.coalesce(*[F.when(F.col("text").startswith(p), n) for p, n in (("In", "in"), ("I", "i"), ("The", "the"))], F.lit("unmatched")).alias("rule")))
+query("j13_sync", """SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'rule_only' WHEN a.source IS NULL THEN 'pictures_only' WHEN a.n = b.n THEN 'in_sync' ELSE 'disagree' END AS state FROM (SELECT source, count(*) AS n FROM documents WHERE lang='en' GROUP BY 1) a
+ FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang='de' GROUP BY 1) b ON a.source = b.source""")(
+    lambda t: t.documents.where("lang='en'").groupBy("source").agg(F.count("*").alias("a")).join(t.documents.where("lang='de'").groupBy("source").agg(F.count("*").alias("b")), "source", "full").select("source", F.when(F.col("b").isNull(), "rule_only").when(F.col("a").isNull(), "pictures_only").when(F.col("a") == F.col("b"), "in_sync").otherwise("disagree").alias("state")))
+query("w6_oversample", "SELECT source, (count(*) * 5)::BIGINT AS n FROM documents WHERE lang = 'es' GROUP BY 1")(lambda t: t.documents.where("lang='es'").select("source", F.explode(F.sequence(F.lit(1), F.lit(5)))).groupBy("source").agg(F.count("*").alias("n")))
+query("u3_aligned_union", "SELECT doc_id, lang, '' AS url FROM documents UNION ALL SELECT page_id, '', url FROM pages")(lambda t: t.documents.select("doc_id", "lang").unionByName(t.pages.select(F.col("page_id").alias("doc_id"), "url"), allowMissingColumns=True).na.fill(""))
+query("u5_intersection", "SELECT DISTINCT user_id FROM events WHERE event_type='error' AND user_id IN (SELECT user_id FROM events WHERE event_type='signup')")(lambda t: t.events.where("event_type='error'").select("user_id").intersect(t.events.where("event_type='signup'").select("user_id")))
+query("u7_superset_check", "SELECT count(*) AS missing FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")(lambda t: t.labels.select("doc_id").subtract(t.documents.select("doc_id")).agg(F.count("*").alias("missing")))
+query("a26_word_lift", r"SELECT lang, round(avg(CASE WHEN regexp_matches(text, '(?i)(^|[^\w])the($|[^\w])') THEN toxic END) / nullif(avg(toxic), 0), 6) AS lift FROM documents JOIN labels USING (doc_id) WHERE lang='en' GROUP BY 1")(
+    lambda t: t.documents.where("lang='en'").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.try_divide(F.avg(F.when(F.col("text").rlike(r"(?i)(^|[^\w])the($|[^\w])"), F.col("toxic"))), F.avg("toxic")), 6).alias("lift")))
+query("f21_multi_sentence", r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[.!?\n]')) >= 4")(lambda t: t.documents.where(F.regexp_count("text", F.lit(r"[.!?\n]")) >= 4).select("doc_id"))
+query("t12_folds")(lambda t: t.documents.select("doc_id", F.pmod(F.xxhash64(F.md5("text")), F.lit(5)).alias("fold")))
+query("a8_a10_category_stats", "SELECT n_name, count(c_custkey) AS customers, count(*) FILTER (c_acctbal < 0) AS negative, count(*) FILTER (c_mktsegment = 'NONE') = 0 AS withdrawn FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")(
+    lambda t: t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), (F.count_if(F.col("c_mktsegment") == "NONE") == 0).alias("withdrawn")))
+query("a52_counts_by_source", "SELECT source, count(*) AS n FROM documents GROUP BY 1")(lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source"))
+
+# -- evaluation --------------------------------------------------------------------------------------------------------
+METRICS = """count(*) AS n, count(*) FILTER (p>=0.5 AND y=1) AS tp, count(*) FILTER (p>=0.5 AND y=0) AS fp, count(*) FILTER (p<0.5 AND y=1) AS fn, count(*) FILTER (p<0.5 AND y=0) AS tn"""
+RATIOS = """n,tp,fp,fn,tn, round((tp+tn)/n,6) AS accuracy, round(coalesce(tp/nullif(tp+fp,0),0),6) AS precision, round(coalesce(tp/nullif(tp+fn,0),0),6) AS recall, round(coalesce(2*tp/nullif(2*tp+fp+fn,0),0),6) AS f1"""
+query("a13_binary_metrics", SCORED + f"SELECT {RATIOS} FROM (SELECT {METRICS} FROM scored)")(lambda t: evaluation.binary(t.scored, 0.5))
+query("a17_a18_metrics_by_source", SCORED + f"SELECT source, {RATIOS} FROM (SELECT source, {METRICS} FROM scored GROUP BY 1)")(lambda t: evaluation.binary(t.scored, 0.5, "source"))
+query("a12_breakdowns", SCORED + "SELECT lang, source, count(*) AS n, count(*) FILTER ((p>=0.5) = (y=1)) AS good FROM scored GROUP BY GROUPING SETS ((), (lang), (source))")(
+    lambda t: t.scored.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("good")))
+query("a15_calibration", SCORED + "SELECT greatest(ceil(p*15)-1,0)::INT AS bin, count(*) AS n, round(avg(p),6) AS mean_p, round(avg(y),6) AS mean_y FROM scored GROUP BY 1")(lambda t: evaluation.calibration(t.scored, 15))
+for _n, _closed, _bin, _where in (("a14a_ece", "right", "greatest(ceil(p*15)-1,0)", "true"), ("a14b_ece", "left", "least(floor(p*15),14)", "true"), ("a14c_ece", "drop", "greatest(ceil(p*15)-1,0)", "p > 0")):
+    query(_n, SCORED + f"SELECT round(sum(n*abs(a-b))/sum(n),4) AS ece FROM (SELECT {_bin} AS k, count(*) AS n, avg(p) AS a, avg(y) AS b FROM scored WHERE {_where} GROUP BY 1)")(lambda t, c=_closed: evaluation.ece(t.scored, 15, c))
+query("a16_auc", SCORED + "SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)/count(*),6) AS auc FROM scored a, scored b WHERE a.y=1 AND b.y=0")(lambda t: evaluation.auc(t.scored))
+GRID = [round(0.05 * i, 2) for i in range(1, 20)]
+SWEEP = SCORED + ", g AS (SELECT unnest([" + ",".join(map(str, GRID)) + "])::DOUBLE AS threshold), s AS (SELECT threshold, count(*) FILTER (p < threshold) AS skipped, sum(CASE WHEN p < threshold THEN y ELSE 0 END)::BIGINT AS missed FROM g, scored GROUP BY 1) "
+query("a27_a30_sweep", SWEEP + "SELECT * FROM s")(lambda t: evaluation.sweep(t.scored, GRID))
+query("a28_a29_best_threshold", SWEEP + "SELECT max(threshold) AS threshold FROM s WHERE missed <= 0.25 * (SELECT sum(y) FROM scored)")(
+    lambda t: evaluation.sweep(t.scored, GRID).join(t.scored.agg(F.sum("y").alias("all")), F.col("missed") <= 0.25 * F.col("all")).agg(F.max("threshold").alias("threshold")))
+query("a36_saturation", SCORED + "SELECT round(avg((p<0.01 OR p>0.99)::INT),6) AS saturated, round(avg((p BETWEEN 0.3 AND 0.7)::INT),6) AS middle FROM scored")(lambda t: t.scored.agg(F.round(F.avg(((F.col("p") < 0.01) | (F.col("p") > 0.99)).cast("int")), 6).alias("saturated"), F.round(F.avg(F.col("p").between(0.3, 0.7).cast("int")), 6).alias("middle")))
+query("j11_z8_paired", SCORED + "SELECT (a=y)::VARCHAR || '/' || (b=y)::VARCHAR AS pair, count(*) AS n FROM (SELECT y, (p>=0.5)::INT AS a, (p>=0.6)::INT AS b FROM scored) GROUP BY 1")(
+    lambda t: t.scored.select("y", (F.col("p") >= 0.5).cast("int").alias("a"), (F.col("p") >= 0.6).cast("int").alias("b")).groupBy(F.concat_ws("/", (F.col("a") == F.col("y")).cast("string"), (F.col("b") == F.col("y")).cast("string")).alias("pair")).agg(F.count("*").alias("n")))
+query("a21_mcnemar", SCORED + """, c AS (SELECT count(*) FILTER ((p>=0.5)::INT=y AND (p>=0.6)::INT<>y) AS b, count(*) FILTER ((p>=0.5)::INT<>y AND (p>=0.6)::INT=y) AS c FROM scored)
+ SELECT b, c, round(least(1.0, 2*list_sum(list_transform(range(0, least(b,c)+1), lambda i: exp(lgamma(b+c+1)-lgamma(i+1)-lgamma(b+c-i+1)-(b+c)*ln(2))))),6) AS p FROM c""")(
+    lambda t: t.scored.agg(F.count_if(((F.col("p") >= 0.5).cast("int") == F.col("y")) & ((F.col("p") >= 0.6).cast("int") != F.col("y"))).alias("b"), F.count_if(((F.col("p") >= 0.5).cast("int") != F.col("y")) & ((F.col("p") >= 0.6).cast("int") == F.col("y"))).alias("c")).withColumn("p", evaluation.mcnemar("b", "c")))
+query("a20_dpmo", SCORED + "SELECT count(*) AS n, count(*) FILTER ((p>=0.5)::INT<>y) AS defects, round(1e6*count(*) FILTER ((p>=0.5)::INT<>y)/count(*),2) AS dpmo FROM scored")(
+    lambda t: t.scored.agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 0.5).cast("int") != F.col("y")).alias("defects")).withColumn("dpmo", F.round(1e6 * F.col("defects") / F.col("n"), 2)))
+query("z9_log_loss", SCORED + "SELECT round(-avg(CASE WHEN y=1 THEN ln(greatest(p,1e-12)) ELSE ln(greatest(1-p,1e-12)) END),6) AS log_loss FROM scored")(lambda t: t.scored.agg(F.round(-F.avg(F.when(F.col("y") == 1, F.ln(F.greatest("p", F.lit(1e-12)))).otherwise(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-12))))), 6).alias("log_loss")))
+query("m20_temperature", SCORED + """, g AS (SELECT unnest(range(1, 21)) / 4.0 AS t), z AS (SELECT y, ln(least(greatest(p,1e-6),1-1e-6)/(1-least(greatest(p,1e-6),1-1e-6))) AS z FROM scored),
+ s AS (SELECT t, avg(ln(1+exp(CASE WHEN y=1 THEN -z/t ELSE z/t END))) AS nll FROM g, z GROUP BY 1) SELECT arg_min(t, nll)::DOUBLE AS temperature, round(min(nll),5) AS nll FROM s""")(
+    lambda t: t.scored.select("y", T.logit(F.col("p")).alias("z")).agg(*[F.avg(F.ln(1 + F.exp(F.when(F.col("y") == 1, -F.col("z")).otherwise(F.col("z")) / (k / 4)))).alias(f"t{k}") for k in range(1, 21)])
+    .select(F.explode(F.array(*[F.struct(F.col(f"t{k}").alias("nll"), F.lit(k / 4).alias("temperature")) for k in range(1, 21)])).alias("x")).agg(F.min_by("x.temperature", "x.nll").alias("temperature"), F.round(F.min("x.nll"), 5).alias("nll")))
+
+# -- pictures ----------------------------------------------------------------------------------------------------------
+PROMPTS = [(f"l{k % 3}", [1.0 if i % 7 == k else 0.0 for i in range(64)]) for k in range(6)]
+UNIT = "WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE*y::DOUBLE)))) AS u FROM embeddings) "
+PROMPT_SQL = UNIT + ", pr AS (" + " UNION ALL ".join(f"SELECT 'l{k % 3}' AS label, {[1.0 if i % 7 == k else 0.0 for i in range(64)]}::DOUBLE[] AS v" for k in range(6)) + "), s AS (SELECT vec_id, pr.label, round(max(list_dot_product(u, v)),6) AS score FROM u, pr GROUP BY 1,2) "
+query("j16_prompt_scores", PROMPT_SQL + "SELECT * FROM s")(lambda t: vision.prompt_scores(t.images, PROMPTS))
+query("m9_w16_verdict", PROMPT_SQL + """, p AS (SELECT vec_id, label, round(exp((score-max(score) OVER w)/0.05)/sum(exp((score-m)/0.05)) OVER w,6) AS p FROM (SELECT *, max(score) OVER (PARTITION BY vec_id) AS m FROM s) WINDOW w AS (PARTITION BY vec_id)),
+ q AS (SELECT *, p >= CASE label WHEN 'l0' THEN 0.6 WHEN 'l1' THEN 0.9 ELSE 2 END AS over FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY over DESC, p DESC, label DESC) AS k FROM q) SELECT vec_id, label, p, over AS refused FROM r WHERE k = 1""")(
+    lambda t: vision.verdict(vision.prompt_scores(t.images, PROMPTS), {"l0": 0.6, "l1": 0.9}))
+query("a31_set_summary", "SELECT label, count(*) AS n, round(avg(embedding[1]),5) AS mean, list_sort(list(embedding[1]))[count(*)//2 + 1] AS p50 FROM embeddings GROUP BY 1")(
+    lambda t: t.embeddings.select("label", F.col("embedding")[0].alias("v")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("v"), 5).alias("mean"), F.sort_array(F.collect_list("v")).alias("s")).select("label", "n", "mean", F.element_at("s", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("p50")))
+
+
+@query("m14_m17_logistic_regression")
+def _logistic(t: Tables) -> DataFrame:
+    """Train on even ids with class weights, score the rest; distributed all through."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = t.images.select("vec_id", (F.col("label") == 1).cast("double").alias("y"), array_to_vector(F.col("u")).alias("x"))
+    rows = rows.withColumn("w", F.when(F.col("y") == 1, 9.0).otherwise(1.0))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=20, regParam=0.01).fit(rows.where("vec_id % 2 = 0"))
+    return model.transform(rows.where("vec_id % 2 = 1")).select("vec_id", F.round(vector_to_array("probability")[1], 4).alias("p"))
+
+
+# -- decision support over the star schema: grouped revenue, the flagship ----------------------------------------------
+query("flagship_pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS sum_qty, round(sum(l_extendedprice),2) AS sum_price, round(avg(l_discount),6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1,2""")(
+    lambda t: t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")))
