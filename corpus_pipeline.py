@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a document with a smaller id has too go; every document stays."""
-    return _counted(substrings.drop_repeats(spark, docs), docs)
+    return _counted(substrings.drop_repeats(spark, docs, stored=True), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

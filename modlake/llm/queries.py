@@ -51,7 +51,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.substring_digests(spark, _table(spark, sf_dir, "documents"))
+    return substrings.substring_digests(spark, _table(spark, sf_dir, "documents"), stored=True)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

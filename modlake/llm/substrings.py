@@ -56,6 +56,23 @@ def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending 32-bit values as their steps, three bytes each where all steps fit; the first byte says which."""
+    steps = np.diff(values, prepend=np.uint32(0))
+    if len(steps) and steps.max() >> 24:
+        return b"\4" + values.astype("<u4").tobytes()
+    return b"\3" + steps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=1)
+    if data[0] == 4:
+        return raw.view("<u4")
+    steps = np.zeros((len(raw) // 3, 4), np.uint8)
+    steps[:, :3] = raw.reshape(-1, 3)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32)
+
+
 def _probe(anchors: Anchors, window: int):
     """Per chunk and bucket: the distinct hashes of all rolling blocks; of each, whether it is an aligned one (that is
     the index) and whether two documents have it."""
@@ -72,22 +89,22 @@ def _probe(anchors: Anchors, window: int):
         block = block[start]
         bucket = (block >> np.uint64(32)).astype(np.int64)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(bucket)]
-        rows = [(int(bucket[a]), chunk, block[a:b].astype(np.uint32).tobytes(), np.packbits(aligned[a:b]).tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(edges, edges[1:])]
+        rows = [(int(bucket[a]), chunk, _packed(block[a:b].astype(np.uint32)), np.packbits(aligned[a:b]).tobytes(), np.packbits(several[a:b]).tobytes()) for a, b in zip(edges, edges[1:])]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "probes", "aligned", "several"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size, chunk = WordHashes(), [], 0, None
         for b in batches:
-            for text, uid, doc in zip(b.column("text"), b.column("uid").to_pylist(), b.column("doc_id")):
-                if uid >> CHUNK_BITS != chunk or size > PART:
+            for text, own, at, doc in zip(b.column("text"), b.column("chunk").to_pylist(), b.column("at").to_pylist(), b.column("doc_id")):
+                if own != chunk or size > PART:
                     yield from flush(chunk, held)
-                    held, size, chunk = [], 0, uid >> CHUNK_BITS
+                    held, size, chunk = [], 0, own
                 if not text.is_valid or not doc.is_valid:
                     continue
                 rolled = anchors.rolled(words.of(text.as_buffer())[0])
                 if len(rolled):
-                    key = rolled << np.uint64(CHUNK_BITS + 1) | np.uint64((uid & ((1 << CHUNK_BITS) - 1)) << 1)
+                    key = rolled << np.uint64(CHUNK_BITS + 1) | np.uint64(at << 1)
                     key[:: anchors.block] |= np.uint64(1)
                     held.append(key)
                     size += len(key)
@@ -98,7 +115,7 @@ def _probe(anchors: Anchors, window: int):
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket: the hashes that are an aligned block somewhere and that two documents have, for each chunk its own."""
-    probes = [np.frombuffer(p, np.uint32) for p in pdf["probes"]]
+    probes = [_unpacked(p) for p in pdf["probes"]]
     bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(pdf[c], probes)])
     key = np.sort(np.concatenate(probes).astype(np.uint64) << np.uint64(2) | bits("aligned").astype(np.uint64) << np.uint64(1) | bits("several").astype(np.uint64))
     value = key >> np.uint64(2)
@@ -120,19 +137,20 @@ def _digest(words: list[bytes]) -> str:
 def _extend(anchors: Anchors, digests: bool, buckets: int):
     """For one chunk: hashes of the windows around hits, with the smallest and largest of its documents that have each."""
 
-    def run(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        words, rows, sent, sent_of = WordHashes(), [], [], []
+    def run(key: tuple, docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        chunk, words, rows, sent, sent_of = int(key[0]), WordHashes(), [], [], []
         known = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in hits["hits"]])) if len(hits) else np.empty(0, np.uint64)
-        for uid, doc, text in zip(docs["uid"], docs["doc_id"], docs["text"]):
+        names = np.unique(docs["doc_id"].dropna().to_numpy(np.int64))
+        for at_, doc, text in zip(docs["at"], docs["doc_id"], docs["text"]):
             data = (text or "").encode("utf-8")
             hashes = words.of(data)[0]
             at = anchors.candidates(hashes, known) if not pd.isna(doc) else ()
             if len(at):
                 sent.append(np.unique(rolling(hashes, anchors.window)[at]))
-                sent_of.append(np.full(len(sent[-1]), int(doc), np.int64))
-                rows.append((_PENDING, uid, doc, len(hashes), None, text, None, None, None, None))
+                sent_of.append(np.full(len(sent[-1]), np.searchsorted(names, int(doc)), np.uint16))
+                rows.append((_PENDING, chunk, at_, doc, len(hashes), None, text, None, None, None, None, None))
             else:
-                rows.append((_DONE, uid, doc, len(hashes), _digest(data.split()) if digests else None, None, None, None, None, None))
+                rows.append((_DONE, chunk, at_, doc, len(hashes), _digest(data.split()) if digests else None, None, None, None, None, None, None))
         if sent:
             window, of = np.concatenate(sent), np.concatenate(sent_of)
             order = np.lexsort((of, window))
@@ -143,16 +161,17 @@ def _extend(anchors: Anchors, digests: bool, buckets: int):
             bucket = (window % np.uint64(buckets)).astype(np.int64)
             for k in np.unique(bucket):
                 m = bucket == k
-                rows.append((_WINDOWS, int(docs["uid"].iloc[0]), None, None, None, None, int(k), window[m].tobytes(), low[m].tobytes(), high[m].tobytes()))
-        return pd.DataFrame(rows, columns=["what", "uid", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "low", "high"]).astype({"doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
+                rows.append((_WINDOWS, chunk, None, None, None, None, None, int(k), window[m].tobytes(), low[m].tobytes(), high[m].tobytes(), names.tobytes()))
+        return pd.DataFrame(rows, columns=["what", "chunk", "at", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "low", "high", "names"]).astype({"at": "Int32", "doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
 
     return run
 
 
 def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket of windows: for each chunk those that start in a document smaller than one of its own."""
-    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint64), ("low", np.int64), ("high", np.int64))]
-    window, low, high = map(np.concatenate, parts)
+    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
+    window = np.concatenate(parts[0])
+    low, high = (np.concatenate([n[i] for n, i in zip(parts[3], p)]) for p in parts[1:3])
     order = np.argsort(window, kind="stable")
     value = window[order]
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
@@ -179,7 +198,7 @@ def _cut(anchors: Anchors, digests: bool):
             first = np.concatenate([np.frombuffer(x, np.int64) for x in known["first"]])
             order = np.argsort(window)
             window, first = window[order], first[order]
-        for uid, doc, text in zip(docs["uid"], docs["doc_id"], docs["text"]):
+        for chunk, at_, doc, text in zip(docs["chunk"], docs["at"], docs["doc_id"], docs["text"]):
             data = text.encode("utf-8")
             own = data.split()
             removed = 0
@@ -194,19 +213,18 @@ def _cut(anchors: Anchors, digests: bool):
                     keep = np.cumsum(mark)[:-1] == 0
                     removed = len(own) - int(keep.sum())
                     own = [own[k] for k in np.flatnonzero(keep)]
-            rows.append((uid, doc, len(own) + removed, removed, _digest(own) if digests else b" ".join(own).decode("utf-8") if removed else None))
-        return pd.DataFrame(rows, columns=["uid", "doc_id", "n_words", "n_removed", "kept"])
+            rows.append((chunk, at_, doc, len(own) + removed, removed, _digest(own) if digests else b" ".join(own).decode("utf-8") if removed else None))
+        return pd.DataFrame(rows, columns=["chunk", "at", "doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, digests: bool = False) -> DataFrame:
-    """``uid, doc_id, n_words, n_removed, kept`` per row of ``docs(uid, doc_id, text)``, a written table.
+    """``chunk, at, doc_id, n_words, n_removed, kept`` per row of ``docs(chunk, at, doc_id, text)``; see numbered().
 
     A word goes if a window of ``window`` words that covers it, in the same document, also starts in a document with
     a smaller doc_id. ``kept`` is what is left: its SHA-256 for every document if ``digests``, else its text for
-    documents that lose words, null for the others. ``uid`` numbers the rows so that ``uid >> 11`` is a chunk of rows
-    that stand together.
+    documents that lose words, null for the others.
 
     1. Each chunk sends the distinct hashes of its rolling blocks, 4 bytes each, to buckets; the aligned ones are the
        index. Buckets answer each chunk with its hits.
@@ -220,40 +238,54 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / 6 / PROBES))))))
     anchors, buckets = Anchors(window, bits), 1 << bits
-    probes = docs.select("uid", "doc_id", "text").mapInArrow(_probe(anchors, window), "bucket long, chunk long, probes binary, aligned binary, several binary")
+    rows = docs.select("chunk", "at", "doc_id", "text")
+    probes = rows.mapInArrow(_probe(anchors, window), "bucket long, chunk long, probes binary, aligned binary, several binary")
     hits = probes.groupBy("bucket").applyInPandas(_meet, "chunk long, hits binary")
-    chunked = docs.select(F.shiftright("uid", CHUNK_BITS).alias("chunk"), "uid", "doc_id", "text")
-    schema = "what int, uid long, doc_id long, n_words long, kept_sha256 string, text string, bucket long, windows binary, low binary, high binary"
-    first = scratch.write(chunked.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests, buckets), schema))
-    windows = first.where(F.col("what") == _WINDOWS).select("bucket", F.shiftright("uid", CHUNK_BITS).alias("chunk"), "windows", "low", "high")
+    schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text string, bucket long, windows binary, low binary, high binary, names binary"
+    first = scratch.write(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests, buckets), schema))
+    windows = first.where(F.col("what") == _WINDOWS).select("bucket", "chunk", "windows", "low", "high", "names")
     known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, windows binary, first binary")
-    pending = first.where(F.col("what") == _PENDING).select(F.shiftright("uid", CHUNK_BITS).alias("chunk"), "uid", "doc_id", "text")
-    cut = pending.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_cut(anchors, digests), "uid long, doc_id long, n_words long, n_removed long, kept string")
-    done = first.where(F.col("what") == _DONE).select("uid", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept_sha256").alias("kept"))
+    pending = first.where(F.col("what") == _PENDING).select("chunk", "at", "doc_id", "text")
+    cut = pending.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_cut(anchors, digests), "chunk long, at int, doc_id long, n_words long, n_removed long, kept string")
+    done = first.where(F.col("what") == _DONE).select("chunk", "at", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept_sha256").alias("kept"))
     return done.unionByName(cut)
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents with ``uid``, written: rows that stand together have numbers that follow each other."""
-    return scratch.write(docs.withColumn("uid", F.monotonically_increasing_id()))
+_PLACE = ("_chunk as chunk", "_at as at")
+
+
+def numbered(docs: DataFrame, scratch: Scratch, stored: bool) -> DataFrame:
+    """The documents with ``_chunk`` and ``_at``, their place among up to 2048 rows that stand together.
+
+    The rows of a stored Parquet table have a fixed place in their file. Others are written first, since a second
+    reading could give them in another order.
+    """
+    if stored:
+        place = F.col("_metadata.row_index")
+        return docs.withColumn("_chunk", F.xxhash64("_metadata.file_path", F.shiftright(place, CHUNK_BITS))).withColumn("_at", (place % (1 << CHUNK_BITS)).cast("int"))
+    n = F.col("_n")
+    rows = scratch.write(docs.withColumn("_n", F.monotonically_increasing_id()))
+    return rows.withColumn("_chunk", F.shiftright(n, CHUNK_BITS)).withColumn("_at", (n % (1 << CHUNK_BITS)).cast("int")).drop("_n")
 
 
-def substring_digests(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_digests(spark: SparkSession, docs: DataFrame, window: int = WINDOW, stored: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row; see remove_repeats.
 
     Words are runs of anything but U+0020 and U+0009 to U+000D, unchanged. A null text has no words; texts of fewer
     than ``window`` words lose none; repeats inside one document or in rows with its own id do not count; rows with a
-    null id lose nothing and count for nothing. doc_id is a whole number. An empty table gives no rows.
+    null id lose nothing and count for nothing. doc_id is a whole number. An empty table gives no rows. ``stored`` says
+    that ``docs`` is a Parquet table as Spark read it, which spares a copy of it.
     """
     scratch = Scratch(spark, "substrings")
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
+    rows = numbered(docs, scratch, stored).selectExpr(*_PLACE, "cast(doc_id as long) as doc_id", "text")
     return remove_repeats(spark, rows, scratch, window, digests=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, stored: bool = False) -> DataFrame:
     """All documents, with all columns; those that lose words get the others, joined by one space, as their text."""
     scratch = Scratch(spark, "substrings")
-    rows = numbered(docs, scratch)
-    cut = remove_repeats(spark, rows.withColumn("doc_id", F.col("doc_id").cast("long")), scratch, window).where("n_removed > 0").select(F.col("uid"), F.col("kept").alias("_kept"))
-    out = rows.join(scratch.write(cut), "uid", "left").withColumn("text", F.coalesce("_kept", "text"))
+    rows = numbered(docs, scratch, stored)
+    cut = remove_repeats(spark, rows.selectExpr(*_PLACE, "cast(doc_id as long) as doc_id", "text"), scratch, window)
+    cut = scratch.write(cut.where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("at").alias("_at"), F.col("kept").alias("_kept")))
+    out = rows.join(cut, ["_chunk", "_at"], "left").withColumn("text", F.coalesce("_kept", "text"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
