@@ -53,7 +53,7 @@ def _probes(sig: np.ndarray, base: int) -> np.ndarray:
     """``[row, table, probe]`` bucket numbers, the own one first: each function by its first or second vertex."""
     out = np.zeros((*sig.shape[:2], 1), np.int64)
     for f in range(sig.shape[2]):
-        out = (out[:, :, None, :] * base + sig[:, :, f, :, None]).reshape(*sig.shape[:2], -1)
+        out = (out[:, :, None, :] * base + sig[:, :, f, :, None]).reshape(*sig.shape[:2], 2 ** (f + 1))
     return out
 
 
