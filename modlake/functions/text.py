@@ -139,3 +139,41 @@ def char_grams(text: Column, sizes=(3, 4, 5)) -> Column:
 
 def bucket(gram: Column, bits: int = 18) -> Column:
     return F.crc32(gram.cast("binary")).bitwiseAND((1 << bits) - 1)
+
+
+def clean_entry(raw: Column) -> Column:
+    """One forwarded address without brackets or port; a port follows only a single colon."""
+    v = F.trim(F.coalesce(raw, F.lit("")))
+    one = F.length(v) - F.length(F.replace(v, F.lit(":"), F.lit(""))) == 1
+    return F.when(v.startswith("["), F.split_part(F.substring(v, 2, 1 << 30), F.lit("]"), F.lit(1))).when(one, F.split_part(v, F.lit(":"), F.lit(1))).otherwise(v)
+
+
+def category_key(category: Column) -> Column:
+    """Letters and digits only, lower case, last word in the singular."""
+    k = F.regexp_replace(F.lower(category), "[^a-z0-9]+", "")
+    return F.when(k.endswith("ies"), F.regexp_replace(k, "ies$", "y")).when(k.endswith("s") & ~k.endswith("ss"), F.regexp_replace(k, "s$", "")).otherwise(k)
+
+
+# Words and path parts that mark a picture as sensitive.
+SENSITIVE_WORDS = ("sexual", "nudity", "nude", "porn", "pornograph", "nsfw", "erotic", "explicit_adult")
+SENSITIVE_PATHS = ("images/nudity/", "images/sexual/", "images/porn/", "/nudity", "/sexual", "/porn", "_quarantine_explicit")
+
+
+def sensitive(category: Column, path: Column, description: Column, filename: Column) -> Column:
+    """Any marking word in category, description or file name, or part in the path; nulls are empty."""
+    words = F.lit(False)
+    for c in (category, description, filename):
+        words |= F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(SENSITIVE_WORDS))
+    return words | F.replace(F.lower(F.coalesce(path, F.lit(""))), F.lit("\\"), F.lit("/")).rlike("|".join(SENSITIVE_PATHS))
+
+
+def drop_word(text: Column, start: Column, end: Column) -> Column:
+    """Text without the characters [start, end), and without the blank before them where one follows or nothing does."""
+    before, after = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
+    cut = before.endswith(" ") & (after.startswith(" ") | (after == ""))
+    return F.concat(F.when(cut, F.substring(before, F.lit(1), F.length(before) - 1)).otherwise(before), after)
+
+
+def user_of(*aliases: Column, size: int = 128) -> Column:
+    """First alias that is not blank, trimmed and cut; null if all are blank."""
+    return F.coalesce(*[F.nullif(F.substring(F.trim(a), 1, size), F.lit("")) for a in aliases])

@@ -244,3 +244,6 @@ def _logistic(t: Tables) -> DataFrame:
 # -- decision support over the star schema: grouped revenue, the flagship ----------------------------------------------
 query("flagship_pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS sum_qty, round(sum(l_extendedprice),2) AS sum_price, round(avg(l_discount),6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1,2""")(
     lambda t: t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")))
+
+
+from . import reports as _reports  # noqa: E402, F401  registers further queries
