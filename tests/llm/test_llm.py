@@ -169,6 +169,34 @@ def test_url_models_tell_apart(spark):
     assert ratio[0] > 0 > ratio[1]
 
 
+def test_url_model_counts_are_exact(spark):
+    """Six-digit ids fill any table of fixed size: each context must keep its own counts."""
+    rng = random.Random(8)
+    text = [(f"h.com/{rng.randrange(10**6):06d}", rng.random() < 0.5) for _ in range(20000)] + [("é\n", True), ("", False)]
+    before, after = Counter(), Counter()
+    for own, yes in text:
+        data = [0] * 5 + [b + 1 for b in own.encode() + b"\n"]
+        for i in range(5, len(data)):
+            for k in range(6):
+                before[yes, tuple(data[i - k : i])] += 1
+                after[yes, tuple(data[i - k : i + 1])] += 1
+
+    def mean(own):
+        data, total = [0] * 5 + [b + 1 for b in own.encode() + b"\n"], 0.0
+        for i in range(5, len(data)):
+            for yes in (True, False):
+                p = 1 / 256
+                for k in range(6):
+                    p = (after[yes, tuple(data[i - k : i + 1])] + p) / (before[yes, tuple(data[i - k : i])] + 1)
+                assert p <= 1
+                total += np.log(p) if yes else -np.log(p)
+        return total / (len(data) - 5)
+
+    probes = [own for own, _ in text[:20]] + ["", "é\n", "h.com/12", "日本", "h.com/000000x"]
+    got = urls.fit(spark.createDataFrame(text, "own string, accepted boolean")).ratio(probes)
+    assert np.allclose(got, [mean(x) for x in probes], atol=1e-9)
+
+
 def _components(n, links):
     root = list(range(n))
     for i, j in sorted(links):
