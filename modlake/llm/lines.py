@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(docs: DataFrame, leading: int = LEADING) -> DataFrame:
-    """One row per line: hashes of the line, of its tokens with fields masked, of its leaf and of each half in the leaf.
+    """One row per line: hashes of the line, of its tokens with fields masked, of its leaf, and of each half in the leaf.
 
     The leaf is the place in a tree of fixed depth: number of tokens, then each of the ``leading`` first tokens.
     """
@@ -38,7 +39,7 @@ def line_keys(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     leaf = F.xxhash64(n, F.slice("t", 1, leading))
     half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
     return _lines(docs).select(
-        "doc_id", F.xxhash64("line").alias("line"), F.xxhash64("t").alias("m"), n.alias("n"),
+        "doc_id", F.xxhash64("line").alias("line"), F.xxhash64("t").alias("m"), n.alias("n"), leaf.alias("leaf"),
         F.xxhash64(leaf, F.lit(1), F.slice("t", F.lit(1), half)).alias("h1"),
         F.xxhash64(leaf, F.lit(2), F.slice("t", half + 1, F.greatest(F.lit(1), n))).alias("h2"),
     )
@@ -60,25 +61,68 @@ def _among(column: str, rows: DataFrame, bits: int) -> object:
     return seen(column)
 
 
+def merged(lines: list[list[str]], leading: int, similarity: float) -> list[int]:
+    """For each masked line of one leaf, in order, the place of the line that began its template.
+
+    A line goes into the template that has most of its tokens, the earliest among equals, if that is ``similarity`` of
+    them; where they differ, the template varies from then on. Varying tokens equal none, so all lines of a template
+    share so many. Two that differ in d later tokens share one of d + 1 runs of them: only those are compared.
+    """
+    n = len(lines[0])
+    may = math.floor(n * (1 - similarity) + 1e-9)
+    cuts = [leading + (n - leading) * j // (may + 1) for j in range(may + 2)]
+    templates: dict[int, list[str | None]] = {}
+    having: dict[tuple, list[int]] = {}
+    out = []
+    for k, line in enumerate(lines):
+        runs = [(j, *line[a:b]) for j, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        best, most = k, n - may - 1
+        for c in sorted({c for r in runs for c in having.get(r, ())}):
+            same = sum(map(operator.eq, templates[c], line))
+            if same > most:
+                best, most = c, same
+        if best == k:
+            templates[k] = list(line)
+            for r in runs:
+                having.setdefault(r, []).append(k)
+        else:
+            templates[best] = [x if x == y else None for x, y in zip(templates[best], line)]
+        out.append(best)
+    return out
+
+
 def recurring(docs: DataFrame, keys: DataFrame, scratch: Scratch, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, bits: int = BLOOM_BITS) -> DataFrame:
     """``(m, first)``: masked lines with a recurring template, and the smallest document that has one of its templates.
 
-    A template is a masked line, or a set of masked lines of one leaf that differ in one later token only (if that
-    leaves ``similarity`` of the tokens alike). Lines that can differ in one token share one half; only those are
-    spread out by token.
+    A template is a masked line, a set of masked lines of one leaf that differ in one later token only, or one that the
+    template tree merges: lines of one leaf with ``similarity`` of their tokens alike. A line may belong to one of each.
+    Lines that can differ in one token share one half; only those are spread out by token. The tree takes the lines
+    that may differ in two tokens or more, each leaf in order of first document.
     """
-    by_m = scratch.write(keys.groupBy("m").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
+    by_m = scratch.write(keys.groupBy("m").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
     exact = by_m.where(F.col("docs") >= min_docs).select("m", "first")
     least = max(leading + 1, math.ceil(1 / (1 - similarity) - 1e-9))
     long = by_m.where(F.col("n") >= least)
     halves = long.select("m", "docs", F.explode(F.array("h1", "h2")).alias("h"))
     shared = halves.groupBy("h").agg(F.count("*").alias("k"), F.sum("docs").alias("d")).where((F.col("k") > 1) & (F.col("d") >= min_docs)).select("h")
     near = scratch.write(halves.join(shared, "h", "left_semi").select("m").distinct())
-    if near.isEmpty():
+    several = max(leading + 1, math.ceil(2 / (1 - similarity) - 1e-9))
+    long = by_m.where(F.col("n") >= several)
+    leaves = long.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("docs").alias("d")).where((F.col("k") > 1) & (F.col("d") >= min_docs)).select("leaf")
+    grown = scratch.write(long.join(leaves, "leaf", "left_semi").select("m", "leaf", "first"))
+    wanted = near.unionByName(grown.select("m"))
+    if wanted.isEmpty():
         return exact
-    texts = _lines(docs).where(F.size("t") >= least).select(F.xxhash64("t").alias("m"), "t").where(_among("m", near, bits)).groupBy("m").agg(F.first("t").alias("t"))
+    texts = scratch.write(_lines(docs).where(F.size("t") >= least).select(F.xxhash64("t").alias("m"), "t").where(_among("m", wanted, bits)).groupBy("m").agg(F.first("t").alias("t")))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first", "m"])
+        m = pdf["m"].to_numpy()
+        return pd.DataFrame({"m": m, "v": m[merged([list(t) for t in pdf["t"]], leading, similarity)]})
+
+    tree = texts.join(grown, "m").groupBy("leaf").applyInPandas(grow, "m long, v long").select("m", F.xxhash64(F.lit(WILD), "v").alias("v"))
     wild = F.transform(F.sequence(F.lit(leading + 1), F.size("t")), lambda j: F.xxhash64(j, F.concat(F.slice("t", F.lit(1), j - 1), F.array(F.lit(WILD)), F.slice("t", j + 1, F.size("t")))))
-    variants = scratch.write(texts.join(near, "m", "left_semi").select("m", F.explode(wild).alias("v")).distinct())
+    variants = scratch.write(texts.join(near, "m", "left_semi").select("m", F.explode(wild).alias("v")).distinct().unionByName(tree))
     several = variants.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
     variants = scratch.write(variants.join(several, "v", "left_semi"))
     of = keys.select("m", "doc_id").join(variants, "m").groupBy("v").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
@@ -95,7 +139,7 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, leading: int = LEA
     count for no template; rows with the same id count as one document. An empty table gives no rows.
     """
     scratch = Scratch(spark, "lines")
-    keys = scratch.write(line_keys(docs, leading).where("doc_id is not null").groupBy("doc_id", "line", "m").agg(F.first("n").alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
+    keys = scratch.write(line_keys(docs, leading).where("doc_id is not null").groupBy("doc_id", "line", "m").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
     first = recurring(docs, keys, scratch, leading, min_docs, similarity)
     gone = keys.select("doc_id", "line", "m").join(first, "m").where("doc_id > first")
     gone = scratch.write(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone")))

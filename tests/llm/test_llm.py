@@ -315,6 +315,20 @@ def test_lines(spark):
     assert got[8].text is None and got[9].text == "" and got[10].text == "" and got[None].text == same
 
 
+def test_lines_with_several_varying_words(spark):
+    """Both fields take a new value each time; the bar of 0.8 allows 2 of 11 tokens and 4 of 20, but not 3 of 11."""
+    name = lambda k, c: "qrstuvwxyz"[k] + c
+    two = [f"Posted in the {name(k, 'a')} section of our paper by {name(k, 'b')} today" for k in range(8)]
+    four = [" ".join(["All", "you", "see"] + [name(k, "cdef"[j]) if j < 4 else f"w{'abcdefghijklm'[j]}" for j in range(12)] + ["and", "so", "it", "is", "."]) for k in range(8)]
+    three = [f"This is a {name(k, 'g')} line of {name(k, 'h')} words with {name(k, 'i')} ." for k in range(8)]
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate(zip(two, four, three))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_template_lines(spark, df).collect()}
+    assert got == {0: "\n".join([two[0], four[0], three[0]])} | {k: three[k] for k in range(1, 8)}
+    same_town = [(k, f"Posted in the {'ab'[k % 2]}x section of our paper by {name(k, 'b')} today") for k in range(10)]
+    got = lines.drop_template_lines(spark, spark.createDataFrame(same_town, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.text} == {0}
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good, bad = [prose(40, rng) for _ in range(150)], [prose(40, rng).upper() + " !!! $$$ ###" for _ in range(150)]
