@@ -179,7 +179,7 @@ def threshold(rows: DataFrame, bins: int = BINS) -> float:
 def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, ratio`` of every row; null or unusable URLs have empty host and path.
 
-    URLs that a rule decides teach the two models (four fifths of them, by hash) and set the threshold (the rest);
+    Rules look at host and path, the models at the whole URL as it is (null as empty). URLs that a rule decides teach the two models (four fifths of them, by hash) and set the threshold (the rest);
     all others get the verdict of the models, ``allow`` if the ratio is at least the threshold. Without examples of
     both verdicts the ratio and the threshold are 0 and the verdict is ``allow``. Repeated rows are judged each; an
     empty table gives no rows; other columns are not looked at. What is shuffled are rows by chunk and distinct grams.
@@ -187,7 +187,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("own", F.concat("host", "path")).drop("url")
+    rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("own", F.coalesce("url", F.lit(""))).drop("url")
     rows = rows.withColumn("_held", F.pmod(F.xxhash64("own"), F.lit(5)) == 0)
     scratch = Scratch(spark, "urls")
     rows = scratch.write(rows)

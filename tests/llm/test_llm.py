@@ -197,6 +197,16 @@ def test_url_model_counts_are_exact(spark):
     assert np.allclose(got, [mean(x) for x in probes], atol=1e-9)
 
 
+def test_url_models_see_the_whole_url(spark):
+    """URLs that differ in query string or fragment only, or have no host, are told apart."""
+    known = [f"http://h.com/{'fr' if i % 2 else 'de'}/{i}?cat={'good' if i % 2 else 'evil'}#{'top' if i % 2 else 'end'}" for i in range(300)]
+    asked = ["http://q.net/view?cat=good", "http://q.net/view?cat=evil", "http://q.net/a#top", "http://q.net/a#end", "cat=good#top", "cat=evil#end", None, ""]
+    pages = spark.createDataFrame(list(enumerate(asked + known)), "page_id long, url string")
+    got = [r for r in urls.judge_urls(spark, pages).orderBy("page_id").collect()][:8]
+    assert all(got[i].ratio > got[i + 1].ratio for i in (0, 2, 4)) and got[6].ratio == got[7].ratio
+    assert [r.verdict for r in got[:6]] == ["allow", "block"] * 3 and [r.rule for r in got] == [None] * 8
+
+
 def _components(n, links):
     root = list(range(n))
     for i, j in sorted(links):
