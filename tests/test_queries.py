@@ -20,6 +20,12 @@ def test_query(spark, name):
         assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_vector_is_scored(spark):
+    ids = lambda df: sorted(r.vec_id for r in df.select("vec_id").collect())
+    assert ids(QUERIES["m14_m17_logistic_regression"](spark, SF)) == ids(spark.read.parquet(f"{SF}/embeddings.parquet"))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
