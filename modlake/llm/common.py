@@ -1,25 +1,28 @@
-"""Shared pieces: written scratch tables, word hashing, connected components."""
+"""Shared pieces: written scratch tables, word digests, membership bitmaps, connected components."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but a space or the controls U+0009 to U+000D.
+#: A word is a run of anything but a space or the controls U+0009 to U+000D, which is what bytes.split() gives.
 WORD = r"[^\x20\x09-\x0D]+"
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/modlake"
+    """The folder that driver and executors share. One of our own only where the session names none and is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/modlake"
 
 
 class Scratch:
@@ -37,57 +40,63 @@ class Scratch:
         out._scratch = path
         return out
 
-    def free(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def free(self, *tables: DataFrame) -> None:
+        """Deletes tables that no plan still to be run reads."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes:
-    """64-bit hashes of the words in UTF-8 bytes, all at once.
+class WordDigests(dict):
+    """A 64-bit digest of each word (BLAKE2b), remembered for up to LIMIT words; then the memory starts anew.
 
-    The hash of a word is a polynomial in its bytes: with running sums over the buffer each word costs a difference,
-    and a multiplication by an inverse power takes its place out of it. Long buffers are gone through in segments
-    that end at a blank.
+    Words in any pattern are as good as random numbers, so equal digests are candidates for equal words; who must be
+    sure compares the words, or 128-bit digests of them.
     """
 
-    SEGMENT = 1 << 21
-
-    def __init__(self, blank: np.ndarray = _BLANK, fold: np.ndarray | None = None):
-        self.blank, self.byte = blank, _BYTE if fold is None else _BYTE[fold]
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-
-    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first byte and end of every word."""
-        raw = np.frombuffer(data, np.uint8)
-        found, at = [], 0
-        while at < len(raw):
-            to = min(len(raw), at + self.SEGMENT)
-            while to < len(raw) and not self.blank[raw[to]]:
-                more = np.flatnonzero(self.blank[raw[to : to + self.SEGMENT]])
-                to = to + int(more[0]) if len(more) else min(len(raw), to + self.SEGMENT)
-            found.append(self._segment(raw[at:to], at))
-            at = to
-        if not found:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def _segment(self, raw: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self._grow(len(raw) + 1)
-        edge = np.ones(len(raw) + 2, np.int8)
-        edge[1:-1] = self.blank[raw]
-        edges = np.flatnonzero(np.diff(edge))
-        start, end = edges[::2], edges[1::2]
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(self.byte[raw] * self.up[: len(raw)], out=sums[1:])
-            h = mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-        return h, start + at, end + at
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        own = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return own
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def among(rows: DataFrame, *key: str, most_bits: int = 26) -> Callable[..., Column]:
+    """A test whether a row's key may be among those of ``rows``: a bitmap by hash, which misses none.
+
+    It has 16 bits a row, but no more than ``1 << most_bits`` (8 MB): that is all that the driver and tasks get,
+    whatever the input. A fuller bitmap lets more rows through to the exact join behind it and changes no result.
+    """
+    n = rows.count()
+    bits = 1 << min(most_bits, max(16, (16 * n).bit_length()))
+    h = F.pmod(F.xxhash64(*key), F.lit(bits))
+    got = rows.select(h.alias("h")).groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(h, 32) as int)))").alias("b")).toPandas()
+    words = np.zeros(bits // 32, np.uint32)
+    words[got["w"]] = got["b"].astype(np.uint32)
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def seen(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() % bits
+        return pd.Series(sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1)
+
+    return lambda *columns: seen(F.xxhash64(*columns))
+
+
+def unlike(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,8 +146,3 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         now = after
     least = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
     return least.unionByName(least.select(F.col("component").alias("id"), "component").distinct())
-
-
-def first_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only the named columns, whatever else (or however spelt) the table has."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, components, mix, rolling
+from .common import Scratch, WordDigests, among, components, mix, rolling, unlike
 
 SHINGLE, BAR, BANDS, ROWS = 5, 0.8, 20, 4
 BLOCK = 2048  # rows of a bucket compared at a time
@@ -24,11 +25,23 @@ def shingle_bag(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np
     return np.unique(rolling(hashes, size), return_counts=True)
 
 
-def bags_of(texts: list[str], words: WordHashes, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    data = [t.encode("utf-8") for t in texts]
-    hashes, start, _ = words.of(b"\n".join(data))
-    ends = np.searchsorted(start, np.cumsum([len(d) + 1 for d in data]))
-    return [shingle_bag(hashes[a:b], size) for a, b in zip([0, *ends[:-1]], ends)]
+def bag_of(text: str | None, words: WordDigests, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The bag of a text's shingles, by digest."""
+    return shingle_bag(words.of((text or "").encode("utf-8").split()), size)
+
+
+def exact_bag(text: str | None, size: int = SHINGLE) -> Counter:
+    """The bag of a text's shingles, as the words themselves."""
+    own = (text or "").encode("utf-8").split()
+    own += [b""] * (size - len(own)) if 0 < len(own) < size else []
+    return Counter(zip(*(own[k:] for k in range(size))))
+
+
+def similarity(a: Counter, b: Counter) -> float:
+    """Weighted Jaccard similarity of two bags; two empty ones are alike."""
+    total = a.total() + b.total()
+    shared = sum(min(n, b[s]) for s, n in a.items() if s in b)
+    return shared / (total - shared) if total else 1.0
 
 
 def bag_minhash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, size: int) -> np.ndarray:
@@ -73,13 +86,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     size = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = WordDigests()
         for b in batches:
             texts = b.column("text").to_pylist()
             same = [hashlib.md5((t or "").encode("utf-8")).digest() for t in texts]
             marks, keys = [], []
             for at in range(0, len(texts), 400):
-                bags = bags_of([t or "" for t in texts[at : at + 400]], words, shingle)
+                bags = [bag_of(t, words, shingle) for t in texts[at : at + 400]]
                 owner = np.repeat(np.arange(len(bags)), [len(x[0]) for x in bags])
                 sig = bag_minhash(owner, np.concatenate([x[0] for x in bags]), np.concatenate([x[1] for x in bags]), len(bags), size)
                 bits = mix(sig.view(np.uint64))
@@ -97,7 +110,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
 
 
 def overlap(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags, exactly; two empty ones are alike."""
+    """Weighted Jaccard similarity of two bags by digest; two empty ones are alike.
+
+    Never under the similarity of the bags themselves, since shingles that share a digest only add to what is shared.
+    """
     (x, n), (y, m) = one, other
     total = int(n.sum() + m.sum())
     if not total:
@@ -107,41 +123,37 @@ def overlap(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndar
     return shared / (total - shared)
 
 
-def bag_similarity(a: str, b: str, words: WordHashes, shingle: int = SHINGLE) -> float:
-    return overlap(*bags_of([a or "", b or ""], words, shingle))
-
-
 def verified(pairs: DataFrame, texts: DataFrame, bar: float = BAR, shingle: int = SHINGLE) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts ``(id, text)`` reach the bar; texts are only sent for documents in pairs."""
+    """Those of ``pairs(a, b)`` whose texts ``(id, text)`` reach the bar, word by word; only texts of pairs are sent."""
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for b in batches:
-            ok = [bag_similarity(x, y, words, shingle) >= bar for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+            ok = [similarity(exact_bag(x.as_py(), shingle), exact_bag(y.as_py(), shingle)) >= bar for x, y in zip(b.column("ta"), b.column("tb"))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _links_across(least: float, bar: float, shingle: int):
     """Within one cell of a bucket: links between texts that were in different components.
 
     Pairs whose marks agree enough are verified where they meet, the most alike first, unless a link found before has
-    joined them or an earlier band has brought them together. Only links that join something are sent on.
+    joined them or an earlier band has brought them together: first by digests, then word by word. Only links that
+    join something are sent on.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         side, band = pdf["side"].to_numpy(), int(pdf["band"].iloc[0])
         marks = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), -1)
         keys, root = np.stack(pdf["keys"]), np.unique(pdf["component"], return_inverse=True)[1]
-        words, bags, links = WordHashes(), {}, []
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        words, bags, links = WordDigests(), {}, []
+        left, right, text = np.flatnonzero(side != 1), np.flatnonzero(side != 0), pdf["text"].tolist()
 
         def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in bags:
-                bags[i] = bags_of([pdf["text"].iloc[i] or ""], words, shingle)[0]
+                bags[i] = bag_of(text[i], words, shingle)
             return bags[i]
 
         for at in range(0, len(left), 64):
@@ -156,7 +168,7 @@ def _links_across(least: float, bar: float, shingle: int):
                 good = (alike >= least) & ~(keys[x, :band] == keys[y, :band]).any(axis=1)
                 x, y, alike = x[good], y[good], alike[good]
                 for x, y in zip(*(z[np.argsort(-alike, kind="stable")].tolist() for z in (x, y))):
-                    if root[x] != root[y] and overlap(bag(x), bag(y)) >= bar:
+                    if root[x] != root[y] and overlap(bag(x), bag(y)) >= bar and similarity(exact_bag(text[x], shingle), exact_bag(text[y], shingle)) >= bar:
                         links.append((pdf["id"].iloc[x], pdf["id"].iloc[y]))
                         root[root == root[y]] = root[x]
         return pd.DataFrame(links, columns=["a", "b"])
@@ -164,6 +176,31 @@ def _links_across(least: float, bar: float, shingle: int):
     return run
 
 
+HOT_KEYS = 1_000_000  # large buckets sent to all tasks at most: 32 MB
+
+
+def _split_join(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows(band, key, ...)`` joined with the written table ``buckets(band, key, n, ...)``; no task gets a large bucket whole.
+
+    Buckets of over BLOCK rows are few and go to where their rows are, if they are counted as few enough; the rest is
+    joined by key.
+    """
+    key, large = ["band", "key"], buckets.where(F.col("n") > BLOCK)
+    if large.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        return rows.join(buckets, key)
+    there = rows.join(F.broadcast(large), key)
+    return there.unionByName(rows.join(F.broadcast(large.select(*key)), key, "left_anti").join(buckets.where(F.col("n") <= BLOCK), key))
+
+
+def _one_text_each(sigs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """The signatures without those of further texts of a doc_id, and ``doc_id, first`` of such ids if there are any."""
+    twice = sigs.groupBy("doc_id").agg(F.min("same").alias("first"), F.max("same").alias("last")).where("first <> last").select("doc_id", "first")
+    twice = scratch.write(twice)
+    if twice.isEmpty():
+        return sigs, None
+    return sigs.join(twice, "doc_id", "left").where("first is null or first = same").drop("first"), twice
+
+
 def classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, bar: float = BAR, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """``same, class_id`` for each distinct text (by digest): the smallest doc_id that chains of links reach.
 
@@ -178,36 +215,47 @@ def classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, bar: float =
     """
     kind = dict(docs.dtypes)["doc_id"]
     sigs = scratch.write(signatures(docs.where("doc_id is not null"), bands, rows, shingle))
-    one = scratch.write(sigs.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("marks").alias("marks"), F.first("keys").alias("keys")))
+    own, twice = _one_text_each(sigs, scratch)
+    one = scratch.write(own.groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("marks").alias("marks"), F.first("keys").alias("keys")))
     buckets = one.select("id", F.posexplode("keys").alias("band", "key"))
-    size = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-    members = scratch.write(buckets.join(size, ["band", "key"]).select("band", "key", "n", "low", "id"))
+    size = scratch.write(buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"))
+    members = scratch.write(_split_join(buckets, size).select("band", "key", "n", "low", "id"))
+    scratch.free(size)
     star = members.where("id <> low").groupBy(F.col("id").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("shared"))
     star = scratch.write(star)
-    paired = star.select("a").unionByName(star.select(F.col("b").alias("a"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(paired, F.col("id") == F.col("a"), "left_semi")
+    paired = scratch.write(star.select("a").unionByName(star.select(F.col("b").alias("a"))).distinct())
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where(among(paired, "a")("id")).hint("merge").join(paired, F.col("id") == F.col("a"), "left_semi")
+    if twice is not None:
+        texts = texts.join(twice, F.col("id") == F.col("doc_id"), "left").where(F.coalesce(F.col("first") == F.unhex(F.md5(F.coalesce("text", F.lit("")))), F.lit(True))).select("id", "text")
     texts = scratch.write(texts.dropDuplicates(["id"]))
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    best = scratch.write(best)
+    best = scratch.write(star.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
     links = scratch.write(verified(best, texts, bar, shingle))
+    scratch.free(star, paired)
 
     comp = scratch.write(components(spark, links, scratch))
     other = members.where("n = 2 and id <> low").join(best, (F.col("id") == F.col("a")) & (F.col("low") == F.col("b")), "left_anti").select("band", "key")
     open_ = members.where("n > 2").unionByName(members.join(other, ["band", "key"], "left_semi"))  # of two texts that were verified, no more is to be found
-    of = open_.join(comp, "id", "left").select("band", "key", "n", "id", F.coalesce("component", "id").alias("component"))
-    mixed = of.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "key")
+    of = scratch.write(open_.join(comp, "id", "left").select("band", "key", "n", "id", F.coalesce("component", "id").alias("component")))
+    mixed = scratch.write(of.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("n").alias("n")).where("x <> y").select("band", "key", "n"))
     sigma = (bar * (1 - bar) / (bands * rows)) ** 0.5
-    of = of.join(mixed, ["band", "key"]).withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    cells = _split_join(of.drop("n"), mixed).withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.least("own", c).alias("row"), F.greatest("own", c).alias("col"), F.when(F.col("own") == c, 2).when(F.col("own") < c, 0).otherwise(1).alias("side")))
-    of = scratch.write(of.withColumn("c", F.explode(cell)).select("band", "key", "c.*", "id", "component"))
+    cells = scratch.write(cells.withColumn("c", F.explode(cell)).select("band", "key", "c.*", "id", "component"))
     looks = one.select("id", "marks", "keys").join(texts.select("id", "text"), "id")
-    cells = of.join(looks, "id").groupBy("band", "key", "row", "col")
-    more = scratch.write(cells.applyInPandas(_links_across(bar - 4.5 * sigma, bar, shingle), f"a {kind}, b {kind}"))
+    meet = cells.hint("merge").join(looks, "id").groupBy("band", "key", "row", "col")
+    more = scratch.write(meet.applyInPandas(_links_across(bar - 4.5 * sigma, bar, shingle), f"a {kind}, b {kind}"))
+    scratch.free(texts, cells, of, mixed, members, best)
     if not more.isEmpty():
-        comp = scratch.write(components(spark, links.unionByName(more), scratch))
-    scratch.free(texts)
-    named = one.join(comp, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("component", "id").alias("class_id"), "n")
-    return sigs.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        old, comp = comp, scratch.write(components(spark, links.unionByName(more), scratch))
+        scratch.free(old)
+    scratch.free(links, more)
+    named = scratch.write(one.join(comp, "id", "left").select("same", F.coalesce("component", "id").alias("class_id")))
+    classed = own.select("doc_id", "same").join(named, "same").select("doc_id", "class_id")
+    if twice is not None:
+        classed = sigs.select("doc_id").join(classed.distinct(), "doc_id")
+    out = scratch.write(classed.withColumn("kept", F.col("doc_id") == F.col("class_id")))
+    scratch.free(sigs, one, comp, named)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -215,8 +263,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
     Two documents are linked if the bags of their five-word shingles have a weighted Jaccard similarity of 0.8 or
     more; classes are what links connect. Null texts count as empty; texts without words are alike only if they are
-    the same. Texts of fewer than five words are one shingle. Rows that repeat a doc_id are one document if their
-    texts agree; a null id is a class of its own. An empty table gives no rows; other columns are not looked at.
+    the same. Texts of fewer than five words are one shingle. Rows that repeat a doc_id are one document, with
+    the text of the smallest MD5 digest if they differ, and give one row each; a null id is a class of its own. An empty table gives no rows; other columns are not looked at.
     """
     out = classes(spark, docs, Scratch(spark, "minhash"), **options)
     alone = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
@@ -224,6 +272,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The documents that name their class, with all columns; of rows that repeat such an id, all."""
-    kept = near_duplicates(spark, docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents that name their class, with all columns; of rows that repeat such an id, all.
+
+    Only documents that may go are sent by id: whoever a bitmap of the others rules out stays where it is read.
+    """
+    scratch = Scratch(spark, "kept")
+    (gone,) = unlike(docs.columns, "gone")
+    out = near_duplicates(spark, docs, **options)
+    dropped = out.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept")
+    dropped = scratch.write(dropped.select(F.col("doc_id").alias(gone)))
+    maybe = among(dropped, gone)(F.col("doc_id"))
+    return docs.where(~maybe).unionByName(docs.where(maybe).hint("merge").join(dropped, F.col("doc_id") == F.col(gone), "left_anti"))

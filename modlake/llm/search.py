@@ -1,27 +1,36 @@
-"""Exact top-k BM25 search: an inverted index per shard with block maxima, pruned and merged exactly."""
+"""Exact top-k BM25 search: an inverted index per shard, block-max WAND over cursors, merged with global statistics."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes
+from .common import Scratch
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, SHARD_BYTES, BLOCK_BITS, QUERY_BLOCK = 16_384, 1 << 27, 5, 4096
+SHARD_DOCS, SHARD_BYTES, SHARD_TERMS = 16_384, 1 << 26, 1_000_000
+RANGE_BITS, FIRST, QUERY_BYTES, SALTS = 5, 8, 1 << 24, 16
 
-#: Terms are runs of ASCII letters and digits and of all bytes from 128 on; A-Z are folded to a-z.
-_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Terms are runs of ASCII letters and digits and of all bytes from 128 on; A-Z are folded to a-z, all else is a break.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def term_hashes() -> WordHashes:
-    return WordHashes(_BREAK, _FOLD)
+def terms_of(text: str | None) -> list[bytes]:
+    """The terms of a whole text, in order, repeats included."""
+    return (text or "").encode("utf-8").translate(_FOLD).split()
+
+
+class Numbers(dict):
+    """Terms numbered as they come; the terms themselves are kept, so two never share a number."""
+
+    def __missing__(self, term: bytes) -> int:
+        own = self[term] = len(self)
+        return own
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -31,161 +40,191 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Postings by term, cut into blocks of 32 documents; each block of a term knows its largest impact."""
+    """Posting lists by term in order of document, cut where a range of 32 documents ends.
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray, mean: float):
-        self.ids, self.terms, self.n = ids, terms, len(ids)
-        docs = docs.astype(np.int64)
+    Each piece of a list knows its range and its largest impact; pieces of all terms end at the same documents, so the
+    sum of the pieces' maxima over a query's terms bounds every score in a range. ``touched`` counts postings looked at.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray, mean: float):
+        self.ids, self.n, self.docs = ids, len(ids), docs.astype(np.int32)
         tf = tf.astype(np.float64)
-        self.docs, self.impact = docs, tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
-        term = np.repeat(np.arange(len(terms)), counts)
-        key = term << 16 | docs >> BLOCK_BITS
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        self.start = np.append(start, len(key))
-        self.block = (docs >> BLOCK_BITS)[start]
-        self.most = np.maximum.reduceat(self.impact, start) if len(key) else np.empty(0)
-        self.first = np.searchsorted(term[start], np.arange(len(terms) + 1))
-        self.blocks = (self.n >> BLOCK_BITS) + 1
-        self.scored = 0
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents (score rounded to 6 places, then smallest id) and their scores.
-
-        Blocks are scored from the one with the largest bound on; those whose bound is under the k-th best score
-        found so far are left out, which cannot change the result.
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
+        term = np.repeat(np.arange(len(counts)), counts)
+        place = self.docs >> RANGE_BITS
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (place[1:] != place[:-1]))) if len(term) else np.empty(0, np.int64)
+        self.start, self.range = np.append(start, len(term)), place[start]
+        self.most = np.maximum.reduceat(self.impact, start) if len(term) else np.empty(0)
+        self.first = np.searchsorted(term[start], np.arange(len(counts) + 1))
+        self.ranges = (self.n >> RANGE_BITS) + 1
+        self.touched = 0
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents of this shard and of ``best``, and their scores (rounded to 6 places, then smallest id).
+
+        Each term has a cursor in its list. The shallow move reads the block maxima of all ranges ahead; the pivot is
+        the next range in document order whose sum can reach the k-th best score so far, and cursors go there at once,
+        past postings that are never looked at. Ranges from a pivot on are scored a few at a time, more as the bar
+        settles; each time the bar has risen, the pivots ahead are chosen anew. The first ranges scored are those of
+        the largest sums, so that the bar is high from the beginning.
         """
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[have], idf[have]
-        entries = _ranges(self.first[at], self.first[at + 1])
-        weight = np.repeat(idf, self.first[at + 1] - self.first[at])
-        block = self.block[entries]
-        bound = np.bincount(block, self.most[entries] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, least, done, step = np.empty(0, np.int64), np.empty(0), -1.0, 0, 8
-        while done < len(order) and bound[order[done]] + 1e-6 >= least:
-            chosen = np.zeros(self.blocks, bool)
-            part = order[done : done + step]
-            chosen[part[bound[part] + 1e-6 >= least]] = True
-            use = chosen[block]
-            own = entries[use]
+        ids, scores = best or (np.empty(0, np.int64), np.empty(0))
+        pieces = self.first[terms + 1] - self.first[terms]
+        cursor = _ranges(self.first[terms], self.first[terms + 1])
+        weight, place = np.repeat(idf, pieces), self.range[cursor]
+        bound = np.bincount(place, self.most[cursor] * weight, self.ranges) + 1e-6
+        bound[np.bincount(place, minlength=self.ranges) == 0] = -1
+
+        def bar() -> float:
+            return scores[-1] if len(scores) == k else 0.0
+
+        def score(pivots: np.ndarray) -> None:
+            nonlocal ids, scores
+            chosen = np.zeros(self.ranges, bool)
+            chosen[pivots] = True
+            use = chosen[place]
+            own = cursor[use]
+            n = self.start[own + 1] - self.start[own]
             posts = _ranges(self.start[own], self.start[own + 1])
-            w = np.repeat(weight[use], self.start[own + 1] - self.start[own])
-            docs = self.docs[posts]
-            total = np.bincount(docs, self.impact[posts] * w, self.n)
-            hit = np.flatnonzero(total > 0)
-            self.scored += len(hit)
-            ids, scores = np.append(ids, self.ids[hit]), np.append(scores, np.round(total[hit], 6))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(scores) == k:
-                least = scores[-1]
-            done += step
-            step *= 2
+            self.touched += len(posts)
+            total = np.bincount(self.docs[posts], self.impact[posts] * np.repeat(weight[use], n), self.n).round(6)
+            hit = np.flatnonzero((total > 0) & (total >= bar()))
+            ids, scores = np.append(ids, self.ids[hit]), np.append(scores, total[hit])
+            order = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[order], scores[order]
+
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        first = first[bound[first] >= max(bar(), 0)]
+        if len(first):
+            score(np.sort(first))
+        bound[first] = -1
+        at, step = 0, FIRST
+        while at < self.ranges:
+            pivots = at + np.flatnonzero(bound[at:] >= max(bar(), 0))[:step]
+            if not len(pivots):
+                break
+            score(pivots)
+            at, step = int(pivots[-1]) + 1, step * 2
         return ids, scores
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Rows of one shard each: ``n, total, ids, sizes, terms, counts, docs, tf``, all arrays as bytes.
+    """Rows of one shard each: ``n, total, terms`` and, as bytes, ``ids, sizes, counts, docs, tf``.
 
-    A shard is what a task reads next to each other, up to 16,384 documents or 128 MB of text: nothing is shuffled,
-    and no source or group fills a shard with more than its share.
+    A shard is what a task reads next to each other, up to 16,384 documents, 64 MB of text or a million terms: nothing
+    is shuffled, and no source or group fills a shard with more than its share.
     """
-    def flush(ids: list, hashes: list) -> pa.RecordBatch:
-        sizes = np.array([len(h) for h in hashes], np.int64)
-        pair = np.empty(int(sizes.sum()), [("t", np.uint64), ("d", np.uint16)])
-        pair["t"], pair["d"] = np.concatenate(hashes), np.repeat(np.arange(len(ids)), sizes)
-        order = np.lexsort((pair["d"], pair["t"]))
-        t, d = pair["t"][order], pair["d"][order]
-        start = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))) if len(t) else np.empty(0, np.int64)
-        tf = np.diff(np.append(start, len(t))).astype(np.uint32)
-        t, d = t[start], d[start]
-        terms, counts = np.unique(t, return_counts=True)
-        arrays = [np.array(ids, np.int64), sizes, terms, counts.astype(np.uint32), d, tf]
-        return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(sizes.sum())]), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["n", "total", "ids", "sizes", "terms", "counts", "docs", "tf"])
+    def flush(ids: list, numbers: Numbers, found: list) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in found], np.int64)
+        key = np.sort(np.concatenate(found).astype(np.int64) << 16 | np.repeat(np.arange(len(ids)), sizes))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        tf = np.diff(np.append(start, len(key)))
+        key = key[start]
+        counts = np.bincount(key >> 16, minlength=len(numbers))
+        arrays = [np.array(ids, np.int64), sizes, counts.astype(np.uint32), (key & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)]
+        terms = pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(list(numbers), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(sizes.sum())]), terms, *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["n", "total", "terms", "ids", "sizes", "counts", "docs", "tf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, hashes, size = term_hashes(), [], [], 0
+        ids, numbers, found, size = [], Numbers(), [], 0
         for b in batches:
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                h = words.of(text.as_buffer())[0] if text.is_valid else np.empty(0, np.uint64)
+                own = terms_of(text.as_py())
                 ids.append(key)
-                hashes.append(h)
-                size += 8 * len(h)
-                if len(ids) >= SHARD_DOCS or size > SHARD_BYTES:
-                    yield flush(ids, hashes)
-                    ids, hashes, size = [], [], 0
+                found.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
+                size += sum(map(len, own)) + len(own)
+                if len(ids) >= SHARD_DOCS or size > SHARD_BYTES or len(numbers) > SHARD_TERMS:
+                    yield flush(ids, numbers, found)
+                    ids, numbers, found, size = [], Numbers(), [], 0
         if ids:
-            yield flush(ids, hashes)
+            yield flush(ids, numbers, found)
 
-    schema = "n long, total long, ids binary, sizes binary, terms binary, counts binary, docs binary, tf binary"
+    schema = "n long, total long, terms array<binary>, ids binary, sizes binary, counts binary, docs binary, tf binary"
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def _counts(index: DataFrame) -> DataFrame:
+    """``term, df`` in shards, one row for each term of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column("terms")[k].values, pa.array(np.frombuffer(b.column("counts")[k].as_buffer(), np.uint32).astype(np.int64))], ["term", "df"])
+
+    return index.select("terms", "counts").mapInArrow(run, "term binary, df long")
+
+
+def _asked(queries: DataFrame, counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``query_id, text_key`` and, for each distinct query text, ``text_key, asked`` with the df of its terms.
+
+    A term of a third of all queries is dealt to 16 places, so that no task joins it alone.
+    """
+    own = scratch.write(queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), "text"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column("text_key"), b.column("text")):
+                terms = list(dict.fromkeys(terms_of(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(terms), pa.string()), pa.array(terms, pa.binary())], ["text_key", "term"])
+
+    terms = own.groupBy("text_key").agg(F.first("text").alias("text")).mapInArrow(parse, "text_key string, term binary")
+    terms = scratch.write(terms.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")))
+    df = counts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = terms.join(df, ["term", "salt"]).groupBy("text_key").agg(F.collect_list(F.struct("term", "df")).alias("asked"))
+    return own.select("query_id", "text_key"), scratch.write(asked.withColumn("size", F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x.term) + 16)))
+
+
 def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, doc_id, score``: for each row of ``queries(query_id, text)`` the k best of all documents.
 
     BM25 (k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5))) over the distinct terms of the whole query text, with N, df and the
     mean length of all documents. Ranked by score, rounded to 6 places, then doc_id. Documents that share no term
     with a query are not given, so a query may have fewer than k rows; null and empty texts match nothing. Rows with
-    a null id are left out; repeated rows are documents of their own. Queries are searched in blocks of about 4096
-    against every shard; what shards send is at most k rows for each query.
+    a null id are left out; repeated rows are documents of their own. An empty table gives no rows; other columns are
+    not looked at. Queries with the same text are searched once.
+
+    Distinct queries are taken in blocks of about 16 MB. Each block is sent to where the shards lie, and every task
+    takes its shards one after the other with the bar that the earlier ones have set; k rows a query and task go on.
     """
     scratch = Scratch(spark, "search")
-    index = scratch.write(build_index(docs).withColumn("shard", F.monotonically_increasing_id()))
+    index = scratch.write(build_index(docs))
     n, total = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     mean = max(total / max(n, 1), 1e-9)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = term_hashes()
-        for b in frames:
-            terms = [np.unique(words.of((t or "").encode("utf-8"))[0]).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array(terms, pa.binary())], ["query_id", "terms"])
-
-    own = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(parse, "query_id long, terms binary")
-    own = scratch.write(own.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part")
-
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grid = index.select("shard", every, "terms", "counts")
-    asked = own.groupBy("part").agg(F.collect_list("terms").alias("terms"))
-
-    def count(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pairs:
-            for row in b.to_pylist():
-                want = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in row["asked"]]))
-                terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                at = np.minimum(np.searchsorted(terms, want), max(len(terms) - 1, 0))
-                got = (terms[at] == want) if len(terms) else np.zeros(len(want), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(got.sum(), row["part"], np.int32)), pa.array(want[got].view(np.int64)), pa.array(counts[at[got]].astype(np.int64))], ["part", "term", "df"])
-
-    df = grid.join(asked.withColumnRenamed("terms", "asked"), "part").mapInArrow(count, "part int, term long, df long")
-    df = df.groupBy("part", "term").agg(F.sum("df").alias("df")).groupBy("part").agg(F.collect_list("term").alias("t"), F.collect_list("df").alias("df"))
-    ready = scratch.write(own.groupBy("part").agg(F.collect_list("query_id").alias("queries"), F.collect_list("terms").alias("asked")).join(df, "part"))
-
-    def find(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pairs:
-            for k_ in range(b.num_rows):
-                row = {c: b.column(c)[k_] for c in b.schema.names}
-                raw = lambda c, kind: np.frombuffer(row[c].as_buffer(), kind)
-                shard = Shard(raw("ids", np.int64), raw("sizes", np.int64), raw("terms", np.uint64), raw("counts", np.uint32).astype(np.int64), raw("docs", np.uint16), raw("tf", np.uint32), mean)
-                term, many = row["t"].values.to_numpy().view(np.uint64), row["df"].values.to_numpy()
-                order = np.argsort(term)
-                term, idf = term[order], np.log(1 + (n - many[order] + 0.5) / (many[order] + 0.5))
-                out: list[list] = [[], [], []]
-                for query, terms in zip(row["queries"].values.to_pylist(), row["asked"].values):
-                    t = np.frombuffer(terms.as_buffer(), np.uint64)
-                    at = np.minimum(np.searchsorted(term, t), len(term) - 1)
-                    good = term[at] == t
-                    ids, scores = shard.top(t[good], idf[at[good]], k)
-                    out[0].append(np.full(len(ids), query, np.int64))
-                    out[1].append(ids)
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
-
-    work = index.select("shard", every, "ids", "sizes", "terms", "counts", "docs", "tf").join(ready, "part").repartition(max(shards, 1), "shard", "part")
-    best = work.mapInArrow(find, "query_id long, doc_id long, score double")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    own, asked = _asked(queries, _counts(index), scratch)
+    size = asked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // QUERY_BYTES))
+    part = F.pmod(F.xxhash64("text_key"), F.lit(blocks))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        keys = None
+        for b in batches:
+            for row in range(b.num_rows):
+                if keys is None:  # the block is the same in all rows
+                    block = b.column("block")[row].values
+                    keys, lists = block.field("text_key").to_pylist(), block.field("asked")
+                    edges, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+                    code = flat.field("term").dictionary_encode()
+                    df = flat.field("df").to_numpy()
+                    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+                raw = lambda c, kind: np.frombuffer(b.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
+                shard = Shard(raw("ids", np.int64), raw("sizes", np.int64), raw("counts", np.uint32), raw("docs", np.uint16), raw("tf", np.uint32), mean)
+                place = pc.fill_null(pc.index_in(code.dictionary, value_set=b.column("terms")[row].values), -1).to_numpy()[code.indices.to_numpy()]
+                for q in range(len(keys)):
+                    at = place[edges[q] : edges[q + 1]]
+                    have = at >= 0
+                    best[q] = shard.top(at[have], idf[edges[q] : edges[q + 1]][have], k, best.get(q))
+        if best:
+            many = [len(best[q][0]) for q in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.array([key for key, m in zip(keys, many) for _ in range(m)], pa.string()), *(pa.array(np.concatenate([best[q][c] for q in range(len(keys))])) for c in (0, 1))], ["text_key", "doc_id", "score"])
+
+    found = None
+    for j in range(blocks):
+        block = asked.where(part == j).agg(F.collect_list(F.struct("text_key", "asked")).alias("block"))
+        got = scratch.write(index.select("terms", "ids", "sizes", "counts", "docs", "tf").crossJoin(F.broadcast(block)).mapInArrow(find, "text_key string, doc_id long, score double"))
+        found = got if found is None else found.unionByName(got)
+    rank = Window.partitionBy("text_key").orderBy(F.desc("score"), "doc_id")
+    best = scratch.write(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k))
+    scratch.free(index, asked)
+    return own.join(best, "text_key").select("query_id", "rank", "doc_id", "score")

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, rolling
+from .common import Scratch, WordDigests, among, rolling, unlike
 
 WINDOW = 13
-CHUNK_BITS = 11  # documents of a chunk: 2048
+CHUNK_BITS = 10  # documents of a chunk: 1024
 PROBES = 4_000_000  # that one bucket is meant to hold
 PART = 3_000_000  # probes held by a task before it sends them
 
@@ -94,7 +94,7 @@ def _probe(anchors: Anchors, window: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "chunk", "probes", "aligned", "several"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, chunk = WordHashes(), [], 0, None
+        words, held, size, chunk = WordDigests(), [], 0, None
         for b in batches:
             for text, own, at, doc in zip(b.column("text"), b.column("chunk").to_pylist(), b.column("at").to_pylist(), b.column("doc_id")):
                 if own != chunk or size > PART:
@@ -102,7 +102,7 @@ def _probe(anchors: Anchors, window: int):
                     held, size, chunk = [], 0, own
                 if not text.is_valid or not doc.is_valid:
                     continue
-                rolled = anchors.rolled(words.of(text.as_buffer())[0])
+                rolled = anchors.rolled(words.of(text.as_buffer().to_pybytes().split()))
                 if len(rolled):
                     key = rolled << np.uint64(CHUNK_BITS + 1) | np.uint64(at << 1)
                     key[:: anchors.block] |= np.uint64(1)
@@ -130,6 +130,18 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "hits"])
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the ranges, one after the other, and whose range each is of."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - (np.cumsum(n) - n)[of] + start[of], of
+
+
+def _checks(own: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """A digest of the bytes of each window, apart from those of its words: together 128 bits say which windows are equal."""
+    return np.frombuffer(b"".join([hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=8).digest() for k in at.tolist()]), np.uint64)
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -138,74 +150,73 @@ def _extend(anchors: Anchors, digests: bool, buckets: int):
     """For one chunk: hashes of the windows around hits, with the smallest and largest of its documents that have each."""
 
     def run(key: tuple, docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        chunk, words, rows, sent, sent_of = int(key[0]), WordHashes(), [], [], []
+        chunk, words, rows, sent = int(key[0]), WordDigests(), [], []
         known = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in hits["hits"]])) if len(hits) else np.empty(0, np.uint64)
-        names = np.unique(docs["doc_id"].dropna().to_numpy(np.int64))
         for at_, doc, text in zip(docs["at"], docs["doc_id"], docs["text"]):
-            data = (text or "").encode("utf-8")
-            hashes = words.of(data)[0]
+            own = (text or "").encode("utf-8").split()
+            hashes = words.of(own)
             at = anchors.candidates(hashes, known) if not pd.isna(doc) else ()
             if len(at):
-                sent.append(np.unique(rolling(hashes, anchors.window)[at]))
-                sent_of.append(np.full(len(sent[-1]), np.searchsorted(names, int(doc)), np.uint16))
-                rows.append((_PENDING, chunk, at_, doc, len(hashes), None, text, None, None, None, None, None))
+                sent.append((rolling(hashes, anchors.window)[at], _checks(own, at, anchors.window), np.full(len(at), int(doc), np.int64)))
+                rows.append((_PENDING, chunk, at_, doc, len(own), None, text, *[None] * 6))
             else:
-                rows.append((_DONE, chunk, at_, doc, len(hashes), _digest(data.split()) if digests else None, None, None, None, None, None, None))
+                rows.append((_DONE, chunk, at_, doc, len(own), _digest(own) if digests else None, *[None] * 7))
         if sent:
-            window, of = np.concatenate(sent), np.concatenate(sent_of)
-            order = np.lexsort((of, window))
-            window, of = window[order], of[order]
-            start = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-            end = np.append(start[1:], len(window)) - 1
-            window, low, high = window[start], of[start], of[end]
+            window, check, of = (np.concatenate(x) for x in zip(*sent))
+            order = np.lexsort((of, check, window))
+            window, check, of = window[order], check[order], of[order]
+            start = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (check[1:] != check[:-1])))
+            window, check, low, high = window[start], check[start], of[start], of[np.append(start[1:], len(of)) - 1]
             bucket = (window % np.uint64(buckets)).astype(np.int64)
-            for k in np.unique(bucket):
-                m = bucket == k
-                rows.append((_WINDOWS, chunk, None, None, None, None, None, int(k), window[m].tobytes(), low[m].tobytes(), high[m].tobytes(), names.tobytes()))
-        return pd.DataFrame(rows, columns=["what", "chunk", "at", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "low", "high", "names"]).astype({"at": "Int32", "doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
+            order = np.argsort(bucket, kind="stable")
+            for m in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                names, place = np.unique(np.concatenate([low[m], high[m]]), return_inverse=True)
+                place = place.astype(np.uint16).reshape(2, -1)
+                rows.append((_WINDOWS, chunk, *[None] * 5, int(bucket[m[0]]), window[m].tobytes(), check[m].tobytes(), place[0].tobytes(), place[1].tobytes(), names.tobytes()))
+        return pd.DataFrame(rows, columns=["what", "chunk", "at", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "checks", "low", "high", "names"]).astype({"at": "Int32", "doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
 
     return run
 
 
 def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket of windows: for each chunk those that start in a document smaller than one of its own."""
-    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
-    window = np.concatenate(parts[0])
-    low, high = (np.concatenate([n[i] for n, i in zip(parts[3], p)]) for p in parts[1:3])
-    order = np.argsort(window, kind="stable")
-    value = window[order]
-    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    first = np.minimum.reduceat(low[order], start)
+    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint64), ("checks", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
+    window, check = np.concatenate(parts[0]), np.concatenate(parts[1])
+    low, high = (np.concatenate([n[i] for n, i in zip(parts[4], p)]) for p in parts[2:4])
+    order = np.lexsort((check, window))
+    value, other = window[order], check[order]
+    start = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (other[1:] != other[:-1])))
     least = np.empty(len(window), np.int64)
-    least[order] = np.repeat(first, np.diff(np.append(start, len(value))))
+    least[order] = np.repeat(np.minimum.reduceat(low[order], start), np.diff(np.append(start, len(value))))
     use = least < high
     out, at = [], 0
     for chunk, w in zip(pdf["chunk"], parts[0]):
-        m = use[at : at + len(w)]
-        if m.any():
-            out.append((chunk, w[m].tobytes(), least[at : at + len(w)][m].tobytes()))
+        m = slice(at, at + len(w))
         at += len(w)
-    return pd.DataFrame(out, columns=["chunk", "windows", "first"])
+        if use[m].any():
+            out.append((chunk, *(x[m][use[m]].tobytes() for x in (window, check, least))))
+    return pd.DataFrame(out, columns=["chunk", "windows", "checks", "first"])
 
 
 def _cut(anchors: Anchors, digests: bool):
     """For one chunk: take out of each pending document the words of windows that start in a smaller one."""
 
     def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        words, rows = WordHashes(), []
+        words, rows = WordDigests(), []
         if len(known):
-            window = np.concatenate([np.frombuffer(x, np.uint64) for x in known["windows"]])
-            first = np.concatenate([np.frombuffer(x, np.int64) for x in known["first"]])
+            window, check, first = (np.concatenate([np.frombuffer(x, t) for x in known[c]]) for c, t in (("windows", np.uint64), ("checks", np.uint64), ("first", np.int64)))
             order = np.argsort(window)
-            window, first = window[order], first[order]
+            window, check, first = window[order], check[order], first[order]
         for chunk, at_, doc, text in zip(docs["chunk"], docs["at"], docs["doc_id"], docs["text"]):
-            data = text.encode("utf-8")
-            own = data.split()
+            own = text.encode("utf-8").split()
             removed = 0
             if len(known):
-                rolled = rolling(words.of(data)[0], anchors.window)
-                at = _found(rolled, window)
-                begin = np.flatnonzero((at >= 0) & (first[at] < int(doc)))
+                rolled = rolling(words.of(own), anchors.window)
+                lo, hi = np.searchsorted(window, rolled, "left"), np.searchsorted(window, rolled, "right")
+                at = np.flatnonzero(hi > lo)
+                place, of = _ranges(lo[at], hi[at])
+                same = (check[place] == _checks(own, at, anchors.window)[of]) & (first[place] < int(doc))
+                begin = np.unique(at[of[same]])
                 if len(begin):
                     mark = np.zeros(len(own) + 1, np.int64)
                     np.add.at(mark, begin, 1)
@@ -219,8 +230,9 @@ def _cut(anchors: Anchors, digests: bool):
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, digests: bool = False) -> DataFrame:
-    """``chunk, at, doc_id, n_words, n_removed, kept`` per row of ``docs(chunk, at, doc_id, text)``; see numbered().
+def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``chunk, at, doc_id, n_words, n_removed, kept`` per row of ``docs(chunk, at, doc_id, text)``; see numbered(). With it
+    the written table that it reads.
 
     A word goes if a window of ``window`` words that covers it, in the same document, also starts in a document with
     a smaller doc_id. ``kept`` is what is left: its SHA-256 for every document if ``digests``, else its text for
@@ -233,7 +245,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     3. Buckets of windows answer with the smallest document of each, and pending documents are cut.
 
     A bucket's size follows from the number of buckets, not from the data: one passage in every document is one hash
-    from each chunk. Windows are told apart by 64-bit hashes.
+    from each chunk. Blocks only find candidates; windows are told apart by 128 bits, a hash of the digests of their
+    words and a BLAKE2b digest of their bytes.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / 6 / PROBES))))))
@@ -241,31 +254,28 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     rows = docs.select("chunk", "at", "doc_id", "text")
     probes = rows.mapInArrow(_probe(anchors, window), "bucket long, chunk long, probes binary, aligned binary, several binary")
     hits = probes.groupBy("bucket").applyInPandas(_meet, "chunk long, hits binary")
-    schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text string, bucket long, windows binary, low binary, high binary, names binary"
+    schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text string, bucket long, windows binary, checks binary, low binary, high binary, names binary"
     first = scratch.write(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests, buckets), schema))
-    windows = first.where(F.col("what") == _WINDOWS).select("bucket", "chunk", "windows", "low", "high", "names")
-    known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, windows binary, first binary")
+    windows = first.where(F.col("what") == _WINDOWS).select("bucket", "chunk", "windows", "checks", "low", "high", "names")
+    known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, windows binary, checks binary, first binary")
     pending = first.where(F.col("what") == _PENDING).select("chunk", "at", "doc_id", "text")
     cut = pending.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_cut(anchors, digests), "chunk long, at int, doc_id long, n_words long, n_removed long, kept string")
     done = first.where(F.col("what") == _DONE).select("chunk", "at", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept_sha256").alias("kept"))
-    return done.unionByName(cut)
+    return done.unionByName(cut), first
 
 
-_PLACE = ("_chunk as chunk", "_at as at")
-
-
-def numbered(docs: DataFrame, scratch: Scratch, stored: bool) -> DataFrame:
-    """The documents with ``_chunk`` and ``_at``, their place among up to 2048 rows that stand together.
+def numbered(docs: DataFrame, scratch: Scratch, stored: bool) -> tuple[DataFrame, str, str]:
+    """The documents with two more columns, named apart from theirs: their chunk and place among its up to 1024 rows.
 
     The rows of a stored Parquet table have a fixed place in their file. Others are written first, since a second
     reading could give them in another order.
     """
+    n, chunk, at = unlike(docs.columns, "_n", "_chunk", "_at")
     if stored:
         place = F.col("_metadata.row_index")
-        return docs.withColumn("_chunk", F.xxhash64("_metadata.file_path", F.shiftright(place, CHUNK_BITS))).withColumn("_at", (place % (1 << CHUNK_BITS)).cast("int"))
-    n = F.col("_n")
-    rows = scratch.write(docs.withColumn("_n", F.monotonically_increasing_id()))
-    return rows.withColumn("_chunk", F.shiftright(n, CHUNK_BITS)).withColumn("_at", (n % (1 << CHUNK_BITS)).cast("int")).drop("_n")
+        return docs.withColumns({chunk: F.xxhash64("_metadata.file_path", F.shiftright(place, CHUNK_BITS)), at: (place % (1 << CHUNK_BITS)).cast("int")}), chunk, at
+    rows = scratch.write(docs.withColumn(n, F.monotonically_increasing_id()))
+    return rows.withColumns({chunk: F.shiftright(n, CHUNK_BITS), at: (F.col(n) % (1 << CHUNK_BITS)).cast("int")}).drop(n), chunk, at
 
 
 def substring_digests(spark: SparkSession, docs: DataFrame, window: int = WINDOW, stored: bool = False) -> DataFrame:
@@ -277,15 +287,24 @@ def substring_digests(spark: SparkSession, docs: DataFrame, window: int = WINDOW
     that ``docs`` is a Parquet table as Spark read it, which spares a copy of it.
     """
     scratch = Scratch(spark, "substrings")
-    rows = numbered(docs, scratch, stored).selectExpr(*_PLACE, "cast(doc_id as long) as doc_id", "text")
-    return remove_repeats(spark, rows, scratch, window, digests=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    rows, chunk, at = numbered(docs, scratch, stored)
+    rows = rows.select(F.col(chunk).alias("chunk"), F.col(at).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return remove_repeats(spark, rows, scratch, window, digests=True)[0].select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, stored: bool = False) -> DataFrame:
-    """All documents, with all columns; those that lose words get the others, joined by one space, as their text."""
+    """All documents, with all columns; those that lose words get the others, joined by one space, as their text.
+
+    Nulls, repeated rows and empty tables as in substring_digests. Only documents that may lose words are sent by
+    place; the others stay where they are read.
+    """
     scratch = Scratch(spark, "substrings")
-    rows = numbered(docs, scratch, stored)
-    cut = remove_repeats(spark, rows.selectExpr(*_PLACE, "cast(doc_id as long) as doc_id", "text"), scratch, window)
-    cut = scratch.write(cut.where("n_removed > 0").select(F.col("chunk").alias("_chunk"), F.col("at").alias("_at"), F.col("kept").alias("_kept")))
-    out = rows.join(cut, ["_chunk", "_at"], "left").withColumn("text", F.coalesce("_kept", "text"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, chunk, at = numbered(docs, scratch, stored)
+    (kept,) = unlike(rows.columns, "_kept")
+    cut, first = remove_repeats(spark, rows.select(F.col(chunk).alias("chunk"), F.col(at).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, window)
+    cut = scratch.write(cut.where("n_removed > 0").select(F.col("chunk").alias(chunk), F.col("at").alias(at), F.col("kept").alias(kept)))
+    scratch.free(first)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = among(cut, chunk, at)(chunk, at)
+    out = rows.where(maybe).hint("merge").join(cut, [chunk, at], "left").withColumn("text", F.coalesce(kept, "text"))
+    return out.select(*own).unionByName(rows.where(~maybe).select(*own))
