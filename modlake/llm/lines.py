@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 import operator
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, WordDigests, among, unlike
 
-LEADING, MIN_DOCS, SIMILARITY, BLOOM_BITS = 3, 5, 0.8, 1 << 23
+LEADING, MIN_DOCS, SIMILARITY = 3, 5, 0.8
 WILD = "<*>"
 
 
@@ -45,22 +45,6 @@ def line_keys(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     )
 
 
-def _among(column: str, rows: DataFrame, bits: int) -> object:
-    """A test for values of ``rows.m``, from a bitmap of a fixed size; it may let others through, but misses none."""
-    place = F.pmod("m", F.lit(bits))
-    got = rows.groupBy((place / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(m, 32) as int)))").alias("b")).toPandas()
-    words = np.zeros(bits // 32, np.uint32)
-    words[got["w"]] = got["b"].astype(np.uint32)
-    sent = rows.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def seen(m: pd.Series) -> pd.Series:
-        at = m.to_numpy() % bits
-        return pd.Series(sent.value[at // 32] >> (at % 32).astype(np.uint32) & 1 == 1)
-
-    return seen(column)
-
-
 def merged(lines: list[list[str]], leading: int, similarity: float) -> list[int]:
     """For each masked line of one leaf, in order, the place of the line that began its template.
 
@@ -91,83 +75,109 @@ def merged(lines: list[list[str]], leading: int, similarity: float) -> list[int]
     return out
 
 
-def recurring(docs: DataFrame, keys: DataFrame, scratch: Scratch, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, bits: int = BLOOM_BITS) -> DataFrame:
+def wildcards(tokens: list[str], leading: int, words: WordDigests) -> list[int]:
+    """For each token behind the ``leading`` ones a digest of the line without it: of what stands before and behind."""
+    own, link = [words[t.encode("utf-8")] for t in tokens], struct.Struct("<QQ").pack
+    behind = [0]
+    for d in reversed(own):
+        behind.append(xxhash.xxh3_64_intdigest(link(behind[-1], d)))
+    before, out = 0, []
+    for j, d in enumerate(own):
+        if j >= leading:
+            out.append(_signed(xxhash.xxh3_64_intdigest(link(before, behind[len(own) - j - 1]), seed=j)))
+        before = xxhash.xxh3_64_intdigest(link(before, d))
+    return out
+
+
+def recurring(docs: DataFrame, keys: DataFrame, scratch: Scratch, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``(m, first)``: masked lines with a recurring template, and the smallest document that has one of its templates.
 
     A template is a masked line, a set of masked lines of one leaf that differ in one later token only, or one that the
     template tree merges: lines of one leaf with ``similarity`` of their tokens alike. A line may belong to one of each.
-    Lines that can differ in one token share one half; only those are spread out by token. The tree takes the lines
-    that may differ in two tokens or more, each leaf in order of first document.
+    Lines that can differ in one token share one half; only those are spread out by token, each in time linear in its
+    length. The tree takes the lines that may differ in two tokens or more, each leaf in order of first document.
     """
     by_m = scratch.write(keys.groupBy("m").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
     exact = by_m.where(F.col("docs") >= min_docs).select("m", "first")
     least = max(leading + 1, math.ceil(1 / (1 - similarity) - 1e-9))
-    long = by_m.where(F.col("n") >= least)
-    halves = long.select("m", "docs", F.explode(F.array("h1", "h2")).alias("h"))
+    halves = by_m.where(F.col("n") >= least).select("m", "first", "docs", F.explode(F.array("h1", "h2")).alias("h"))
     shared = halves.groupBy("h").agg(F.count("*").alias("k"), F.sum("docs").alias("d")).where((F.col("k") > 1) & (F.col("d") >= min_docs)).select("h")
-    near = scratch.write(halves.join(shared, "h", "left_semi").select("m").distinct())
+    near = scratch.write(halves.join(shared, "h", "left_semi").select("m", "first").distinct())
     several = max(leading + 1, math.ceil(2 / (1 - similarity) - 1e-9))
     long = by_m.where(F.col("n") >= several)
     leaves = long.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("docs").alias("d")).where((F.col("k") > 1) & (F.col("d") >= min_docs)).select("leaf")
     grown = scratch.write(long.join(leaves, "leaf", "left_semi").select("m", "leaf", "first"))
-    wanted = near.unionByName(grown.select("m"))
+    wanted = near.unionByName(grown.select("m", "first"))
     if wanted.isEmpty():
-        return exact
-    texts = scratch.write(_lines(docs).where(F.size("t") >= least).select(F.xxhash64("t").alias("m"), "t").where(_among("m", wanted, bits)).groupBy("m").agg(F.first("t").alias("t")))
+        return scratch.write(exact)
+    read = docs.select("doc_id", "text").where(among(wanted, "first")("doc_id"))  # a line is read where it stands first
+    texts = scratch.write(_lines(read).where(F.size("t") >= least).select(F.xxhash64("t").alias("m"), "t").where(among(wanted, "m")("m")).groupBy("m").agg(F.first("t").alias("t")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", "m"])
         m = pdf["m"].to_numpy()
         return pd.DataFrame({"m": m, "v": m[merged([list(t) for t in pdf["t"]], leading, similarity)]})
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordDigests()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                v = [wildcards(t, leading, words) for t in part.column("t").to_pylist()]
+                where = pa.array([k for k, x in enumerate(v) for _ in x], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("m").take(where), pa.array([x for y in v for x in y], pa.int64())], ["m", "v"])
+
     tree = texts.join(grown, "m").groupBy("leaf").applyInPandas(grow, "m long, v long").select("m", F.xxhash64(F.lit(WILD), "v").alias("v"))
-    wild = F.transform(F.sequence(F.lit(leading + 1), F.size("t")), lambda j: F.xxhash64(j, F.concat(F.slice("t", F.lit(1), j - 1), F.array(F.lit(WILD)), F.slice("t", j + 1, F.size("t")))))
-    variants = scratch.write(texts.join(near, "m", "left_semi").select("m", F.explode(wild).alias("v")).distinct().unionByName(tree))
-    several = variants.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
-    variants = scratch.write(variants.join(several, "v", "left_semi"))
+    wild = texts.join(near.select("m"), "m", "left_semi").mapInArrow(spread, "m long, v long").distinct()
+    all_ = scratch.write(wild.unionByName(tree))
+    several = all_.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
+    variants = scratch.write(all_.join(several, "v", "left_semi"))
+    scratch.free(near, grown, texts, all_)
     of = keys.select("m", "doc_id").join(variants, "m").groupBy("v").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     looser = variants.join(of.where(F.col("docs") >= min_docs), "v").select("m", "first")
-    return exact.unionByName(looser).groupBy("m").agg(F.min("first").alias("first"))
+    out = scratch.write(exact.unionByName(looser).groupBy("m").agg(F.min("first").alias("first")))
+    scratch.free(by_m, variants)
+    return out
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without lines whose template occurs in ``min_docs`` documents or more, but for its first document.
 
-    Adds ``_n_lines`` and ``_n_dropped``; all other columns stay, with what is left of the text. Lines end at U+000A.
-    Blank lines are never dropped. The first document is the one with the smallest id; repeats of a line within a
-    document share its fate. A null text stays null and has one blank line. Rows with a null id lose nothing and
-    count for no template; rows with the same id count as one document. An empty table gives no rows.
+    Adds ``_n_lines`` and ``_n_dropped`` (with more underscores if the documents have such columns), the last two
+    columns; all others stay, with what is left of the text. Lines end at U+000A. Blank lines are never dropped. The
+    first document is the one with the smallest id; repeats of a line within a document share its fate. A null text
+    stays null and has one blank line. Rows with a null id lose nothing and count for no template; rows with the same
+    id count as one document. An empty table gives no rows. Texts are sent only of documents that may lose a line.
     """
     scratch = Scratch(spark, "lines")
     keys = scratch.write(line_keys(docs, leading).where("doc_id is not null").groupBy("doc_id", "line", "m").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
     first = recurring(docs, keys, scratch, leading, min_docs, similarity)
-    gone = keys.select("doc_id", "line", "m").join(first, "m").where("doc_id > first")
-    gone = scratch.write(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone")))
+    own, gone, n_lines, n_dropped = unlike(docs.columns, "_id", "_gone", "_n_lines", "_n_dropped")
+    lost = keys.select("doc_id", "line", "m").join(first, "m").where("doc_id > first")
+    lost = scratch.write(lost.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("line").alias(gone)))
+    scratch.free(keys, first)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {f.name: b.column(k) for k, f in enumerate(b.schema)}
             texts, lines, dropped = [], [], []
-            for text, out in zip(cols["text"].to_pylist(), cols.pop("_gone").to_pylist()):
+            for text, out in zip(cols["text"].to_pylist(), cols.pop(gone).to_pylist()):
                 own = (text or "").split("\n")
-                if out:
-                    bad = set(out)
-                    kept = [x for x in own if not x or _signed(x) not in bad]
-                    text = "\n".join(kept)
-                    dropped.append(len(own) - len(kept))
-                else:
-                    dropped.append(0)
-                texts.append(text)
+                bad = set(out or ())
+                kept = [x for x in own if not x or _signed(xxhash.xxh64_intdigest(x.encode("utf-8"), 42)) not in bad] if bad else own
+                texts.append("\n".join(kept) if bad else text)
                 lines.append(len(own))
-            cols |= {"text": pa.array(texts, pa.string()), "_n_lines": pa.array(lines, pa.int32()), "_n_dropped": pa.array(dropped, pa.int32())}
+                dropped.append(len(own) - len(kept))
+            cols |= {"text": pa.array(texts, pa.string()), n_lines: pa.array(lines, pa.int32()), n_dropped: pa.array(dropped, pa.int32())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.IntegerType()), T.StructField("_n_dropped", T.IntegerType())])
-    return joined.mapInArrow(rebuild, schema)
+    maybe = among(lost, own)(F.col("doc_id"))
+    joined = docs.where(maybe).hint("merge").join(lost, F.col("doc_id") == F.col(own), "left").drop(own)
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.IntegerType()), T.StructField(n_dropped, T.IntegerType())])
+    whole = docs.where(~maybe).withColumn(n_lines, F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).withColumn(n_dropped, F.lit(0))
+    return joined.mapInArrow(rebuild, schema).unionByName(whole)
 
 
-def _signed(line: str) -> int:
-    """What Spark's xxhash64 gives for a string."""
-    h = xxhash.xxh64_intdigest(line.encode("utf-8"), 42)
+def _signed(h: int) -> int:
+    """The bits of an unsigned 64-bit number as Spark's signed one; xxh64 with seed 42 is what Spark gives for a string."""
     return h - (1 << 64) if h >> 63 else h
