@@ -39,7 +39,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_pieces(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    n_spans = (F.octet_length("spans") / 8).cast("long")
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), n_spans.alias("n_spans"), F.sha2("spans", 256).alias("spans_sha256"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
