@@ -130,7 +130,10 @@ def fit(rows: DataFrame, to_pooled: float = 0.3, to_diagonal: float = 0.2, ridge
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> Discriminant | None:
-    """Fit on the labelled documents that are not held out; null labels and values other than 0 and 1 do not count."""
+    """Fit on the labelled documents that are not held out; null labels and values other than 0 and 1 do not count.
+
+    Repeated or contradicting labels of one doc_id count each, as do repeated documents.
+    """
     marks = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("int").alias("y"))
     return fit(stats.where("not held_out").join(marks, "doc_id").select("y", "x"))
 
@@ -157,10 +160,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, bar
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
-    """The documents that score ``bar`` or more, as they are: scored where they are read, without a join."""
-    scratch = Scratch(spark, "quality")
-    marks = labels.where("quality in (0, 1)").select("doc_id").distinct()
-    model = learn(document_statistics(docs.select("doc_id", "text").join(marks, "doc_id", "left_semi")), labels)
+    """The documents that score ``bar`` or more, as they are; all of them if the labels do not have both classes.
+
+    Scored where they are read: only statistics, not texts, are sent to meet the labels. Null texts are scored as
+    empty ones, repeated rows each; an empty table gives no rows; columns of any other name are left alone.
+    """
+    model = learn(document_statistics(docs), labels)
     if model is None:
         return docs
 
