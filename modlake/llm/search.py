@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, SHARD_BYTES, SHARD_TERMS = 16_384, 1 << 26, 1_000_000
-RANGE_BITS, FIRST, QUERY_BYTES, SALTS = 5, 8, 1 << 24, 16
+SHARD_DOCS, SHARD_BYTES, SHARD_TERMS = 8192, 1 << 25, 500_000
+RANGE_BITS, LONG, FIRST, QUERY_BYTES, SALTS, EPS = 5, 256, 64, 1 << 24, 16, 2e-6
 
 #: Terms are runs of ASCII letters and digits and of all bytes from 128 on; A-Z are folded to a-z, all else is a break.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -42,12 +42,12 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Shard:
     """Posting lists by term in order of document, cut where a range of 32 documents ends.
 
-    Each piece of a list knows its range and its largest impact; pieces of all terms end at the same documents, so the
-    sum of the pieces' maxima over a query's terms bounds every score in a range. ``touched`` counts postings looked at.
+    Each piece of a list knows its range and its largest impact, each list its largest impact of all. Pieces of all
+    terms end at the same documents, so maxima of pieces can be added up by range. ``touched`` counts postings read.
     """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray, mean: float):
-        self.ids, self.n, self.docs = ids, len(ids), docs.astype(np.int32)
+        self.ids, self.n, self.docs = ids, len(ids), docs.astype(np.int64)
         tf = tf.astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
         term = np.repeat(np.arange(len(counts)), counts)
@@ -55,63 +55,72 @@ class Shard:
         start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (place[1:] != place[:-1]))) if len(term) else np.empty(0, np.int64)
         self.start, self.range = np.append(start, len(term)), place[start]
         self.most = np.maximum.reduceat(self.impact, start) if len(term) else np.empty(0)
-        self.first = np.searchsorted(term[start], np.arange(len(counts) + 1))
+        self.list = np.append(0, np.cumsum(counts.astype(np.int64)))
+        self.piece = np.searchsorted(start, self.list)
+        self.best = np.maximum.reduceat(self.impact, self.list[:-1]) if len(term) else np.empty(0)
         self.ranges = (self.n >> RANGE_BITS) + 1
         self.touched = 0
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k best documents of this shard and of ``best``, and their scores (rounded to 6 places, then smallest id).
 
-        Each term has a cursor in its list. The shallow move reads the block maxima of all ranges ahead; the pivot is
-        the next range in document order whose sum can reach the k-th best score so far, and cursors go there at once,
-        past postings that are never looked at. Ranges from a pivot on are scored a few at a time, more as the bar
-        settles; each time the bar has risen, the pivots ahead are chosen anew. The first ranges scored are those of
-        the largest sums, so that the bar is high from the beginning.
+        Cursors run through whole lists as long as they must: those with most to give for each posting come first, and
+        the k-th best sum so far is a bar that all results reach. Once the maxima of the lists left cannot reach it by
+        themselves, a document is a pivot only if its sum and the block maxima that the lists left have in its range
+        reach the bar. Their cursors go from pivot to pivot in order of document, past all other pieces; the bar rises
+        with every few pivots scored, and pivots ahead that no longer reach it are passed over.
         """
         ids, scores = best or (np.empty(0, np.int64), np.empty(0))
-        pieces = self.first[terms + 1] - self.first[terms]
-        cursor = _ranges(self.first[terms], self.first[terms + 1])
+        size = self.list[terms + 1] - self.list[terms]
+        order = np.argsort(-idf * self.best[terms] / size, kind="stable")
+        terms, idf, size = terms[order], idf[order], size[order]
+        upto, left = np.append(0, np.cumsum(size)), np.append(np.cumsum((idf * self.best[terms])[::-1])[::-1], 0)
+        total, at, run, bar = np.zeros(self.n), 0, self.n, scores[-1] if len(scores) == k else 0.0
+        while at < len(terms) and left[at] + EPS >= bar:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + run, "right")) - 1)
+            run = min(2 * run, 4 * self.n)
+            short = at + np.flatnonzero(size[at:to] < LONG)
+            posts = _ranges(self.list[terms[short]], self.list[terms[short] + 1])
+            if len(posts):
+                total += np.bincount(self.docs[posts], self.impact[posts] * np.repeat(idf[short], size[short]), self.n)
+            for j in (at + np.flatnonzero(size[at:to] >= LONG)).tolist():
+                own = slice(self.list[terms[j]], self.list[terms[j] + 1])
+                total[self.docs[own]] += self.impact[own] * idf[j]
+            self.touched += int(upto[to] - upto[at])
+            at = to
+            if self.n >= k:
+                bar = max(bar, np.partition(total, self.n - k)[self.n - k])
+        terms, idf = terms[at:], idf[at:]
+        pieces = self.piece[terms + 1] - self.piece[terms]
+        cursor = _ranges(self.piece[terms], self.piece[terms + 1])
         weight, place = np.repeat(idf, pieces), self.range[cursor]
-        bound = np.bincount(place, self.most[cursor] * weight, self.ranges) + 1e-6
-        bound[np.bincount(place, minlength=self.ranges) == 0] = -1
-
-        def bar() -> float:
-            return scores[-1] if len(scores) == k else 0.0
-
-        def score(pivots: np.ndarray) -> None:
-            nonlocal ids, scores
+        bound = total + np.bincount(place, self.most[cursor] * weight, self.ranges)[np.arange(self.n) >> RANGE_BITS] + EPS
+        ahead, step = np.flatnonzero(bound >= max(bar, 2 * EPS)), FIRST
+        while len(ahead):
+            pivots, ahead = ahead[:step], ahead[step:]
             chosen = np.zeros(self.ranges, bool)
-            chosen[pivots] = True
+            chosen[pivots >> RANGE_BITS] = True
             use = chosen[place]
             own = cursor[use]
             n = self.start[own + 1] - self.start[own]
             posts = _ranges(self.start[own], self.start[own + 1])
             self.touched += len(posts)
-            total = np.bincount(self.docs[posts], self.impact[posts] * np.repeat(weight[use], n), self.n).round(6)
-            hit = np.flatnonzero((total > 0) & (total >= bar()))
-            ids, scores = np.append(ids, self.ids[hit]), np.append(scores, total[hit])
+            score = (total[pivots] + np.bincount(self.docs[posts], self.impact[posts] * np.repeat(weight[use], n), self.n)[pivots]).round(6)
+            hit = np.flatnonzero(score > 0)
+            ids, scores = np.append(ids, self.ids[pivots[hit]]), np.append(scores, score[hit])
             order = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[order], scores[order]
-
-        first = np.argsort(-bound, kind="stable")[:FIRST]
-        first = first[bound[first] >= max(bar(), 0)]
-        if len(first):
-            score(np.sort(first))
-        bound[first] = -1
-        at, step = 0, FIRST
-        while at < self.ranges:
-            pivots = at + np.flatnonzero(bound[at:] >= max(bar(), 0))[:step]
-            if not len(pivots):
-                break
-            score(pivots)
-            at, step = int(pivots[-1]) + 1, step * 2
+            if len(scores) == k:
+                bar = max(bar, scores[-1])
+                ahead = ahead[bound[ahead] >= bar]
+            step *= 2
         return ids, scores
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Rows of one shard each: ``n, total, terms`` and, as bytes, ``ids, sizes, counts, docs, tf``.
 
-    A shard is what a task reads next to each other, up to 16,384 documents, 64 MB of text or a million terms: nothing
+    A shard is what a task reads next to each other, up to 8192 documents, 32 MB of text or half a million terms: nothing
     is shuffled, and no source or group fills a shard with more than its share.
     """
     def flush(ids: list, numbers: Numbers, found: list) -> pa.RecordBatch:

@@ -66,13 +66,19 @@ def test_pieces(spark, docs, rows):
     got = {r.doc_id: r for r in pieces.encode_pieces(docs, P.path("piece_bpe_32k.model")).collect()}
     for k, t in rows:
         ids = library.encode(t or "", add_bos=True, add_eos=True)
+        ends = struct.unpack(f"<{2 * len(ids) - 4}I", got[k].spans)
+        assert max(ends, default=0) == len((t or "").encode())
         assert list(struct.unpack(f"<{len(ids)}I", got[k].ids)) == ids and got[k].decoded == library.decode(ids)
 
 
 def test_piece_spans_cover_the_text():
     m = pieces.PieceModel(P.path("piece_bpe_32k.model"))
-    for t in ("a déjà  日本", "😀 x\n", " two  spaces", "▁ mark"):
+    for t in ("a déjà  日本", "😀 x\n", " two  spaces", "▁ mark", "a b\nc 😀日 éd " + "x" * 70):
         spans = m.spans(t)
+        import pyarrow as pa
+
+        sizes, ids, start, end = m.encode_all(pa.array(["b", t, None, t]))
+        assert list(zip(ids, start, end))[sizes[0] : sizes[0] + sizes[1]] == spans and sizes[2] == 0 and sizes[3] == sizes[1]
         assert [i for i, _, _ in spans] == m.encode(t)[1:-1]
         edges = sorted({s for _, s, _ in spans} | {len(t.encode())})
         assert edges[0] == 0 and all(s <= e for _, s, e in spans) and max(e for _, _, e in spans) == len(t.encode())
@@ -374,15 +380,41 @@ def test_search(spark, docs, rows):
 
 
 def test_pruning_changes_nothing():
+    """Long lists are entered at pivots only: most of their postings are never read, and the result is that of all."""
     r = np.random.default_rng(1)
     n = 4000
-    docs = np.concatenate([np.flatnonzero(r.random(n) < p) for p in (0.4, 0.2, 0.05, 0.002)])
-    sizes = r.integers(20, 400, n)
-    counts = np.array([len(x) for x in np.split(docs, np.flatnonzero(np.diff(docs) < 0) + 1)])
-    shard = search.Shard(np.arange(n), sizes, np.arange(4, dtype=np.uint64), counts, docs, r.integers(1, 6, len(docs)), 200.0)
-    idf = np.array([0.5, 1.2, 2.8, 6.0])
+    shares = [0.9, 0.8, 0.7, 0.6, 0.5] + [0.004] * 12
+    lists = [np.flatnonzero(r.random(n) < p) for p in shares]
+    lists[5] = lists[6] = lists[7] = lists[5][:14]  # a few documents stand out
+    docs, counts, sizes = np.concatenate(lists), np.array(list(map(len, lists))), r.integers(20, 400, n)
+    shard = search.Shard(np.arange(n), sizes, counts, docs, r.integers(1, 6, len(docs)), 200.0)
+    idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
     total = np.bincount(shard.docs, shard.impact * np.repeat(idf, counts), n).round(6)
     want = np.lexsort((np.arange(n), -total))[:10]
-    ids, scores = shard.top(np.arange(4, dtype=np.uint64), idf, 10)
+    ids, scores = shard.top(np.arange(len(lists)), idf, 10)
     assert ids.tolist() == want.tolist() and scores.tolist() == total[want].tolist()
-    assert shard.scored < n / 2
+    assert shard.touched < len(docs) / 3
+    before = shard.touched
+    high = (np.arange(10) + n, np.full(10, total.max() + 1))
+    assert shard.top(np.arange(len(lists)), idf, 10, high)[0].tolist() == high[0].tolist() and shard.touched == before
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pruning_on_random_lists(seed):
+    r = np.random.default_rng(seed)
+    n, k = int(r.integers(1, 300)), int(r.integers(1, 12))
+    lists = [np.flatnonzero(r.random(n) < p) for p in r.random(30) ** 4]
+    lists = [x for x in lists if len(x)] or [np.array([0])]
+    docs, counts = np.concatenate(lists), np.array(list(map(len, lists)))
+    shard = search.Shard(np.arange(n) // 2, r.integers(1, 40, n), counts, docs, r.integers(1, 4, len(docs)), 20.0)
+    idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+    asked = np.flatnonzero(r.random(len(lists)) < 0.7)
+    total = np.zeros(n)
+    for t in asked:
+        at = slice(shard.list[t], shard.list[t + 1])
+        total[shard.docs[at]] += shard.impact[at] * idf[t]
+    total = total.round(6)
+    hit = np.flatnonzero(total > 0)
+    want = hit[np.lexsort((shard.ids[hit], -total[hit]))][:k]
+    ids, scores = shard.top(asked, idf[asked], k)
+    assert np.allclose(scores, total[want], atol=2e-6) and sorted(ids) == sorted(shard.ids[want])
