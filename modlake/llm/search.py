@@ -48,16 +48,20 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray, mean: float):
         self.ids, self.n, self.docs = ids, len(ids), docs.astype(np.int64)
-        tf = tf.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))
-        term = np.repeat(np.arange(len(counts)), counts)
-        place = self.docs >> RANGE_BITS
-        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (place[1:] != place[:-1]))) if len(term) else np.empty(0, np.int64)
-        self.start, self.range = np.append(start, len(term)), place[start]
-        self.most = np.maximum.reduceat(self.impact, start) if len(term) else np.empty(0)
         self.list = np.append(0, np.cumsum(counts.astype(np.int64)))
+        self.impact = tf * (K1 + 1)
+        weight = (K1 * (1 - B + B * sizes / mean))[self.docs]
+        weight += tf
+        self.impact /= weight
+        del weight
+        place = (self.docs >> RANGE_BITS).astype(np.int32)
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        new[self.list[:-1]] = True
+        start = np.flatnonzero(new)
+        self.start, self.range = np.append(start, len(place)), place[start]
+        self.most = np.maximum.reduceat(self.impact, start) if len(place) else np.empty(0)
         self.piece = np.searchsorted(start, self.list)
-        self.best = np.maximum.reduceat(self.impact, self.list[:-1]) if len(term) else np.empty(0)
+        self.best = np.maximum.reduceat(self.impact, self.list[:-1]) if len(place) else np.empty(0)
         self.ranges = (self.n >> RANGE_BITS) + 1
         self.touched = 0
 
@@ -130,7 +134,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         tf = np.diff(np.append(start, len(key)))
         key = key[start]
         counts = np.bincount(key >> 16, minlength=len(numbers))
-        arrays = [np.array(ids, np.int64), sizes, counts.astype(np.uint32), (key & 0xFFFF).astype(np.uint16), tf.astype(np.uint32)]
+        arrays = [np.array(ids, np.int64), sizes, counts.astype(np.uint32), (key & 0xFFFF).astype(np.uint16), tf.astype(np.min_scalar_type(tf.max(initial=0)))]
         terms = pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(list(numbers), pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(sizes.sum())]), terms, *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["n", "total", "terms", "ids", "sizes", "counts", "docs", "tf"])
 
@@ -178,7 +182,7 @@ def _asked(queries: DataFrame, counts: DataFrame, scratch: Scratch) -> tuple[Dat
 
     terms = own.groupBy("text_key").agg(F.first("text").alias("text")).mapInArrow(parse, "text_key string, term binary")
     terms = scratch.write(terms.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")))
-    df = counts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = counts.groupBy("term").agg(F.sum("df").alias("df")).join(terms.select("term").distinct(), "term", "left_semi")
     df = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = terms.join(df, ["term", "salt"]).groupBy("text_key").agg(F.collect_list(F.struct("term", "df")).alias("asked"))
     return own.select("query_id", "text_key"), scratch.write(asked.withColumn("size", F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x.term) + 16)))
@@ -218,7 +222,8 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
                     df = flat.field("df").to_numpy()
                     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
                 raw = lambda c, kind: np.frombuffer(b.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
-                shard = Shard(raw("ids", np.int64), raw("sizes", np.int64), raw("counts", np.uint32), raw("docs", np.uint16), raw("tf", np.uint32), mean)
+                docs = raw("docs", np.uint16)
+                shard = Shard(raw("ids", np.int64), raw("sizes", np.int64), raw("counts", np.uint32), docs, np.frombuffer(tf := b.column("tf")[row].as_buffer(), f"u{tf.size // max(1, len(docs)) or 1}"), mean)
                 place = pc.fill_null(pc.index_in(code.dictionary, value_set=b.column("terms")[row].values), -1).to_numpy()[code.indices.to_numpy()]
                 for q in range(len(keys)):
                     at = place[edges[q] : edges[q + 1]]
