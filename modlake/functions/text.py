@@ -25,7 +25,8 @@ def leak_key(text: Column, collapse: bool = True) -> Column:
 
 
 def unleet(text: Column) -> Column:
-    return F.translate(text, LOOKALIKES, LETTERS)
+    """Look-alikes as letters; an asterisk goes."""
+    return F.translate(text, LOOKALIKES + "*", LETTERS)
 
 
 def hashtag_words(tag: Column) -> Column:
@@ -62,10 +63,10 @@ def swap_pronoun(text: Column, old: str, new: str) -> Column:
 
 
 def windows(words: Column, size: int, stride: int) -> Column:
-    """Overlapping windows of words; the last one ends with the text."""
+    """Overlapping windows of a text of more than ``size`` words, else none; the last one ends with the text."""
     n = F.size(words)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (i == 0) | (i + (size - stride) < n))
-    return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(n > size, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def network_of(ip: Column) -> Column:
@@ -121,9 +122,12 @@ def sigmoid(z: Column) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    p = k / n
-    mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+    """The interval, held to 0..1; of no trials all of it."""
+    m = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / m
+    mid, half = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
+    low, high = (mid - half) / (1 + z * z / m), (mid + half) / (1 + z * z / m)
+    return F.coalesce(F.greatest(low, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(high, F.lit(1.0)), F.lit(1.0))
 
 
 def code_sum_score(text: Column) -> Column:

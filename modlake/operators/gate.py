@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import SPAN, normalise, normalised
+
 ACTIONS = ("block", "revise", "flag")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regular expression; words: whole words or phrases, plural too; targeted: a subject and a term in one sentence."""
+    """pattern: a regular expression; words: whole words or phrases; targeted: a subject and a term in one sentence.
+
+    ``excluded`` takes terms out of ``file_terms`` only: what a rule lists itself stays.
+    """
 
     id: str
     category: str
@@ -22,68 +30,113 @@ class Rule:
     terms: tuple[str, ...] = ()
     subjects: tuple[str, ...] = ()
     surfaces: tuple[str, ...] | None = None
+    file_terms: tuple[str, ...] = ()
     excluded: frozenset[str] = field(default_factory=frozenset)
 
     def __post_init__(self):
         if self.action not in ACTIONS or self.kind not in ("pattern", "words", "targeted"):
             raise ValueError(f"rule {self.id}: unknown action or kind")
 
+    @property
+    def listed(self) -> list[str]:
+        """The normalised terms, longest first."""
+        out = {normalise(t)[0] for t in self.excluded}
+        terms = {normalise(t)[0] for t in self.terms} | {normalise(t)[0] for t in self.file_terms} - out
+        return sorted(terms - {""}, key=lambda t: (-len(t), t))
+
     @property
     def active(self) -> bool:
-        return bool(self.pattern or set(self.terms) - self.excluded) and (self.kind != "targeted" or bool(self.subjects))
+        return bool(self.pattern or self.listed) and (self.kind != "targeted" or bool(self.subjects))
 
 
-def _words(terms) -> str:
-    """An alternation, longest first, that does not begin or end inside a word; -s, or -es after s, x, z, ch, sh."""
-    def one(t: str) -> str:
-        quoted = r"\Q" + t + r"\E"
-        if len(t) < 3 or not t[-1].isalpha():
-            return quoted
-        return quoted + ("(?:es)?" if t.endswith(("s", "x", "z", "ch", "sh")) else "s?")
+_EDGE = r"[\p{L}\p{M}\p{N}_]"
 
-    return r"(?<![\w])(?:" + "|".join(one(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?![\w])"
 
+def _term(t: str) -> str:
+    """A term; a single word also with the -s or -es that makes it a plural."""
+    quoted = re.escape(t)
+    if not t.isalpha() or len(t) < 2:
+        return quoted
+    return quoted + ("(?:es)?" if t.endswith("s") else "(?:e?s)?" if t.endswith(("x", "z", "ch", "sh")) else "s?")
 
-def finder(rule: Rule) -> str | None:
-    terms = [t.lower() for t in rule.terms if t not in rule.excluded]
-    if rule.kind == "targeted":
-        return None
-    parts = ([rule.pattern] if rule.pattern else []) + ([_words(terms)] if terms else [])
-    return "(?i)(?:" + "|".join(f"(?:{p})" for p in parts) + ")"
+
+def finder(rule: Rule) -> str:
+    """A regular expression, for Java and the ``regex`` package alike, over normalised text: the pattern or a listed
+    term that neither begins nor ends inside a word of any script."""
+    parts = [rule.pattern] if rule.pattern else []
+    if rule.listed:
+        parts.append(f"(?<!{_EDGE})(?:{'|'.join(map(_term, rule.listed))})(?!{_EDGE})")
+    return "|".join(f"(?:{p})" for p in parts)
+
+
+def addressed(rule: Rule) -> str:
+    """The subjects, as they are or before an apostrophe."""
+    return f"(?<!{_EDGE})(?:{'|'.join(re.escape(normalise(x)[0]) for x in rule.subjects)})(?!{_EDGE})"
 
 
-def matches(rule: Rule, text: Column) -> Column:
-    """Whether a rule fires on lower-cased text."""
+def matches(rule: Rule, norm: Column) -> Column:
+    """Whether a rule fires on normalised text."""
     if rule.kind != "targeted":
-        return text.rlike(finder(rule))
-    spans = F.split(text, r"[.!?]+(?=\s|$)|[।॥]+")
-    return F.exists(spans, lambda s: s.rlike(_words(rule.subjects)) & s.rlike(_words(rule.terms)))
+        return norm.rlike("(?i)" + finder(rule))
+    spans = F.split(norm, r"[.!?]+(?=\s|\z)|[।॥]+")
+    return F.exists(spans, lambda s: s.rlike(addressed(rule)) & s.rlike(finder(rule)))
 
 
 def check(docs: DataFrame, rules: list[Rule], text: str = "text", surface: str | None = None) -> DataFrame:
     """Adds ``gate_matches`` (array of rule_id, category, action, hits), ``blocked``, ``needs_revision`` and ``flagged``.
 
-    Rules run in order of action, then of the list; what stands behind the first block is not reported. A rule without
-    surfaces, or a row without one, is not restricted.
+    Texts are normalised once, so that widths, case and invisible characters hide nothing. Rules run in order of
+    action, then of the list, up to the first block, which is then the only match. A rule without surfaces, or a row
+    without one, is not restricted. Null texts match nothing.
     """
+    norm = "_norm"
+    while norm in docs.columns:
+        norm = "_" + norm
     order = sorted((r for r in rules if r.active), key=lambda r: ACTIONS.index(r.action))
-    low = F.lower(F.col(text))
-    found = []
-    for k, r in enumerate(order):
-        fires = matches(r, low)
-        if r.surfaces is not None and surface:
-            fires = fires & (F.col(surface).isNull() | F.col(surface).isin(*r.surfaces))
-        hits = F.size(F.regexp_extract_all(low, F.lit(finder(r)), F.lit(0))) if r.kind != "targeted" else F.lit(1)
-        found.append(F.when(fires, F.struct(F.lit(k).alias("rank"), F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.action).alias("action"), hits.alias("hits"))))
-    every = F.filter(F.array(*found), lambda m: m.isNotNull())
-    out = docs.withColumn("_all", every)
-    first = F.array_min(F.transform(F.filter("_all", lambda m: m.action == "block"), lambda m: m["rank"]))
-    out = out.withColumn("_first", first)
-    out = out.withColumn("gate_matches", F.filter("_all", lambda m: F.col("_first").isNull() | (m["rank"] <= F.col("_first")))).drop("_all", "_first")
+
+    def fires(r: Rule) -> Column:
+        out = F.coalesce(matches(r, F.col(norm)), F.lit(False))
+        return out & (F.col(surface).isNull() | F.col(surface).isin(*r.surfaces)) if r.surfaces is not None and surface else out
+
+    def report(r: Rule) -> Column:
+        hits = F.lit(1) if r.kind == "targeted" else F.regexp_count(F.col(norm), F.lit("(?i)" + finder(r)))
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.action).alias("action"), hits.cast("int").alias("hits"))
+
+    none = F.array().cast("array<struct<rule_id:string,category:string,action:string,hits:int>>")
+    others = [F.when(fires(r), report(r)) for r in order if r.action != "block"]
+    found = F.filter(F.array(*others), lambda m: m.isNotNull()) if others else none
+    chain = None
+    for r in order:
+        if r.action == "block":  # the first that fires ends the reading
+            chain = F.when(fires(r), F.array(report(r))) if chain is None else chain.when(fires(r), F.array(report(r)))
+    out = docs.withColumn(norm, normalised(F.col(text))).withColumn("gate_matches", found if chain is None else chain.otherwise(found)).drop(norm)
     has = lambda a: F.exists("gate_matches", lambda m: m.action == a)
     return out.withColumn("blocked", has("block")).withColumn("needs_revision", has("revise")).withColumn("flagged", has("flag"))
 
 
+def match_spans(text: str | None, rule: Rule) -> list[tuple[int, int]]:
+    """Where a rule's finds stand in the text as written; of a targeted rule the terms of sentences with a subject."""
+    norm, source = normalise(text or "")
+    find, subject = regex.compile(finder(rule), regex.I), None
+    if rule.kind == "targeted":
+        subject = regex.compile(addressed(rule))
+    edges = [0, *(x for m in re.finditer(r"[.!?]+(?=\s|$)|[।॥]+", norm) for x in m.span()), len(norm)]
+    spans = list(zip(edges[::2], edges[1::2])) if subject else [(0, len(norm))]
+    return [(source[m.start()], source[m.end() - 1] + 1) for a, b in spans if not subject or subject.search(norm, a, b) for m in find.finditer(norm, a, b) if m.end() > m.start()]
+
+
+def located(docs: DataFrame, rules: list[Rule], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, rule_id, start, end`` of every find of the rules that fired on the rows of check(); only these are read again."""
+    by_id = {r.id: r for r in rules}
+
+    @F.pandas_udf(SPAN)
+    def spans(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e} for s, e in match_spans(t, by_id[i])] for t, i in zip(texts, ids)])
+
+    fired = docs.select(key, text, F.explode("gate_matches.rule_id").alias("rule_id"))
+    return fired.select(key, "rule_id", F.explode(spans(text, "rule_id")).alias("s")).select(key, "rule_id", "s.start", "s.end")
+
+
 #: A small pack of our own words, in kind like a moderation service's.
 DEFAULT_RULES = [
     Rule("abuse.words", "abuse", "block", "words", terms=("idiot", "scum", "moron")),

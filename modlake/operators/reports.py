@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,26 @@ def rehearsal(df: DataFrame, key: Column, shares: dict[str, float], by: Column,
     return df.where((split != "train") | keep)
 
 
+def _waits(times: np.ndarray, admitted: list[float], limit: int, window: float) -> np.ndarray:
+    """Waits of one key's rows in order of time; ``admitted`` has its last admitted times and is carried on.
+
+    A row is refused while the limit-th last admitted time is within the window, and so are all that follow until it
+    no longer is: such a run is found by search and filled at once.
+    """
+    out, i = np.zeros(len(times), np.int64), 0
+    while i < len(times):
+        if len(admitted) < limit or times[i] - admitted[-limit] > window:
+            admitted.append(times[i])
+            i += 1
+            continue
+        since = times[i : int(np.searchsorted(times, admitted[-limit] + window, "right")) + 1] - admitted[-limit]
+        since = since[since <= window]
+        out[i : i + len(since)] = (window - since).astype(np.int64) + 1
+        i += len(since)
+    del admitted[:-limit]
+    return out
+
+
 def rate_limited(df: DataFrame, key: str, at: str, tie: str, limit: int, window: float) -> DataFrame:
     """Adds ``wait``: 0 for an admitted row, else the seconds until the key is admitted again. Only admitted rows count.
     Rows of a key are read in order of time as a stream; the state is at most ``limit`` times for the key at hand.
@@ -138,20 +159,16 @@ def rate_limited(df: DataFrame, key: str, at: str, tie: str, limit: int, window:
     rows = df.where(F.col(at).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, at, tie)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, hits = object(), deque()
+        now, admitted = object(), []
         for b in batches:
-            waits = []
-            for k, t in zip(b[key].astype(object).where(b[key].notna(), None), b[at]):
-                if k != now:
-                    now, hits = k, deque()
-                while hits and t - hits[0] > window:
-                    hits.popleft()
-                if len(hits) >= limit:
-                    waits.append(int(window - (t - hits[0])) + 1)
-                else:
-                    hits.append(t)
-                    waits.append(0)
-            yield b.assign(wait=pd.Series(waits, index=b.index, dtype="int64"))
+            codes, times, waits = pd.factorize(b[key], use_na_sentinel=False)[0], b[at].to_numpy(float), []
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(b)]
+            for start, end in zip(edges, edges[1:] if len(b) else []):
+                own = None if pd.isna(b[key].iloc[start]) else b[key].iloc[start]
+                if own != now:
+                    now, admitted = own, []
+                waits.append(_waits(times[start:end], admitted, limit, window))
+            yield b.assign(wait=np.concatenate(waits) if waits else np.empty(0, np.int64))
 
     from pyspark.sql.types import LongType, StructType
 

@@ -83,10 +83,6 @@ query("r5_sliding_offenders", LOG + """SELECT user_id, w AS start, count(*) AS t
  GROUP BY 1,2 HAVING count(*) FILTER (decision='reject') >= 3""")(lambda t: jobs.sliding_offenders(t.log, 3).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "total", "rejected"))
 query("r10_decision_mix", LOG + """, d AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (decision='reject') AS rejected FROM log GROUP BY 1), m AS (SELECT sum(rejected)/sum(n) AS p FROM d)
  SELECT day::VARCHAR AS day, n, rejected, round(rejected/n,6) AS share, round(greatest(0.0, p-3*sqrt(p*(1-p)/n)),6) AS low, round(p+3*sqrt(p*(1-p)/n),6) AS high FROM d, m""")(lambda t: jobs.decision_mix(t.log).withColumn("day", F.col("day").cast("string")))
-query("j15_blocked_flags", LOG + "SELECT user_id, count(*) AS n, user_id % 10 = 3 AS blocked FROM log WHERE user_id IS NOT NULL GROUP BY 1")(
-    lambda t: t.log.groupBy("user_id").agg(F.count("*").alias("n")).join(t.log.select("user_id").distinct().where("user_id % 10 = 3").withColumn("b", F.lit(True)), "user_id", "left").where("user_id is not null").select("user_id", "n", F.coalesce("b", F.lit(False)).alias("blocked")))
-query("f14_blocklist_priority", LOG + """SELECT request_id, CASE WHEN user_id % 10 = 3 THEN 'member' WHEN request_id % 7 = 0 THEN 'ip' WHEN request_id % 49 < 14 THEN 'network' END AS scope FROM log""")(
-    lambda t: t.log.select("request_id", F.when(F.col("user_id") % 10 == 3, "member").when(F.col("request_id") % 7 == 0, "ip").when(F.col("request_id") % 49 < 14, "network").alias("scope")))
 query("j25_run_delta", LOG + """, d AS (SELECT decision, ts::DATE AS day, count(*) AS n FROM log GROUP BY 1,2) SELECT decision, day::VARCHAR AS day, n, n - lag(n) OVER (PARTITION BY decision ORDER BY day) AS delta FROM d""")(
     lambda t: t.log.groupBy("decision", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).select("decision", F.col("day").cast("string").alias("day"), "n", (F.col("n") - F.lag("n").over(Window.partitionBy("decision").orderBy("day"))).alias("delta")))
 query("w19_keep_last", LOG + "SELECT user_id, request_id FROM (SELECT user_id, request_id, row_number() OVER (PARTITION BY user_id ORDER BY request_id DESC) AS r FROM log) WHERE r <= 3")(lambda t: corpus.capped(t.log, "user_id", 3, F.desc("request_id")).select("user_id", "request_id"))
@@ -97,8 +93,8 @@ query("p25_p26_p27_keys", r"""SELECT doc_id, md5(lower(trim(regexp_replace(text,
     lambda t: t.documents.select("doc_id", F.md5(T.norm_key(F.col("text"))).alias("k"), T.skeleton(F.col("text")).alias("s"), F.md5(T.leak_key(F.col("text"))).alias("l")))
 query("p15_p31_p32_readings", r"""SELECT doc_id, sha256(text) AS sha, left(text, 250) || CASE WHEN length(text) > 250 THEN '...' ELSE '' END AS preview, right(CASE WHEN regexp_matches(rtrim(text), '[^.!?।॥]$') THEN rtrim(text) || '.' ELSE text END, 12) AS tail FROM documents""")(
     lambda t: t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), T.preview(F.col("text")).alias("preview"), F.right(T.with_terminator(F.col("text")), F.lit(12)).alias("tail")))
-query("p29_unleet", "SELECT doc_id, md5(translate(text, '$@013457!', 'saoieasti')) AS m FROM documents")(lambda t: t.documents.select("doc_id", F.md5(T.unleet(F.col("text"))).alias("m")))
-query("p11_word_windows", """SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, '|')) AS m FROM (SELECT doc_id, list_transform(list_filter(range(0, len(ws), 8), lambda i: i = 0 OR i + 8 < len(ws)), lambda i: array_to_string(ws[i+1:i+16], ' ')) AS w
+query("p29_unleet", "SELECT doc_id, md5(translate(text, '$@013457!*', 'saoieasti')) AS m FROM documents")(lambda t: t.documents.select("doc_id", F.md5(T.unleet(F.col("text"))).alias("m")))
+query("p11_word_windows", """SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, '|')) AS m FROM (SELECT doc_id, list_transform(list_filter(range(0, len(ws), 8), lambda i: len(ws) > 16 AND (i = 0 OR i + 8 < len(ws))), lambda i: array_to_string(ws[i+1:i+16], ' ')) AS w
  FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM documents))""")(
     lambda t: t.documents.select("doc_id", T.windows(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != ""), 16, 8).alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", "|")).alias("m")))
 query("p17_hashtags", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(p_type, ' ', '_') || p_size, '__', '_'), '_+', ' ', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')) AS words FROM part""")(
@@ -136,8 +132,9 @@ def _linear(t: Tables) -> DataFrame:
 
 
 # -- gate and cascade --------------------------------------------------------------------------------------------------
-query("f2_f3_f6_gate", r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^\w])(idiots?|scums?|morons?)($|[^\w])') OR blocked2 AS blocked FROM (SELECT *, regexp_matches(lower(text), '(^|[^\w])akia[0-9a-z]{16}($|[^\w])')
- OR len(list_filter(regexp_split_to_array(lower(text), '[.!?]+\s|[.!?]+$|[।॥]+'), lambda s: regexp_matches(s, '(^|[^\w])(yous?|theys?|hes?|shes?|it)($|[^\w])') AND regexp_matches(s, '(^|[^\w])(pathetics?|useless(es)?)($|[^\w])'))) > 0 AS blocked2 FROM documents)""")(
+EDGE = r"[^\pL\pM\pN_]"
+query("f2_f3_f4_f6_gate", rf"""SELECT doc_id, regexp_matches(t, '(^|{EDGE})(idiots?|scums?|morons?)($|{EDGE})') OR regexp_matches(t, '(^|[^\w])akia[0-9a-z]{{16}}($|[^\w])')
+ OR len(list_filter(regexp_split_to_array(t, '[.!?]+\s|[.!?]+$|[।॥]+'), lambda s: regexp_matches(s, '(^|{EDGE})(you|they|he|she|it)($|{EDGE})') AND regexp_matches(s, '(^|{EDGE})(pathetics?|useless(es)?)($|{EDGE})'))) > 0 AS blocked FROM (SELECT doc_id, lower(text) AS t FROM documents)""")(
     lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select("doc_id", "blocked"))
 query("f5_gate_rules_hit")(lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select(F.explode("gate_matches").alias("m")).groupBy("m.rule_id", "m.action").agg(F.count("*").alias("docs"), F.sum("m.hits").alias("hits")))
 
@@ -195,8 +192,8 @@ query("a17_a18_metrics_by_source", SCORED + f"SELECT source, {RATIOS} FROM (SELE
 query("a12_breakdowns", SCORED + "SELECT lang, source, count(*) AS n, count(*) FILTER ((p>=0.5) = (y=1)) AS good FROM scored GROUP BY GROUPING SETS ((), (lang), (source))")(
     lambda t: t.scored.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("good")))
 query("a15_calibration", SCORED + "SELECT greatest(ceil(p*15)-1,0)::INT AS bin, count(*) AS n, round(avg(p),6) AS mean_p, round(avg(y),6) AS mean_y FROM scored GROUP BY 1")(lambda t: evaluation.calibration(t.scored, 15))
-for _n, _closed, _bin, _where in (("a14a_ece", "right", "greatest(ceil(p*15)-1,0)", "true"), ("a14b_ece", "left", "least(floor(p*15),14)", "true"), ("a14c_ece", "drop", "greatest(ceil(p*15)-1,0)", "p > 0")):
-    query(_n, SCORED + f"SELECT round(sum(n*abs(a-b))/sum(n),4) AS ece FROM (SELECT {_bin} AS k, count(*) AS n, avg(p) AS a, avg(y) AS b FROM scored WHERE {_where} GROUP BY 1)")(lambda t, c=_closed: evaluation.ece(t.scored, 15, c))
+for _n, _closed, _bin, _where in (("a14a_ece", "right", "greatest(ceil(p*15)-1,0)", "true"), ("a14b_ece", "left", "least(floor(p*10),9)", "true"), ("a14c_ece", "drop", "greatest(ceil(p*15)-1,0)", "p > 0")):
+    query(_n, SCORED + f"SELECT round(sum(n*abs(a-b))/sum(n),4) AS ece FROM (SELECT {_bin} AS k, count(*) AS n, avg(p) AS a, avg(y) AS b FROM scored WHERE {_where} GROUP BY 1)")(lambda t, c=_closed: evaluation.ece(t.scored, 10 if c == "left" else 15, c))
 query("a16_auc", SCORED + "SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)/count(*),6) AS auc FROM scored a, scored b WHERE a.y=1 AND b.y=0")(lambda t: evaluation.auc(t.scored))
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 SWEEP = SCORED + ", g AS (SELECT unnest([" + ",".join(map(str, GRID)) + "])::DOUBLE AS threshold), s AS (SELECT threshold, count(*) FILTER (p < threshold) AS skipped, sum(CASE WHEN p < threshold THEN y ELSE 0 END)::BIGINT AS missed FROM g, scored GROUP BY 1) "
@@ -247,3 +244,4 @@ query("flagship_pricing_summary", """SELECT l_returnflag, l_linestatus, round(su
 
 
 from . import reports as _reports  # noqa: E402, F401  registers further queries
+from . import moderation as _moderation  # noqa: E402, F401  and more

@@ -94,5 +94,3 @@ query("w9_triggers", """WITH g AS (SELECT p_partkey, i, word, (unicode(word) + i
 query("w5_latest_run", LOG + "SELECT decision, max(request_id) AS request_id, arg_max(latency_ms, request_id) AS latency_ms FROM log WHERE latency_ms IS NOT NULL GROUP BY 1")(
     lambda t: t.log.where("latency_ms is not null").groupBy("decision").agg(F.max("request_id").alias("request_id"), F.max_by("latency_ms", "request_id").alias("latency_ms")))
 query("r6_rate_limit")(lambda t: reports.rate_limited(t.log.select("user_id", "request_id", "created_at"), "user_id", "created_at", "request_id", 3, 86400.0))
-query("r8_refused_callers", LOG + "SELECT count(*) AS n, count(*) FILTER (user_id % 10 = 3) AS refused FROM log")(
-    lambda t: t.log.join(F.broadcast(t.spark.range(0, 10).where("id = 3").select(F.col("id").alias("tail"))), F.col("user_id") % 10 == F.col("tail"), "left").agg(F.count("*").alias("n"), F.count("tail").alias("refused")))

@@ -16,12 +16,62 @@ def test_normalise_maps_back():
 
 def test_scan_units_join_fragments():
     t = "Yes. This is a full sentence. No!\nShort\nAnother whole line here."
-    assert [t[s:e] for s, e in spans.scan_units(t)] == ["Yes. This is a full sentence. No!", "Short", "Another whole line here."]
+    assert [t[s:e] for s, e in spans.scan_units(t)] == ["Yes. This is a full sentence. No", "Short", "Another whole line here"]
     assert spans.scan_units("") == [] and spans.scan_units("...") == []
 
 
 def test_deobfuscate_keeps_length():
-    assert spans.deobfuscate("1d10t IDI0T 2024 $") == "idiot IDIOT 2024 $"
+    assert spans.deobfuscate("c0py IDI0T R0lex w4tches 2024 $ 0TP @ccount") == "copy IDIOT Rolex watches 2024 $ OTP account"
+    same = "Hello! 5kg at 3pm, A4 paper, 330W A16 i5 CO2 1st 4pcs"
+    assert spans.deobfuscate(same) == same
+
+
+def test_sentences_need_a_blank_or_the_end():
+    t = "Pay 3.5 kg at www.site.com now. Next!  Last॥ one\n... \nend"
+    assert [t[s:e] for s, e in spans.sentences(t)] == ["Pay 3.5 kg at www.site.com now", "Next", "Last", "one", "end"]
+
+
+def test_units_join_by_line():
+    t = "Hi. Yes. One two three. No. Four five six. Go.\nA b. C"
+    assert [t[s:e] for s, e in spans.scan_units(t)] == ["Hi. Yes. One two three", "No. Four five six. Go", "A b. C"]
+
+
+def test_windows_only_of_longer_texts(spark):
+    rows = spark.createDataFrame([("a b",), ("a b c d e f",), ("a b c d e f g",), ("",)], "t string")
+    got = [r[0] for r in rows.select(T.windows(F.filter(F.split("t", " "), lambda x: x != ""), 4, 2)).collect()]
+    assert got == [[], ["a b c d", "c d e f"], ["a b c d", "c d e f", "e f g"], []]
+
+
+def test_wilson_of_no_trials(spark):
+    lo, hi = T.wilson(F.lit(0), F.lit(0))
+    assert tuple(spark.range(1).select(lo, hi).first()) == (0.0, 1.0)
+    lo, hi = T.wilson(F.lit(5), F.lit(5))
+    got = tuple(spark.range(1).select(lo, hi).first())
+    assert 0.5 < got[0] < got[1] <= 1.0
+
+
+def test_gate_reads_what_is_meant(spark):
+    rules = [
+        gate.Rule("w", "c", "block", "words", terms=("Bad", "two words", "box", "glass"), file_terms=("listed", "spared"), excluded=frozenset({"spared", "bad"})),
+        gate.Rule("t", "c", "revise", "targeted", terms=("Useless",), subjects=("You", "he")),
+    ]
+    text = ["b\u200bad", "ｂａｄ", "ébad", "bads", "badly", "two  Words", "two wordss", "boxes", "glasses", "glasss", "listed", "spared", "he's useless", "yous useless", "You. useless", "useless, you", "कbad", None]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id int, text string")
+    got = {r.doc_id: [m.rule_id for m in r.gate_matches] for r in gate.check(df, rules).collect()}
+    assert [k for k, v in got.items() if v == ["w"]] == [0, 1, 3, 5, 7, 8, 10] and [k for k, v in got.items() if v == ["t"]] == [12, 15]
+    at = {(r.doc_id, r.start, r.end) for r in gate.located(gate.check(df, rules), rules).collect()}
+    assert at == {(0, 0, 4), (1, 0, 3), (3, 0, 4), (5, 0, 10), (7, 0, 5), (8, 0, 7), (10, 0, 6), (12, 5, 12), (15, 0, 7)}
+
+
+def test_normalise_against_one_character_at_a_time():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(300):
+        t = "".join(rng.choice("aÉß \n\t\u00a0\u200bﬁＡ’.\u3000") for _ in range(rng.randint(0, 12)))
+        norm, at = spans.normalise(t)
+        assert norm == " ".join("".join(spans._folded(c) for c in t).split()) and len(at) == len(norm)
+        assert all(x == " " and t[i].isspace() or x in spans._folded(t[i]) for x, i in zip(norm, at)) and at == sorted(at)
 
 
 def test_gate_stops_at_first_block(spark):
