@@ -4,6 +4,7 @@ are extended to maximal repeats of whole windows."""
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordDigests, among, rolling, unlike
 
 WINDOW = 13
-CHUNK_BITS = 10  # documents of a chunk: 1024
+CHUNK_BITS = 11  # documents of a chunk: 2048
 PROBES = 4_000_000  # that one bucket is meant to hold
 PART = 3_000_000  # probes held by a task before it sends them
 
@@ -38,6 +39,14 @@ class Anchors:
             return np.empty(0, np.uint64)
         return rolling(hashes, self.block) >> np.uint64(32 - self.bits)
 
+    def short(self, windows: np.ndarray) -> np.ndarray:
+        """The 32 bits of window hashes behind those that choose the bucket."""
+        return (windows >> np.uint64(32 - self.bits)).astype(np.uint32)
+
+    def placed(self, windows: np.ndarray) -> np.ndarray:
+        """Bucket and short hash as one number."""
+        return windows >> np.uint64(32 - self.bits)
+
     def candidates(self, hashes: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """Starts of the windows around the hits."""
         rolled = self.rolled(hashes)
@@ -138,22 +147,33 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _checks(own: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
-    """A digest of the bytes of each window, apart from those of its words: together 128 bits say which windows are equal."""
+    """A digest of the bytes of each window, apart from those of its words: together they say which windows are equal."""
     return np.frombuffer(b"".join([hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=8).digest() for k in at.tolist()]), np.uint64)
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are sent and kept between the passes: about half the bytes that the block codecs need."""
+    for b in batches:
+        text = pa.array([zlib.compress(t.as_buffer(), 1) if t.is_valid else None for t in b.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("at"), b.column("doc_id"), text], ["chunk", "at", "doc_id", "text"])
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return zlib.decompress(text).split() if text is not None else []
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _extend(anchors: Anchors, digests: bool, buckets: int):
+def _extend(anchors: Anchors, digests: bool):
     """For one chunk: hashes of the windows around hits, with the smallest and largest of its documents that have each."""
 
     def run(key: tuple, docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         chunk, words, rows, sent = int(key[0]), WordDigests(), [], []
         known = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in hits["hits"]])) if len(hits) else np.empty(0, np.uint64)
         for at_, doc, text in zip(docs["at"], docs["doc_id"], docs["text"]):
-            own = (text or "").encode("utf-8").split()
+            own = _words(text)
             hashes = words.of(own)
             at = anchors.candidates(hashes, known) if not pd.isna(doc) else ()
             if len(at):
@@ -167,12 +187,13 @@ def _extend(anchors: Anchors, digests: bool, buckets: int):
             window, check, of = window[order], check[order], of[order]
             start = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (check[1:] != check[:-1])))
             window, check, low, high = window[start], check[start], of[start], of[np.append(start[1:], len(of)) - 1]
-            bucket = (window % np.uint64(buckets)).astype(np.int64)
+            bucket = (window >> np.uint64(64 - anchors.bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for m in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 names, place = np.unique(np.concatenate([low[m], high[m]]), return_inverse=True)
                 place = place.astype(np.uint16).reshape(2, -1)
-                rows.append((_WINDOWS, chunk, *[None] * 5, int(bucket[m[0]]), window[m].tobytes(), check[m].tobytes(), place[0].tobytes(), place[1].tobytes(), names.tobytes()))
+                low_, more = place[0], place[0] ^ place[1]  # mostly the same: then it takes no room
+                rows.append((_WINDOWS, chunk, *[None] * 5, int(bucket[m[0]]), anchors.short(window[m]).tobytes(), check[m].tobytes(), low_.tobytes(), more.tobytes(), names.tobytes()))
         return pd.DataFrame(rows, columns=["what", "chunk", "at", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "checks", "low", "high", "names"]).astype({"at": "Int32", "doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
 
     return run
@@ -180,9 +201,10 @@ def _extend(anchors: Anchors, digests: bool, buckets: int):
 
 def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket of windows: for each chunk those that start in a document smaller than one of its own."""
-    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint64), ("checks", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
+    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint32), ("checks", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
     window, check = np.concatenate(parts[0]), np.concatenate(parts[1])
-    low, high = (np.concatenate([n[i] for n, i in zip(parts[4], p)]) for p in parts[2:4])
+    low = np.concatenate([n[i] for n, i in zip(parts[4], parts[2])])
+    high = np.concatenate([n[i ^ j] for n, i, j in zip(parts[4], parts[2], parts[3])])
     order = np.lexsort((check, window))
     value, other = window[order], check[order]
     start = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (other[1:] != other[:-1])))
@@ -194,8 +216,17 @@ def _least(pdf: pd.DataFrame) -> pd.DataFrame:
         m = slice(at, at + len(w))
         at += len(w)
         if use[m].any():
-            out.append((chunk, *(x[m][use[m]].tobytes() for x in (window, check, least))))
-    return pd.DataFrame(out, columns=["chunk", "windows", "checks", "first"])
+            names, place = np.unique(least[m][use[m]], return_inverse=True)
+            place = place.astype(np.min_scalar_type(len(names)))
+            out.append((chunk, int(pdf["bucket"].iloc[0]), window[m][use[m]].tobytes(), check[m][use[m]].tobytes(), place.tobytes(), names.tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "bucket", "windows", "checks", "first", "names"])
+
+
+def _unpack_known(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows with their bucket in front, checks and first documents of one row that _least gave."""
+    window, names = np.frombuffer(row.windows, np.uint32), np.frombuffer(row.names, np.int64)
+    place = np.frombuffer(row.first, f"u{len(row.first) // len(window)}")
+    return window.astype(np.uint64) | np.uint64(row.bucket << 32), np.frombuffer(row.checks, np.uint64), names[place]
 
 
 def _cut(anchors: Anchors, digests: bool):
@@ -204,14 +235,14 @@ def _cut(anchors: Anchors, digests: bool):
     def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         words, rows = WordDigests(), []
         if len(known):
-            window, check, first = (np.concatenate([np.frombuffer(x, t) for x in known[c]]) for c, t in (("windows", np.uint64), ("checks", np.uint64), ("first", np.int64)))
+            window, check, first = (np.concatenate(x) for x in zip(*map(_unpack_known, known.itertuples())))
             order = np.argsort(window)
             window, check, first = window[order], check[order], first[order]
         for chunk, at_, doc, text in zip(docs["chunk"], docs["at"], docs["doc_id"], docs["text"]):
-            own = text.encode("utf-8").split()
+            own = _words(text)
             removed = 0
             if len(known):
-                rolled = rolling(words.of(own), anchors.window)
+                rolled = anchors.placed(rolling(words.of(own), anchors.window))
                 lo, hi = np.searchsorted(window, rolled, "left"), np.searchsorted(window, rolled, "right")
                 at = np.flatnonzero(hi > lo)
                 place, of = _ranges(lo[at], hi[at])
@@ -245,19 +276,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     3. Buckets of windows answer with the smallest document of each, and pending documents are cut.
 
     A bucket's size follows from the number of buckets, not from the data: one passage in every document is one hash
-    from each chunk. Blocks only find candidates; windows are told apart by 128 bits, a hash of the digests of their
-    words and a BLAKE2b digest of their bytes.
+    from each chunk. Blocks only find candidates; windows are told apart by bucket and 32 bits of a hash of their
+    words' digests, and by a 64-bit BLAKE2b digest of their bytes: 100 bits or more.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / 6 / PROBES))))))
-    anchors, buckets = Anchors(window, bits), 1 << bits
+    anchors = Anchors(window, bits)
     rows = docs.select("chunk", "at", "doc_id", "text")
     probes = rows.mapInArrow(_probe(anchors, window), "bucket long, chunk long, probes binary, aligned binary, several binary")
     hits = probes.groupBy("bucket").applyInPandas(_meet, "chunk long, hits binary")
-    schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text string, bucket long, windows binary, checks binary, low binary, high binary, names binary"
-    first = scratch.write(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests, buckets), schema))
+    schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text binary, bucket long, windows binary, checks binary, low binary, high binary, names binary"
+    rows = rows.mapInArrow(_zipped, "chunk long, at int, doc_id long, text binary")
+    first = scratch.write(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests), schema))
     windows = first.where(F.col("what") == _WINDOWS).select("bucket", "chunk", "windows", "checks", "low", "high", "names")
-    known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, windows binary, checks binary, first binary")
+    known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, bucket long, windows binary, checks binary, first binary, names binary")
     pending = first.where(F.col("what") == _PENDING).select("chunk", "at", "doc_id", "text")
     cut = pending.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_cut(anchors, digests), "chunk long, at int, doc_id long, n_words long, n_removed long, kept string")
     done = first.where(F.col("what") == _DONE).select("chunk", "at", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept_sha256").alias("kept"))
@@ -265,7 +297,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
 
 
 def numbered(docs: DataFrame, scratch: Scratch, stored: bool) -> tuple[DataFrame, str, str]:
-    """The documents with two more columns, named apart from theirs: their chunk and place among its up to 1024 rows.
+    """The documents with two more columns, named apart from theirs: their chunk and place among its up to 2048 rows.
 
     The rows of a stored Parquet table have a fixed place in their file. Others are written first, since a second
     reading could give them in another order.
