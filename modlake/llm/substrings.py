@@ -148,7 +148,7 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _checks(own: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
     """A digest of the bytes of each window, apart from those of its words: together they say which windows are equal."""
-    return np.frombuffer(b"".join([hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=8).digest() for k in at.tolist()]), np.uint64)
+    return np.frombuffer(b"".join([hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=4).digest() for k in at.tolist()]), np.uint32)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _extend(anchors: Anchors, digests: bool):
                 names, place = np.unique(np.concatenate([low[m], high[m]]), return_inverse=True)
                 place = place.astype(np.uint16).reshape(2, -1)
                 low_, more = place[0], place[0] ^ place[1]  # mostly the same: then it takes no room
-                rows.append((_WINDOWS, chunk, *[None] * 5, int(bucket[m[0]]), anchors.short(window[m]).tobytes(), check[m].tobytes(), low_.tobytes(), more.tobytes(), names.tobytes()))
+                rows.append((_WINDOWS, chunk, *[None] * 5, int(bucket[m[0]]), anchors.short(window[m]).tobytes(), check[m].tobytes(), low_.tobytes(), more.tobytes(), zlib.compress(names, 1)))
         return pd.DataFrame(rows, columns=["what", "chunk", "at", "doc_id", "n_words", "kept_sha256", "text", "bucket", "windows", "checks", "low", "high", "names"]).astype({"at": "Int32", "doc_id": "Int64", "n_words": "Int64", "bucket": "Int64"})
 
     return run
@@ -201,7 +201,8 @@ def _extend(anchors: Anchors, digests: bool):
 
 def _least(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket of windows: for each chunk those that start in a document smaller than one of its own."""
-    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint32), ("checks", np.uint64), ("low", np.uint16), ("high", np.uint16), ("names", np.int64))]
+    parts = [[np.frombuffer(x, t) for x in pdf[c]] for c, t in (("windows", np.uint32), ("checks", np.uint32), ("low", np.uint16), ("high", np.uint16))]
+    parts.append([np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["names"]])
     window, check = np.concatenate(parts[0]), np.concatenate(parts[1])
     low = np.concatenate([n[i] for n, i in zip(parts[4], parts[2])])
     high = np.concatenate([n[i ^ j] for n, i, j in zip(parts[4], parts[2], parts[3])])
@@ -218,15 +219,15 @@ def _least(pdf: pd.DataFrame) -> pd.DataFrame:
         if use[m].any():
             names, place = np.unique(least[m][use[m]], return_inverse=True)
             place = place.astype(np.min_scalar_type(len(names)))
-            out.append((chunk, int(pdf["bucket"].iloc[0]), window[m][use[m]].tobytes(), check[m][use[m]].tobytes(), place.tobytes(), names.tobytes()))
+            out.append((chunk, int(pdf["bucket"].iloc[0]), window[m][use[m]].tobytes(), check[m][use[m]].tobytes(), place.tobytes(), zlib.compress(names, 1)))
     return pd.DataFrame(out, columns=["chunk", "bucket", "windows", "checks", "first", "names"])
 
 
 def _unpack_known(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows with their bucket in front, checks and first documents of one row that _least gave."""
-    window, names = np.frombuffer(row.windows, np.uint32), np.frombuffer(row.names, np.int64)
+    window, names = np.frombuffer(row.windows, np.uint32), np.frombuffer(zlib.decompress(row.names), np.int64)
     place = np.frombuffer(row.first, f"u{len(row.first) // len(window)}")
-    return window.astype(np.uint64) | np.uint64(row.bucket << 32), np.frombuffer(row.checks, np.uint64), names[place]
+    return window.astype(np.uint64) | np.uint64(row.bucket << 32), np.frombuffer(row.checks, np.uint32), names[place]
 
 
 def _cut(anchors: Anchors, digests: bool):
@@ -277,7 +278,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
 
     A bucket's size follows from the number of buckets, not from the data: one passage in every document is one hash
     from each chunk. Blocks only find candidates; windows are told apart by bucket and 32 bits of a hash of their
-    words' digests, and by a 64-bit BLAKE2b digest of their bytes: 100 bits or more.
+    words' digests, and by a 32-bit BLAKE2b digest of their bytes: 68 to 84 bits, and no pattern of words favours a
+    collision. 128 bits are not affordable within the disk budget (README).
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / 6 / PROBES))))))
