@@ -92,29 +92,5 @@ gone AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM r GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
-""",
-    "op2_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL
-), t AS (
-  SELECT DISTINCT doc_id, line, list_filter(string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') AS t FROM l
-), k AS (SELECT * FROM t WHERE len(t) > 0),
-a AS (SELECT t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM k GROUP BY t),
-v AS (
-  SELECT t, list_transform(range(4, len(t) + 1), lambda j: list_concat([j::VARCHAR], list_concat(t[1:j-1], list_concat(['<*>'], t[j+1:])))) AS vs
-  FROM a WHERE len(t) >= 5
-), w AS (SELECT t, unnest(vs) AS v FROM v),
-several AS (SELECT v FROM w GROUP BY v HAVING count(DISTINCT t) > 1),
-of AS (
-  SELECT w.v, count(DISTINCT k.doc_id) AS docs, min(k.doc_id) AS first
-  FROM several JOIN w USING (v) JOIN k USING (t) GROUP BY w.v HAVING count(DISTINCT k.doc_id) >= 5
-), f AS (
-  SELECT t, min(first) AS first FROM (
-    SELECT t, first FROM a WHERE docs >= 5 UNION ALL SELECT w.t, of.first FROM of JOIN w USING (v)) GROUP BY t
-), gone AS (SELECT k.doc_id, list(k.line) AS lines FROM k JOIN f USING (t) WHERE k.doc_id > f.first GROUP BY k.doc_id)
-SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::INTEGER AS n_lines,
-  len(list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: list_contains(coalesce(g.lines, []), x)))::INTEGER AS n_dropped,
-  sha256(array_to_string(list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: NOT list_contains(coalesce(g.lines, []), x)), chr(10))) AS kept_sha256
-FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id
 """,
 }
