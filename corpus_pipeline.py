@@ -48,7 +48,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL says what the classifier and the packer do; tests hold each stage against a plain version.
+#: No SQL says what the classifier and the packer do; tests/llm/test_edges.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
