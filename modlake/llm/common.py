@@ -54,7 +54,7 @@ class WordDigests(dict):
     sure compares the words, or 128-bit digests of them.
     """
 
-    LIMIT = 150_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
