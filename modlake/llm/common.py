@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +48,19 @@ class Scratch:
 
 
 class WordDigests(dict):
-    """A 64-bit digest of each word (BLAKE2b), remembered for up to LIMIT words; then the memory starts anew.
+    """A 64-bit digest of each word (XXH3), remembered for up to LIMIT words; then the memory starts anew.
 
     Words in any pattern are as good as random numbers, so equal digests are candidates for equal words; who must be
-    sure compares the words, or 128-bit digests of them.
+    sure compares the words, or another digest of them. XXH3 takes a fifth of the time of BLAKE2b, so a small memory
+    will do.
     """
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        own = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        own = self[word] = xxhash.xxh3_64_intdigest(word)
         return own
 
     def of(self, words: list[bytes]) -> np.ndarray:
