@@ -53,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; all but the last are written to the shared folder and read again."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    """All stages over the whole of ``documents``; all but the last are written to the shared folder and read again.
+
+    What a stage has read is deleted once its own rows are written.
+    """
+    docs, scratch, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), []
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.free(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
