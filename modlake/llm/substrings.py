@@ -17,7 +17,7 @@ from .common import Scratch, WordDigests, among, rolling, unlike
 
 WINDOW = 13
 CHUNK_BITS = 11  # documents of a chunk: 2048
-PROBES = 4_000_000  # that one bucket is meant to hold
+PROBES = 1_000_000  # that one bucket is meant to hold
 PART = 3_000_000  # probes held by a task before it sends them
 
 #: What the first pass leaves of a document or chunk.
@@ -126,7 +126,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """In one bucket: the hashes that are an aligned block somewhere and that two documents have, for each chunk its own."""
     probes = [_unpacked(p) for p in pdf["probes"]]
     bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(pdf[c], probes)])
-    key = np.sort(np.concatenate(probes).astype(np.uint64) << np.uint64(2) | bits("aligned").astype(np.uint64) << np.uint64(1) | bits("several").astype(np.uint64))
+    key = np.concatenate(probes, dtype=np.uint64)
+    key <<= np.uint64(2)
+    key |= bits("aligned") << np.uint8(1) | bits("several")
+    key.sort()
     value = key >> np.uint64(2)
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     hit = (np.bitwise_or.reduceat(key & np.uint64(2), start) > 0) & (np.add.reduceat(1 + (key & np.uint64(1)).astype(np.int64), start) > 1)
