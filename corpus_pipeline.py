@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from modlake.llm import lines, minhash, packing, quality, substrings
 from modlake.llm.common import Scratch
 
+#: Rows of an Arrow batch between the JVM and Python. Spark's 10,000 are some 20 MB of text in each of four places of a task.
+BATCH_ROWS = 2000
+
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3 go; the others stay as they are."""
@@ -35,17 +40,30 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _in_small_batches(stage):
+    """The stage, in a session whose Arrow batches have BATCH_ROWS rows at most."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of the documents, with n_chars of the text that is left."""
     return out.select(*docs.columns).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 STAGES = [
-    ("quality classifier", drop_low_quality),
-    ("line dedup", drop_recurring_lines),
-    ("minhash near-dedup", drop_near_duplicates),
-    ("substring dedup", drop_repeated_passages),
-    ("best-fit packing", pack_sequences),
+    ("quality classifier", _in_small_batches(drop_low_quality)),
+    ("line dedup", _in_small_batches(drop_recurring_lines)),
+    ("minhash near-dedup", _in_small_batches(drop_near_duplicates)),
+    ("substring dedup", _in_small_batches(drop_repeated_passages)),
+    ("best-fit packing", _in_small_batches(pack_sequences)),
 ]
 
 #: No SQL says what the classifier and the packer do; tests/llm/test_edges.py holds each stage against a plain version.
