@@ -58,7 +58,8 @@ def one_line(text: Column) -> Column:
 
 def swap_pronoun(text: Column, old: str, new: str) -> Column:
     """Replace a pronoun, keeping a capital; null if nothing changes."""
-    out = F.regexp_replace(F.regexp_replace(text, rf"\b{old}\b", new), rf"\b{old.capitalize()}\b", new.capitalize())
+    whole = r"(?<![\pL\pN_])%s(?![\pL\pN_])"
+    out = F.regexp_replace(F.regexp_replace(text, whole % old, new), whole % old.capitalize(), new.capitalize())
     return F.nullif(out, text)
 
 

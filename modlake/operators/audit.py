@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks
+
 
 def where_log(decision: str | None = None, modality: str | None = None, user: str | None = None, search: str | None = None, since: float | None = None, until: float | None = None, columns=("request_id", "user_id", "preview")) -> Column:
     """One predicate for page, counts and export: equality without case, LIKE over columns, half-open time range."""
@@ -50,11 +52,9 @@ def health(log: DataFrame) -> DataFrame:
     """Per modality: rows, rejects, mean and 95th-place latency. The place is found by rank, not by gathering a group."""
     kind = F.coalesce("modality", F.lit("text"))
     base = log.select(kind.alias("modality"), "decision", "latency_ms")
-    agg = base.groupBy("modality").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "reject").alias("rejected"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"), F.count("latency_ms").alias("k"))
-    by_value = base.where("latency_ms is not null").groupBy("modality", "latency_ms").agg(F.count("*").alias("c"))
-    upto = by_value.withColumn("upto", F.sum("c").over(Window.partitionBy("modality").orderBy("latency_ms")))
-    place = upto.join(agg.select("modality", F.least(F.col("k") - 1, F.floor(F.col("k") * 0.95)).alias("at")), "modality").where("upto > at").groupBy("modality").agg(F.min("latency_ms").alias("p95_ms"))
-    return agg.drop("k").join(place, "modality", "left")
+    place = at_ranks(base, "modality", "latency_ms", {"p95_ms": lambda n: F.least(n - 1, F.floor(n * 0.95))}).drop("n")
+    agg = base.groupBy("modality").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "reject").alias("rejected"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"))
+    return agg.join(place, "modality", "left")
 
 
 def latest(log: DataFrame, key: str, order: str) -> DataFrame:

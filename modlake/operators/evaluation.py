@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ranks import cell_of
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
@@ -39,10 +41,14 @@ def ece(df: DataFrame, bins: int, closed: str) -> DataFrame:
 
 
 def auc(df: DataFrame) -> DataFrame:
-    """Area under the ROC curve by rank sums over distinct scores, ties at half."""
-    by = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("under", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    """Area under the ROC curve by rank sums over distinct scores, ties at half.
+
+    Negatives under a score are those of lower cells, from one row for each cell, and those under it in its own.
+    """
+    by = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).withColumn("cell", cell_of(F.col("p")))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = by.groupBy("cell").agg(F.sum("neg").alias("neg")).select("cell", before(Window.orderBy("cell")).alias("lower"))
+    by = by.withColumn("within", before(Window.partitionBy("cell").orderBy("p"))).join(lower, "cell").withColumn("under", F.col("lower") + F.col("within"))
     return by.agg(F.round(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -12,19 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ranks import at_ranks
+
 
 def _share(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.round(F.coalesce(F.try_divide(a, b), F.lit(empty)), 6)
 
 
 def places(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
-    """Per group the value at the rounded rank (half to even) of each percent; nulls do not count. Ranks come from counts
-    per value, so no group is gathered."""
-    rows = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = rows.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value)))
-    total = rows.groupBy(by).agg(F.sum("c").alias("n"))
-    marks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p / 100) * (F.col("n") - 1)), F.col(value))).alias(f"p{p}") for p in percents]
-    return upto.join(total, by).groupBy(by, "n").agg(*marks)
+    """Per group the value at the rounded rank (half to even) of each percent; nulls do not count."""
+    return at_ranks(df, by, value, {f"p{p}": lambda n, p=p: F.bround(F.lit(p / 100) * (n - 1)) for p in percents})
 
 
 def grid_by(df: DataFrame, by: str, grid: list[float]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, corpus, decision, evaluation, gate, vision
+from ..operators.ranks import at_ranks
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +102,8 @@ query("p17_hashtags", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(r
     lambda t: t.part.select("p_partkey", T.hashtag_words(F.concat(F.lit("#"), F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))).alias("words")))
 query("p19_canonical_hashtag", """SELECT p_partkey, left(lower(w[1]) || array_to_string(list_transform(w[2:], lambda x: upper(left(x,1)) || substring(x, 2)), ''), 50) AS tag FROM (SELECT p_partkey, list_filter(regexp_split_to_array(p_name, '[^A-Za-z0-9]+'), lambda x: x <> '') AS w FROM part)""")(
     lambda t: t.part.select("p_partkey", T.canonical_hashtag(F.col("p_name")).alias("tag")))
-query("p28_swap_pronoun", r"""SELECT doc_id, md5(o) AS m FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\bthe\b', 'their', 'g'), '\bThe\b', 'Their', 'g') AS o FROM documents WHERE lang = 'en') WHERE o <> text AND NOT regexp_matches(text, '[^\x00-\x7F]')""")(
-    lambda t: t.documents.where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.md5(T.swap_pronoun(F.col("text"), "the", "their")).alias("m")).where("m is not null"))
+query("p28_swap_pronoun", r"""SELECT doc_id, md5(o) AS m FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\pL\pN_])the($|[^\pL\pN_])', '\1their\2', 'g'), '(^|[^\pL\pN_])the($|[^\pL\pN_])', '\1their\2', 'g'), '(^|[^\pL\pN_])The($|[^\pL\pN_])', '\1Their\2', 'g'), '(^|[^\pL\pN_])The($|[^\pL\pN_])', '\1Their\2', 'g') AS o FROM documents) WHERE o <> text""")(
+    lambda t: t.documents.select("doc_id", F.md5(T.swap_pronoun(F.col("text"), "the", "their")).alias("m")).where("m is not null"))
 query("p35_network", "SELECT c_custkey, '10.' || c_custkey % 256 || '.' || c_nationkey || '.0/24' AS network FROM customer")(lambda t: t.customer.select("c_custkey", T.network_of(F.concat_ws(".", F.lit("10"), F.col("c_custkey") % 256, "c_nationkey", F.lit("9"))).alias("network")))
 query("p37_caller", "SELECT c_custkey, 'a' || c_nationkey AS caller FROM customer")(lambda t: t.customer.select("c_custkey", T.caller(F.lit("peer"), F.concat(F.lit("x, a"), F.col("c_nationkey"), F.lit(" , proxy")), 2).alias("caller")))
 query("p34_parse_when", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE floor(epoch(ts))::DOUBLE END AS at FROM events")(
@@ -149,7 +150,7 @@ query("x1_x2_route", SCORED + "SELECT doc_id, CASE greatest(CASE WHEN p <= 0.3 T
     lambda t: t.scored.select("doc_id", decision.name_of(decision.route(F.col("p"), F.lit(0.3), F.lit(0.7), F.col("quality"))).alias("decision")))
 query("j22_threshold_default", "SELECT doc_id, coalesce(CASE source WHEN 'src1' THEN 0.4 WHEN 'src2' THEN 0.6 END, 0.5)::DOUBLE AS bar FROM documents")(
     lambda t: t.documents.join(F.broadcast(t.spark.createDataFrame([("src1", 0.4), ("src2", 0.6)], "source string, bar double")), "source", "left").select("doc_id", F.coalesce("bar", F.lit(0.5)).alias("bar")))
-query("m3_stub_score", "SELECT doc_id, list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 1000 / 1000.0 AS p FROM documents WHERE text <> ''")(lambda t: t.documents.where("text <> ''").select("doc_id", T.code_sum_score(F.col("text")).alias("p")))
+query("m3_stub_score", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 1000 / 1000.0 END AS p FROM documents")(lambda t: t.documents.select("doc_id", T.code_sum_score(F.col("text")).alias("p")))
 query("m5_scored_once", "SELECT count(*) AS rows, count(DISTINCT text) AS calls FROM documents")(lambda t: t.documents.agg(F.count("*").alias("rows"), F.count_distinct("text").alias("calls")))
 
 # -- corpus ------------------------------------------------------------------------------------------------------------
@@ -162,8 +163,8 @@ query("a22_one_label", "SELECT doc_id FROM documents JOIN labels USING (doc_id)
     lambda t: corpus.one_label(t.documents.join(t.labels, "doc_id").withColumn("k", F.md5("text")), "k", "quality").select("doc_id"))
 query("j1_leak_guard", "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")(lambda t: corpus.without_leaks(t.documents, t.documents.where("doc_id % 10 = 0"), "text").select("doc_id"))
 query("j3_precedence_map", "SELECT text, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")(lambda t: corpus.most_of(t.documents, "text", "lang", "doc_id"))
-query("j4_masks", """SELECT doc_id, a.quality AS y_a, a.quality IS NOT NULL AS m_a, b.toxic AS y_b, b.toxic IS NOT NULL AS m_b FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b USING (doc_id)""")(
-    lambda t: t.labels.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("y_a")).join(t.labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("y_b")), "doc_id", "full").withColumns({"m_a": F.col("y_a").isNotNull(), "m_b": F.col("y_b").isNotNull()}))
+query("j4_masks", """SELECT doc_id, a.quality AS y_a, a.quality IS NOT NULL AS m_a, b.label AS y_b, b.label IS NOT NULL AS m_b FROM (SELECT doc_id, quality FROM labels) a FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings) b USING (doc_id)""")(
+    lambda t: t.labels.select("doc_id", F.col("quality").alias("y_a")).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("y_b")), "doc_id", "full").withColumns({"m_a": F.col("y_a").isNotNull(), "m_b": F.col("y_b").isNotNull()}))
 query("j6_leak_sources", "SELECT md5(text) AS k, count(DISTINCT source) AS sources, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda t: t.documents.groupBy(F.md5("text").alias("k")).agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n")).where("n > 1"))
 query("j8_label_conflicts", "SELECT md5(text) AS k FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT toxic) > 1")(lambda t: t.documents.join(t.labels, "doc_id").groupBy(F.md5("text").alias("k")).agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).where("a <> b").select("k"))
 query("j9_markers", "SELECT doc_id FROM documents WHERE contains(text, 'License') OR contains(text, 'rights reserved')")(lambda t: t.documents.where(F.exists(F.array(F.lit("License"), F.lit("rights reserved")), lambda m: F.contains(F.col("text"), m))).select("doc_id"))
@@ -222,8 +223,9 @@ query("j16_prompt_scores", PROMPT_SQL + "SELECT * FROM s")(lambda t: vision.prom
 query("m9_w16_verdict", PROMPT_SQL + """, p AS (SELECT vec_id, label, round(exp((score-max(score) OVER w)/0.05)/sum(exp((score-m)/0.05)) OVER w,6) AS p FROM (SELECT *, max(score) OVER (PARTITION BY vec_id) AS m FROM s) WINDOW w AS (PARTITION BY vec_id)),
  q AS (SELECT *, p >= CASE label WHEN 'l0' THEN 0.6 WHEN 'l1' THEN 0.9 ELSE 2 END AS over FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY over DESC, p DESC, label DESC) AS k FROM q) SELECT vec_id, label, p, over AS refused FROM r WHERE k = 1""")(
     lambda t: vision.verdict(vision.prompt_scores(t.images, PROMPTS), {"l0": 0.6, "l1": 0.9}))
-query("a31_set_summary", "SELECT label, count(*) AS n, round(avg(embedding[1]),5) AS mean, list_sort(list(embedding[1]))[count(*)//2 + 1] AS p50 FROM embeddings GROUP BY 1")(
-    lambda t: t.embeddings.select("label", F.col("embedding")[0].alias("v")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("v"), 5).alias("mean"), F.sort_array(F.collect_list("v")).alias("s")).select("label", "n", "mean", F.element_at("s", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("p50")))
+SUMMARY = {"p50": lambda n: F.floor(n / 2), "p90": lambda n: F.least(n - 1, F.floor(n * 0.9))}
+query("a31_set_summary", """SELECT label, count(*) AS n, round(avg(embedding[1]),5) AS mean, list_sort(list(embedding[1]))[count(*)//2 + 1] AS p50, list_sort(list(embedding[1]))[least(count(*)-1, floor(count(*)*0.9))::INT + 1] AS p90 FROM embeddings GROUP BY 1""")(
+    lambda t: at_ranks(t.embeddings.select("label", F.col("embedding")[0].alias("v")), "label", "v", SUMMARY).alias("r").join(t.embeddings.groupBy(F.col("label").alias("g")).agg(F.round(F.avg(F.col("embedding")[0]), 5).alias("mean")), F.expr("label <=> g")).select("label", "n", "mean", "p50", "p90"))
 
 
 @query("m14_m17_logistic_regression")

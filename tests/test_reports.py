@@ -41,3 +41,16 @@ def test_strictest_split_keeps_null_keys_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None, "train", 7), (2, None, "test", 8), (3, "x", "val", 9)], "id int, t string, split string, r0 int")
     got = reports.strictest_split(df, F.col("t"), "split")
     assert {(r["id"], r["strict"], r["r0"]) for r in got.collect()} == {(1, "test", 7), (2, "test", 8), (3, "val", 9)}
+
+
+def test_ranks_of_negative_tied_and_missing_values(spark):
+    from modlake.operators.ranks import at_ranks
+
+    values = [-5.0, -5.0, 0.0, 0.25, 0.2500001, 3.0, 1e9, None]
+    rows = [("a", v) for v in values] + [(None, 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    every = {f"r{k}": lambda n, k=k: F.lit(k) for k in range(7)}
+    got = {r.g: r for r in at_ranks(df, "g", "v", every).collect()}
+    assert [got["a"][f"r{k}"] for k in range(7)] == sorted(v for v in values if v is not None) and got["a"].n == 7
+    assert got[None].r0 == 7.0 and got[None].r1 is None and "b" not in got
+    assert at_ranks(df.limit(0), "g", "v", every).count() == 0
