@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +51,32 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def frugal(function):
+    """An Arrow function of a stage whose worker gives freed memory back to the system when the task or group ends.
+
+    Workers outlive their task and wait for the next one; what their allocators keep would count against the executor
+    while the stages after this one run.
+    """
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    @functools.wraps(function)
+    def batches(it):
+        yield from function(it)
+        give_back()
+
+    @functools.wraps(function)
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = function(pdf)
+        give_back()
+        return out
+
+    return batches if inspect.isgeneratorfunction(function) else group
+
+
 class WordDigests(dict):
     """A 64-bit digest of each word (XXH3), remembered for up to LIMIT words; then the memory starts anew.
 

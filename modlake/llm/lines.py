@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordDigests, among, unlike
+from .common import Scratch, WordDigests, among, frugal, unlike
 
 LEADING, MIN_DOCS, SIMILARITY = 3, 5, 0.8
 WILD = "<*>"
@@ -128,7 +128,7 @@ def recurring(docs: DataFrame, keys: DataFrame, scratch: Scratch, leading: int =
                 yield pa.RecordBatch.from_arrays([part.column("m").take(where), pa.array([x for y in v for x in y], pa.int64())], ["m", "v"])
 
     tree = texts.join(grown, "m").groupBy("leaf").applyInPandas(grow, "m long, v long").select("m", F.xxhash64(F.lit(WILD), "v").alias("v"))
-    wild = texts.join(near.select("m"), "m", "left_semi").mapInArrow(spread, "m long, v long").distinct()
+    wild = texts.join(near.select("m"), "m", "left_semi").mapInArrow(frugal(spread), "m long, v long").distinct()
     all_ = scratch.write(wild.unionByName(tree))
     several = all_.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").select("v")
     variants = scratch.write(all_.join(several, "v", "left_semi"))
@@ -175,7 +175,7 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, leading: int = LEA
     joined = docs.where(maybe).hint("merge").join(lost, F.col("doc_id") == F.col(own), "left").drop(own)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.IntegerType()), T.StructField(n_dropped, T.IntegerType())])
     whole = docs.where(~maybe).withColumn(n_lines, F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).withColumn(n_dropped, F.lit(0))
-    return joined.mapInArrow(rebuild, schema).unionByName(whole)
+    return joined.mapInArrow(frugal(rebuild), schema).unionByName(whole)
 
 
 def _signed(h: int) -> int:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordDigests, among, components, mix, rolling, unlike
+from .common import Scratch, WordDigests, among, components, frugal, mix, rolling, unlike
 
 SHINGLE, BAR, BANDS, ROWS = 5, 0.8, 20, 4
 BLOCK = 2048  # rows of a bucket compared at a time
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "marks", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, same binary, marks binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, same binary, marks binary, keys array<long>")
 
 
 def overlap(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
@@ -133,7 +133,7 @@ def verified(pairs: DataFrame, texts: DataFrame, bar: float = BAR, shingle: int
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(frugal(run), f"a {kind}, b {kind}")
 
 
 def _links_across(least: float, bar: float, shingle: int):

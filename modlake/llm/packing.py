@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .tokens import byte_symbols
 
 CAPACITY, OPEN_BINS, SHARD_TOKENS = 4096, 512, 1 << 25
@@ -90,7 +90,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int
                 yield pa.RecordBatch.from_arrays(out if with_ids else out[:5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class BestFit:

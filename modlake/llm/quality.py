@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 
 #: Each share with the value that a text of no length would have; longer texts outweigh it.
 SHARES = {"upper": 0.02, "digit": 0.005, "blank": 0.15, "high": 0.03, "exclaim": 0.005, "pipe": 0.003, "symbol": 0.003, "comma_stop": 0.03, "other": 0.001, "line_repeats": 0.05, "word_repeats": 0.3, "capitals": 0.02, "marked": 0.01}
@@ -65,7 +65,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, x array<double>")
 
 
 @dataclass(frozen=True)

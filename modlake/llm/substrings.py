@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordDigests, among, rolling, unlike
+from .common import Scratch, WordDigests, among, frugal, rolling, unlike
 
 WINDOW = 13
 CHUNK_BITS = 11  # documents of a chunk: 2048
@@ -288,13 +288,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, windo
     bits = min(20, max(4, int(np.ceil(np.log2(max(1, total / 6 / PROBES))))))
     anchors = Anchors(window, bits)
     rows = docs.select("chunk", "at", "doc_id", "text")
-    probes = rows.mapInArrow(_probe(anchors, window), "bucket long, chunk long, probes binary, aligned binary, several binary")
-    hits = probes.groupBy("bucket").applyInPandas(_meet, "chunk long, hits binary")
+    probes = rows.mapInArrow(frugal(_probe(anchors, window)), "bucket long, chunk long, probes binary, aligned binary, several binary")
+    hits = probes.groupBy("bucket").applyInPandas(frugal(_meet), "chunk long, hits binary")
     schema = "what int, chunk long, at int, doc_id long, n_words long, kept_sha256 string, text binary, bucket long, windows binary, checks binary, low binary, high binary, names binary"
-    rows = rows.mapInArrow(_zipped, "chunk long, at int, doc_id long, text binary")
+    rows = rows.mapInArrow(frugal(_zipped), "chunk long, at int, doc_id long, text binary")
     first = scratch.write(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_extend(anchors, digests), schema))
     windows = first.where(F.col("what") == _WINDOWS).select("bucket", "chunk", "windows", "checks", "low", "high", "names")
-    known = windows.groupBy("bucket").applyInPandas(_least, "chunk long, bucket long, windows binary, checks binary, first binary, names binary")
+    known = windows.groupBy("bucket").applyInPandas(frugal(_least), "chunk long, bucket long, windows binary, checks binary, first binary, names binary")
     pending = first.where(F.col("what") == _PENDING).select("chunk", "at", "doc_id", "text")
     cut = pending.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_cut(anchors, digests), "chunk long, at int, doc_id long, n_words long, n_removed long, kept string")
     done = first.where(F.col("what") == _DONE).select("chunk", "at", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept_sha256").alias("kept"))
