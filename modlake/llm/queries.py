@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, packing, pieces, quality, search, substrings, tokens, urls, vectors
+from . import codes, lines, minhash, packing, pieces, quality, search, substrings, tokens, urls, vectors
 
 
 def _path(name: str) -> str:
@@ -64,11 +64,47 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(spark, docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search)
+    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search, op13_vector_codes)
 }
 
+def _codes_sql(rounds: int) -> str:
+    """Lloyd's rounds of op13 one after another: a{n} assigns to the entries b{n - 1}, b{n} holds the means."""
+    sql = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT vec_id, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS x FROM v, range(4) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM s QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256)
+"""
+    for n in range(1, rounds + 2):
+        sql += f"""
+, a{n} AS (
+  SELECT vec_id, p, any_value(x) AS x, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT s.vec_id, s.p, s.x, b.e, list_inner_product(s.x, s.x) - 2 * list_inner_product(s.x, b.x) + list_inner_product(b.x, b.x) AS d FROM s JOIN b{n - 1} b ON b.p = s.p
+  ) GROUP BY vec_id, p
+)"""
+        if n <= rounds:
+            sql += f"""
+, m{n} AS (
+  SELECT p, e, list(mean ORDER BY k) AS x FROM (
+    SELECT p, e, k, floor(sum(c) / count(*)) AS mean FROM (SELECT p, best.e AS e, unnest(x) AS c, unnest(range(len(x))) AS k FROM a{n}) GROUP BY p, e, k
+  ) GROUP BY p, e
+), b{n} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{n - 1} b LEFT JOIN m{n} m ON m.p = b.p AND m.e = b.e)"""
+    return sql + f"""
+, h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: c::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS h FROM b{rounds}),
+c AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds + 1} GROUP BY vec_id),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM c JOIN v USING (vec_id) GROUP BY label)
+SELECT c.vec_id, c.code, c.error, l.label_error, h.h AS codebooks_sha256 FROM c JOIN v USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label CROSS JOIN h
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(codes.ROUNDS),
     "op10_top_k_search": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
