@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, lines, minhash, packing, pieces, quality, search, substrings, tokens, urls, vectors
+from . import codes, lines, minhash, packing, phrases, pieces, quality, search, substrings, tokens, urls, vectors
 
 
 def _path(name: str) -> str:
@@ -64,12 +64,16 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(spark, docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode_vectors(spark, _table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search, op13_vector_codes)
+    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search, op12_phrase_mining, op13_vector_codes)
 }
 
 def _codes_sql(rounds: int) -> str:
@@ -104,6 +108,26 @@ SELECT c.vec_id, c.code, c.error, l.label_error, h.h AS codebooks_sha256 FROM c
 
 
 ORACLES: dict[str, str] = {
+    "op12_phrase_mining": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 6) s(size)),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (
+  SELECT lang, size, phrase, f, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS le, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS ri
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+), s AS (
+  SELECT c.lang, c.size, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, n.n, (1000 * c.f * n.n) // (x.f * y.f) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.le JOIN f y ON y.lang = c.lang AND y.phrase = c.ri JOIN n ON n.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.size > s.size AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * f.f >= 100 * s.a)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+""",
     "op13_vector_codes": _codes_sql(codes.ROUNDS),
     "op10_top_k_search": r"""
 WITH w AS (
