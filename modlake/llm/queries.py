@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, lines, minhash, packing, phrases, pieces, quality, search, substrings, tokens, urls, vectors
+from . import codes, lines, minhash, packing, phrases, pieces, pii, quality, search, substrings, tokens, urls, vectors
 
 
 def _path(name: str) -> str:
@@ -64,6 +64,12 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(spark, docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_spans(spark, _table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(spark, _table(spark, sf_dir, "documents"))
 
@@ -73,7 +79,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search, op12_phrase_mining, op13_vector_codes)
+    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_best_fit_packing, op4_url_filter, op5_pieces, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_quality_classifier, op10_top_k_search, op11_personal_data, op12_phrase_mining, op13_vector_codes)
 }
 
 def _codes_sql(rounds: int) -> str:
