@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
-from ..operators import audit, blocklist, gate, highlights, media, pictures, reports, training, vision
+from ..operators import audit, blocklist, gate, highlights, media, occlusion, pictures, reports, training, vision
 from .queries import LOG, SCORED, UNIT, Tables, query
 from .reports import SPLIT, SQL_KEY
 
@@ -165,3 +165,14 @@ query("j15_blocked_flags", LOG + ENTRIES + "SELECT user_id, count(*) AS n, user_
 query("c7_blocklist_upserts", """WITH old AS (SELECT s_suppkey::VARCHAR AS value, 'old' AS reason FROM supplier WHERE s_acctbal < 2000), new AS (SELECT c_custkey::VARCHAR AS value, c_acctbal > 0 AS blocked, 'new' || c_nationkey AS reason FROM customer WHERE c_custkey % 2 = 0)
  SELECT 'member' AS scope, coalesce(new.value, old.value) AS value, coalesce(new.reason, old.reason) AS reason FROM old FULL JOIN new USING (value) WHERE coalesce(blocked, true)""")(
     lambda t: blocklist.upserted(t.supplier.where("s_acctbal < 2000").select(F.lit("member").alias("scope"), F.col("s_suppkey").cast("string").alias("value"), F.lit("old").alias("reason"), F.lit(1.0).alias("created_at")), t.customer.where("c_custkey % 2 = 0").select(F.lit("member").alias("scope"), F.col("c_custkey").cast("string").alias("value"), F.concat(F.lit("new"), "c_nationkey").alias("reason"), F.lit(2.0).alias("created_at"), (F.col("c_acctbal") > 0).alias("blocked"))).select("scope", "value", "reason"))
+
+
+# -- word analysis -----------------------------------------------------------------------------------------------------
+def _occlusion(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sentences that the stand-in model would refuse, their words shortlisted by length as the stand-in pre-filter."""
+    issues = t.documents.select("doc_id", "text", F.explode(spans.sentence_spans("text")).alias("s")).select("doc_id", "s.start", "s.end", T.code_sum_score(_cut("text", "s")).alias("risk")).where("risk >= 0.7")
+    return occlusion.analyse_words(t.spark, t.documents.select("doc_id", "text"), issues, T.code_sum_score, 0.3, lambda c: F.length(c) % 100 / F.lit(100))
+
+
+query("m13_w8_word_contributions")(lambda t: _occlusion(t)[0])
+query("m13_w10_trigger_words")(lambda t: _occlusion(t)[1].select("doc_id", "start", "end", F.array_join(F.transform("triggers", lambda w: F.concat_ws(":", w["start"].cast("string"), w["end"].cast("string"))), ",").alias("triggers")))
