@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -10,7 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPAN, normalise, normalised
+from ..functions.spans import SPAN, folded, normalise, trimmed
+from .terms import TOKEN, Terms, places, tokens
 
 ACTIONS = ("block", "revise", "flag")
 
@@ -37,49 +39,57 @@ class Rule:
         if self.action not in ACTIONS or self.kind not in ("pattern", "words", "targeted"):
             raise ValueError(f"rule {self.id}: unknown action or kind")
 
-    @property
-    def listed(self) -> list[str]:
-        """The normalised terms, longest first."""
+    @functools.cached_property
+    def listed(self) -> Terms:
         out = {normalise(t)[0] for t in self.excluded}
-        terms = {normalise(t)[0] for t in self.terms} | {normalise(t)[0] for t in self.file_terms} - out
-        return sorted(terms - {""}, key=lambda t: (-len(t), t))
+        return Terms([*self.terms, *(t for t in self.file_terms if normalise(t)[0] not in out)])
+
+    @functools.cached_property
+    def named(self) -> frozenset[str]:
+        return frozenset(normalise(x)[0] for x in self.subjects)
 
     @property
     def active(self) -> bool:
         return bool(self.pattern or self.listed) and (self.kind != "targeted" or bool(self.subjects))
 
+    @property
+    def expression(self) -> str:
+        """Of a pattern rule: its pattern, or a listed term anywhere. For Java and the ``regex`` package."""
+        parts = [self.pattern] if self.pattern else []
+        return "|".join(f"(?:{p})" for p in (*parts, *map(re.escape, self.listed.listed)))
+
 
-_EDGE = r"[\p{L}\p{M}\p{N}_]"
+_ENDS = r"[.!?]+(?=\s|\z)|[।॥]+"
 
 
-def _term(t: str) -> str:
-    """A term; a single word also with the -s or -es that makes it a plural."""
-    quoted = re.escape(t)
-    if not t.isalpha() or len(t) < 2:
-        return quoted
-    return quoted + ("(?:es)?" if t.endswith("s") else "(?:e?s)?" if t.endswith(("x", "z", "ch", "sh")) else "s?")
+def _subject(rule: Rule, toks: Column) -> Column:
+    """Whether a subject is among tokens, as it is or before an apostrophe."""
+    return F.exists(toks, lambda t: t.isin(*rule.named) | F.substring_index(t, "'", 1).isin(*rule.named))
 
 
-def finder(rule: Rule) -> str:
-    """A regular expression, for Java and the ``regex`` package alike, over normalised text: the pattern or a listed
-    term that neither begins nor ends inside a word of any script."""
-    parts = [rule.pattern] if rule.pattern else []
-    if rule.listed:
-        parts.append(f"(?<!{_EDGE})(?:{'|'.join(map(_term, rule.listed))})(?!{_EDGE})")
-    return "|".join(f"(?:{p})" for p in parts)
+def _addressed(rule: Rule, norm: Column) -> Column:
+    """Of each sentence with a subject: it and its places."""
+    told = F.transform(F.split(norm, _ENDS), lambda s: F.struct(s.alias("s"), tokens(s).alias("t")))
+    return F.transform(F.filter(told, lambda x: _subject(rule, x["t"])), lambda x: F.struct(x["s"].alias("s"), places(x["t"], [rule.listed]).alias("p")))
 
 
-def addressed(rule: Rule) -> str:
-    """The subjects, as they are or before an apostrophe."""
-    return f"(?<!{_EDGE})(?:{'|'.join(re.escape(normalise(x)[0]) for x in rule.subjects)})(?!{_EDGE})"
+def fires(rule: Rule, norm: Column, found: Column) -> Column:
+    """Whether a rule fires on normalised text, given the places of all lists in it."""
+    if rule.kind == "pattern":
+        return norm.rlike("(?i)" + rule.expression)
+    listed = rule.listed.fires(found, norm)
+    if rule.kind == "words":
+        return listed
+    # sentences are looked at only where the text has a term at all
+    return F.when(listed, F.exists(_addressed(rule, norm), lambda x: rule.listed.fires(x["p"], x["s"]))).otherwise(False)
 
 
-def matches(rule: Rule, norm: Column) -> Column:
-    """Whether a rule fires on normalised text."""
-    if rule.kind != "targeted":
-        return norm.rlike("(?i)" + finder(rule))
-    spans = F.split(norm, r"[.!?]+(?=\s|\z)|[।॥]+")
-    return F.exists(spans, lambda s: s.rlike(addressed(rule)) & s.rlike(finder(rule)))
+def hits(rule: Rule, norm: Column, found: Column) -> Column:
+    if rule.kind == "pattern":
+        return F.regexp_count(norm, F.lit("(?i)" + rule.expression))
+    if rule.kind == "words":
+        return rule.listed.count(found, norm)
+    return F.aggregate(_addressed(rule, norm), F.lit(0), lambda a, x: a + rule.listed.count(x["p"], x["s"]))
 
 
 def check(docs: DataFrame, rules: list[Rule], text: str = "text", surface: str | None = None) -> DataFrame:
@@ -89,27 +99,28 @@ def check(docs: DataFrame, rules: list[Rule], text: str = "text", surface: str |
     action, then of the list, up to the first block, which is then the only match. A rule without surfaces, or a row
     without one, is not restricted. Null texts match nothing.
     """
-    norm = "_norm"
-    while norm in docs.columns:
-        norm = "_" + norm
+    norm, found = "_norm", "_found"
+    while norm in docs.columns or found in docs.columns:
+        norm, found = "_" + norm, "_" + found
     order = sorted((r for r in rules if r.active), key=lambda r: ACTIONS.index(r.action))
 
-    def fires(r: Rule) -> Column:
-        out = F.coalesce(matches(r, F.col(norm)), F.lit(False))
-        return out & (F.col(surface).isNull() | F.col(surface).isin(*r.surfaces)) if r.surfaces is not None and surface else out
+    def says(r: Rule) -> Column:
+        out = F.coalesce(fires(r, F.col(norm), F.col(found)), F.lit(False))
+        return (F.col(surface).isNull() | F.col(surface).isin(*r.surfaces)) & out if r.surfaces is not None and surface else out
 
     def report(r: Rule) -> Column:
-        hits = F.lit(1) if r.kind == "targeted" else F.regexp_count(F.col(norm), F.lit("(?i)" + finder(r)))
-        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.action).alias("action"), hits.cast("int").alias("hits"))
+        return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.action).alias("action"), hits(r, F.col(norm), F.col(found)).cast("int").alias("hits"))
 
     none = F.array().cast("array<struct<rule_id:string,category:string,action:string,hits:int>>")
-    others = [F.when(fires(r), report(r)) for r in order if r.action != "block"]
-    found = F.filter(F.array(*others), lambda m: m.isNotNull()) if others else none
+    others = [F.when(says(r), report(r)) for r in order if r.action != "block"]
+    reports = F.filter(F.array(*others), lambda m: m.isNotNull()) if others else none
     chain = None
     for r in order:
         if r.action == "block":  # the first that fires ends the reading
-            chain = F.when(fires(r), F.array(report(r))) if chain is None else chain.when(fires(r), F.array(report(r)))
-    out = docs.withColumn(norm, normalised(F.col(text))).withColumn("gate_matches", found if chain is None else chain.otherwise(found)).drop(norm)
+            chain = F.when(says(r), F.array(report(r))) if chain is None else chain.when(says(r), F.array(report(r)))
+    out = docs.withColumn(norm, folded(F.col(text)))
+    out = out.withColumn(found, places(tokens(F.coalesce(norm, F.lit(""))), [r.listed for r in order if r.kind != "pattern"]))
+    out = out.withColumn("gate_matches", reports if chain is None else chain.otherwise(reports)).drop(norm, found)
     has = lambda a: F.exists("gate_matches", lambda m: m.action == a)
     return out.withColumn("blocked", has("block")).withColumn("needs_revision", has("revise")).withColumn("flagged", has("flag"))
 
@@ -117,12 +128,15 @@ def check(docs: DataFrame, rules: list[Rule], text: str = "text", surface: str |
 def match_spans(text: str | None, rule: Rule) -> list[tuple[int, int]]:
     """Where a rule's finds stand in the text as written; of a targeted rule the terms of sentences with a subject."""
     norm, source = normalise(text or "")
-    find, subject = regex.compile(finder(rule), regex.I), None
-    if rule.kind == "targeted":
-        subject = regex.compile(addressed(rule))
-    edges = [0, *(x for m in re.finditer(r"[.!?]+(?=\s|$)|[।॥]+", norm) for x in m.span()), len(norm)]
-    spans = list(zip(edges[::2], edges[1::2])) if subject else [(0, len(norm))]
-    return [(source[m.start()], source[m.end() - 1] + 1) for a, b in spans if not subject or subject.search(norm, a, b) for m in find.finditer(norm, a, b) if m.end() > m.start()]
+    if rule.kind == "pattern":
+        found = [m.span() for m in regex.finditer(rule.expression, norm, regex.I)]
+    elif rule.kind == "words":
+        found = rule.listed.spans(norm)
+    else:
+        edges = [0, *(x for m in regex.finditer(_ENDS.replace(r"\z", r"\Z"), norm) for x in m.span()), len(norm)]
+        said = lambda a, b: any(t in rule.named or t.split("'")[0] in rule.named for t in regex.findall(TOKEN, norm, pos=a, endpos=b))
+        found = [s for a, b in zip(edges[::2], edges[1::2]) if said(a, b) for s in rule.listed.spans(norm, a, b)]
+    return [trimmed(text, source[a], source[b - 1] + 1) for a, b in found if b > a]
 
 
 def located(docs: DataFrame, rules: list[Rule], text: str = "text", key: str = "doc_id") -> DataFrame:

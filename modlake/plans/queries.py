@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, corpus, decision, evaluation, gate, vision
 from ..operators.ranks import at_ranks
+from ..operators.terms import lexicon_hit
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,11 +134,26 @@ def _linear(t: Tables) -> DataFrame:
 
 
 # -- gate and cascade --------------------------------------------------------------------------------------------------
-EDGE = r"[^\pL\pM\pN_]"
-query("f2_f3_f4_f6_gate", rf"""SELECT doc_id, regexp_matches(t, '(^|{EDGE})(idiots?|scums?|morons?)($|{EDGE})') OR regexp_matches(t, '(^|[^\w])akia[0-9a-z]{{16}}($|[^\w])')
- OR len(list_filter(regexp_split_to_array(t, '[.!?]+\s|[.!?]+$|[।॥]+'), lambda s: regexp_matches(s, '(^|{EDGE})(you|they|he|she|it)($|{EDGE})') AND regexp_matches(s, '(^|{EDGE})(pathetics?|useless(es)?)($|{EDGE})'))) > 0 AS blocked FROM (SELECT doc_id, lower(text) AS t FROM documents)""")(
-    lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select("doc_id", "blocked"))
-query("f5_gate_rules_hit")(lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select(F.explode("gate_matches").alias("m")).groupBy("m.rule_id", "m.action").agg(F.count("*").alias("docs"), F.sum("m.hits").alias("hits")))
+#: The rules of gate.DEFAULT_RULES said by token lists: hits of each rule in each document, and what they decide.
+_TOKENS = r"regexp_extract_all({0}, '[\pL\pM\pN_]+(?:[''-][\pL\pM\pN_]+)*')"
+_AMONG = "len(list_filter({0}, lambda w: w IN ({1})))"
+_GATE = rf"""WITH t AS (SELECT doc_id, source, lower(text) AS t, {_TOKENS.format("lower(text)")} AS w FROM documents),
+ s AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '[.!?]+\s|[.!?]+$|[।॥]+'), lambda x: {_TOKENS.format("x")}) AS ss FROM t),
+ h AS (SELECT t.doc_id, {_AMONG.format("w", "'idiot', 'idiots', 'scum', 'scums', 'moron', 'morons'")} AS words,
+  list_sum(list_transform(list_filter(ss, lambda x: len(list_filter(x, lambda y: split_part(y, '''', 1) IN ('you', 'they', 'he', 'she', 'it'))) > 0), lambda x: {_AMONG.format("x", "'pathetic', 'pathetics', 'useless', 'uselesses'")})) AS targeted,
+  len(regexp_extract_all(t, '\b(?:bit\.ly|tinyurl\.com|t\.co)/\w+')) AS shortener, len(regexp_extract_all(t, '[\w.+-]+@[\w-]+\.\w+')) AS mail, len(regexp_extract_all(t, '\bakia[0-9a-z]{{16}}\b')) AS secret,
+  len(regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', ' all  rights  reserved | released  under  the  mit  license ')) AS licence,
+  CASE WHEN source IS NULL OR source IN ('src0', 'src1') THEN len(regexp_extract_all(t, '!!\s+\w+!!')) ELSE 0 END AS shouting FROM t JOIN s USING (doc_id)),
+ d AS (SELECT *, words > 0 OR coalesce(targeted, 0) > 0 OR secret > 0 AS blocked FROM h) """
+query("f2_f3_f4_f6_gate", _GATE + "SELECT doc_id, blocked, NOT blocked AND mail > 0 AS needs_revision, NOT blocked AND shortener + licence + shouting > 0 AS flagged FROM d")(
+    lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select("doc_id", "blocked", "needs_revision", "flagged"))
+query("f5_gate_rules_hit", _GATE + """, r AS (SELECT 'abuse.words' AS rule_id, words AS hits FROM d UNION ALL SELECT 'abuse.targeted', CASE WHEN words = 0 THEN targeted END FROM d
+ UNION ALL SELECT 'secret.key', CASE WHEN words = 0 AND coalesce(targeted, 0) = 0 THEN secret END FROM d UNION ALL SELECT 'contact.mail', mail FROM d WHERE NOT blocked
+ UNION ALL SELECT 'spam.shortener', shortener FROM d WHERE NOT blocked UNION ALL SELECT 'licence.notice', licence FROM d WHERE NOT blocked UNION ALL SELECT 'shouting', shouting FROM d WHERE NOT blocked)
+ SELECT rule_id, count(*) AS docs, sum(hits)::BIGINT AS hits FROM r WHERE hits > 0 GROUP BY 1""")(
+    lambda t: gate.check(t.documents, gate.DEFAULT_RULES, surface="source").select(F.explode("gate_matches").alias("m")).groupBy("m.rule_id").agg(F.count("*").alias("docs"), F.sum("m.hits").alias("hits")))
+query("f8_lexicon", r"SELECT doc_id, len(list_filter(regexp_split_to_array(translate(lower(text), '$@013457!', 'saoieasti'), '[^a-z]+'), lambda w: w IN ('idiot', 'the', 'des', 'los', 'all'))) > 0 AS hit FROM documents")(
+    lambda t: t.documents.select("doc_id", lexicon_hit(F.col("text"), ("idiot", "the", "des", "los", "all", "of")).alias("hit")))
 
 
 @query("x3_cascade")
