@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from ..operators import audit, corpus, decision, evaluation, gate, vision
 from ..operators.ranks import at_ranks
@@ -159,7 +160,31 @@ query("f8_lexicon", r"SELECT doc_id, len(list_filter(regexp_split_to_array(trans
 @query("x3_cascade")
 def _cascade(t: Tables) -> DataFrame:
     levels = t.spark.createDataFrame([("src3", False, None, None), ("src4", True, 0.5, 0.9)], "surface string, enabled boolean, allow_max double, reject_min double")
-    return decision.cascade(t.documents.withColumnRenamed("source", "surface"), gate.DEFAULT_RULES, T.code_sum_score, levels)
+    out = decision.cascade(t.documents.select("doc_id", "text", F.col("source").alias("surface")), gate.DEFAULT_RULES, T.code_sum_score, levels)
+    return out.select("doc_id", "decision", "decided_by", "risk", "severity", "matches", F.size("issues").alias("issues"), F.size("scores").alias("scores"), F.md5(F.to_json("issues")).alias("m"))
+
+
+_MARKED = ", ".join(f"'{w}'" for w in decision.MARKERS)
+query("p7_has_syntax", rf"""SELECT doc_id, CASE WHEN n = 0 OR (commas >= 3 AND commas / n > 0.20 AND m / n < 0.15) THEN false WHEN n < 10 THEN true WHEN (n >= 15 AND m + bent < 2) OR (n >= 25 AND m / n < 0.10) THEN false ELSE m + bent >= 1 END AS scannable FROM (
+ SELECT doc_id, len(w) AS n, length(text) - length(replace(text, ',', '')) AS commas, len(list_filter(w, lambda x: x IN ({_MARKED}))) AS m, len(list_filter(w, lambda x: length(x) >= 5 AND regexp_matches(x, '(ing|ed|ize|ise)$'))) AS bent
+ FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z\x{{900}}-\x{{97F}}]+') AS w FROM documents))""")(
+    lambda t: t.documents.select("doc_id", decision.has_syntax(F.col("text")).alias("scannable")))
+
+
+@query("j23_spans_apart")
+def _apart(t: Tables) -> DataFrame:
+    """Sentences and windows of 40 words that the stand-in model scores 0.5 or more, none overlapping."""
+    units = decision.scan_units(t.documents.select("doc_id", "text", F.col("text").alias("view")), decision.Scan())
+    risk = T.code_sum_score(F.col("shown"))
+    found = units.select("doc_id", F.struct("start", "end", "kind", risk.alias("risk")).alias("x")).where("x.risk >= 0.5").groupBy("doc_id").agg(F.collect_list("x").alias("x"))
+    return found.select("doc_id", decision.apart(F.col("x")).alias("k")).select("doc_id", F.inline("k"))
+
+
+@query("p8_addressed_segments")
+def _segments(t: Tables) -> DataFrame:
+    """What follows a subject word in the sentences that have one."""
+    found = spans.read_parts(lambda text: [(s, e, "segment") for s, e in spans.addressed_segments(text, ("he", "she", "they", "you", "it", "is"))])
+    return t.documents.select("doc_id", F.explode(found("text", "text")).alias("s")).select("doc_id", "s.start", "s.end", "s.own")
 
 
 query("x1_x2_route", SCORED + "SELECT doc_id, CASE greatest(CASE WHEN p <= 0.3 THEN 0 WHEN p >= 0.7 THEN 2 ELSE 1 END, quality) WHEN 0 THEN 'allow' WHEN 1 THEN 'revise' ELSE 'reject' END AS decision FROM scored")(
