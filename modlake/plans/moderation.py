@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
-from ..operators import audit, blocklist, gate, highlights, media, occlusion, pictures, reports, training, vision
+from ..operators import audit, blocklist, gate, highlights, media, occlusion, pictures, policy, reports, training, vision
 from .queries import LOG, SCORED, UNIT, Tables, query
 from .reports import SPLIT, SQL_KEY
 
@@ -176,3 +176,21 @@ def _occlusion(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 query("m13_w8_word_contributions")(lambda t: _occlusion(t)[0])
 query("m13_w10_trigger_words")(lambda t: _occlusion(t)[1].select("doc_id", "start", "end", F.array_join(F.transform("triggers", lambda w: F.concat_ws(":", w["start"].cast("string"), w["end"].cast("string"))), ",").alias("triggers")))
+
+
+# -- policies over time ------------------------------------------------------------------------------------------------
+def _policy_changes(t: Tables) -> DataFrame:
+    """Sign-ups as changes of the policy of one of seven surfaces: a level, a switch, or both."""
+    rows = t.events.where("event_type = 'signup'").withColumn("k", F.col("event_id") % 5)
+    level = F.when(F.col("k") == 0, "strict").when(F.col("k") == 1, "open").when(F.col("k") == 2, "medium")
+    return rows.select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("surface"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("k") > 2, F.col("k") == 4).alias("enabled"), level.alias("level"), F.lit(None).cast("double").alias("allow_max"), F.lit(None).cast("double").alias("reject_min"))
+
+
+_LEVELS = {"strict": (0.1, 0.1), "medium": (0.3, 0.7), "open": (0.9, 0.95)}
+query("r9_c10_policy_as_of", """WITH c AS (SELECT 's' || (user_id % 7) AS surface, ts::TIMESTAMP AS since, event_id AS seq, CASE WHEN event_id % 5 > 2 THEN event_id % 5 = 4 END AS enabled, CASE event_id % 5 WHEN 0 THEN 'strict' WHEN 1 THEN 'open' WHEN 2 THEN 'medium' END AS level FROM events WHERE event_type = 'signup'),
+ f AS (SELECT surface, since, seq, coalesce(last_value(enabled IGNORE NULLS) OVER w, true) AS enabled, last_value(level IGNORE NULLS) OVER w AS level FROM c WINDOW w AS (PARTITION BY surface ORDER BY since, seq ROWS UNBOUNDED PRECEDING)),
+ v AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY surface, since ORDER BY seq DESC) = 1),
+ e AS (SELECT event_id, 's' || (user_id % 7) AS surface, ts::TIMESTAMP AS ts FROM events)
+ SELECT e.event_id, v.enabled, v.level, CASE v.level WHEN 'strict' THEN 0.1 WHEN 'medium' THEN 0.3 WHEN 'open' THEN 0.9 END::DOUBLE AS allow_max, CASE v.level WHEN 'strict' THEN 0.1 WHEN 'medium' THEN 0.7 WHEN 'open' THEN 0.95 END::DOUBLE AS reject_min
+ FROM e ASOF LEFT JOIN v ON e.surface = v.surface AND e.ts >= v.since""")(
+    lambda t: policy.as_of(t.events.select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("surface"), F.col("ts").cast("timestamp").alias("ts")), policy.policy_versions(_policy_changes(t), _LEVELS)).select("event_id", "enabled", "level", "allow_max", "reject_min"))
