@@ -31,9 +31,10 @@ def unleet(text: Column) -> Column:
 
 def hashtag_words(tag: Column) -> Column:
     """#SaveTheDate2024_now -> Save The Date 2024 now."""
-    t = F.regexp_replace(F.ltrim(tag, F.lit("#")), "_+", " ")
+    t = F.regexp_replace(F.regexp_replace(tag, "^#", ""), "_+", " ")
     t = F.regexp_replace(t, r"(?<=[a-z0-9])(?=[A-Z])", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?<=[A-Za-z])(?=[0-9])", " "), r"(?<=[0-9])(?=[A-Za-z])", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[A-Za-z])(?=[0-9])", " "), r"(?<=[0-9])(?=[A-Za-z])", " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def canonical_hashtag(raw: Column, size: int = 50) -> Column:

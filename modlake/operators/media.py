@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import hashtag_words
+
 
 def softmax(z: Column) -> Column:
     """Of an array of logits, without overflow."""
@@ -60,35 +62,48 @@ def note_of(decision: Column, message: Column, rule: Column, risk: Column) -> Co
     return F.coalesce(message, F.when(action_of(decision) == "reject", F.coalesce(by_rule, by_risk)))
 
 
-RANK = {"reject": 2, "revise": 1, "allow": 0}
+# The notes of a side that is refused without one.
+TEXT_NOTE, IMAGE_NOTE = "Text violates moderation policy.", "Image violates moderation policy."
 
 
 def unified(text: dict[str, Column], image: dict[str, Column]) -> dict[str, Column]:
-    """``decision, decided_by, risk, note`` of a submission with text and picture, each with such columns or nulls.
+    """``decision, action, legacy_decision, decided_by, risk, note`` of a submission with text and picture.
 
-    The harsher decision counts, the larger risk, both notes; a side that is switched off shows.
+    Each side has ``decision, decided_by, risk, note``, or nulls, which pass. The harsher decision counts and the larger
+    risk. Only sides that are refused or to be revised add their notes, or the standing one; a side that nothing looked
+    at shows as ``disabled``.
     """
-    rank = lambda d: F.coalesce(*[F.when(d == k, F.lit(v)) for k, v in RANK.items()])
-    both = F.greatest(rank(text["decision"]), rank(image["decision"]))
-    off = F.coalesce((text["decided_by"] == "disabled"), F.lit(False)) | F.coalesce((image["decided_by"] == "disabled"), F.lit(False))
-    note = F.nullif(F.concat_ws(" | ", text["note"], image["note"]), F.lit(""))
+    told = lambda d: F.coalesce(d, F.lit("approved"))
+    refused = lambda side: told(side["decision"]).isin("reject", "revise")
+    some = lambda d: (told(text["decision"]) == d) | (told(image["decision"]) == d)
+    off = F.coalesce(text["decided_by"] == "disabled", F.lit(False)) | F.coalesce(image["decided_by"] == "disabled", F.lit(False))
+    own = lambda side, standing: F.when(refused(side), F.coalesce(F.nullif(side["note"], F.lit("")), F.lit(standing)))
+    decision = F.when(some("reject"), "reject").when(some("revise"), "revise").otherwise("approved")
     return {
-        "decision": F.when(both == 2, "reject").when(both == 1, "revise").when(both == 0, "allow"),
-        "decided_by": F.when(off, "disabled").otherwise(F.coalesce(text["decided_by"], image["decided_by"])),
+        "decision": decision,
+        "action": F.when(decision == "approved", "approved").otherwise("reject"),
+        "legacy_decision": F.when(decision == "approved", "allow").otherwise(decision),
+        "decided_by": F.when(off, "disabled").otherwise(F.coalesce(F.nullif(text["decided_by"], F.lit("")), image["decided_by"])),
         "risk": F.greatest(text["risk"], image["risk"]),
-        "note": note,
+        "note": F.nullif(F.concat_ws(" | ", own(text, TEXT_NOTE), own(image, IMAGE_NOTE)), F.lit("")),
     }
 
 
-def visual_match(category: Column, score: Column) -> Column:
-    """A refusal by sight in the shape of a gate match."""
-    return F.struct(F.concat(F.lit("visual."), category).alias("rule_id"), category.alias("category"), F.lit("block").alias("action"), F.round(score, 4).alias("score"))
+def visual_match(cause: Column, label: Column, category: Column, exemplar: Column, exemplar_category: Column) -> Column:
+    """A refusal by sight in the shape of a gate match, named by what refused: a marked picture, the probe or the policy.
+
+    A marked picture gives its own category, translated before, and its id where it has one.
+    """
+    marked = F.coalesce(cause == "exemplar", F.lit(False))
+    by_mark = F.concat(F.lit("visual.exemplar"), F.coalesce(F.concat(F.lit("#"), exemplar.cast("string")), F.lit("")))
+    rule = F.when(marked, by_mark).when(cause == "probe", F.concat(F.lit("visual.probe."), label)).otherwise(F.concat(F.lit("visual."), label))
+    return F.struct(rule.alias("rule_id"), F.coalesce(F.when(marked, exemplar_category).otherwise(category), F.lit("")).alias("category"), F.lit("block").alias("action"))
 
 
 def hashtag_text(raw: Column) -> Column:
-    """A comma list of tags as one line, blanks dropped, each with its sign."""
-    tags = F.filter(F.transform(F.split(raw, ","), lambda x: F.ltrim(F.trim(x), F.lit("#"))), lambda x: x != "")
-    return F.array_join(F.transform(tags, lambda x: F.concat(F.lit("#"), x)), " ")
+    """A comma list of tags as the words they are made of; null is empty."""
+    words = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), hashtag_words)
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def first_named(body: Column, names: list[str]) -> Column:

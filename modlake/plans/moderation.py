@@ -58,17 +58,28 @@ query("p43_notes", LOG + "SELECT request_id, CASE WHEN decision = 'allow' THEN '
 
 
 def _unified(t: Tables) -> DataFrame:
-    side = lambda p: t.log.where(f"modality = '{p}' and decision <> 'escalate'").groupBy("user_id").agg(F.max_by("decision", "request_id").alias(f"{p}_decision"), F.max("latency_ms").alias(f"{p}_risk"), F.max(F.concat(F.lit(f"{p} "), F.col("request_id") % 3)).alias(f"{p}_note"))
-    of = lambda p: {"decision": F.col(f"{p}_decision"), "decided_by": F.when(F.col(f"{p}_risk").isNotNull(), p), "risk": F.col(f"{p}_risk"), "note": F.col(f"{p}_note")}
-    return side("text").join(side("image"), "user_id", "full").select("user_id", *[c.alias(n) for n, c in media.unified(of("text"), of("image")).items()])
-
-
-query("x16_unified", LOG + """, s AS (SELECT user_id, modality, arg_max(decision, request_id) AS d, max(latency_ms) AS r, max(modality || ' ' || request_id % 3) AS note FROM log WHERE modality IS NOT NULL AND decision <> 'escalate' GROUP BY 1, 2)
- SELECT user_id, CASE max(CASE d WHEN 'reject' THEN 2 WHEN 'revise' THEN 1 ELSE 0 END) WHEN 2 THEN 'reject' WHEN 1 THEN 'revise' ELSE 'allow' END AS decision, CASE WHEN bool_or(modality = 'text' AND r IS NOT NULL) THEN 'text' WHEN bool_or(r IS NOT NULL) THEN 'image' END AS decided_by,
- max(r) AS risk, string_agg(note, ' | ' ORDER BY modality DESC) AS note FROM s WHERE user_id IS NOT NULL GROUP BY 1""")(lambda t: _unified(t).where("user_id is not null"))
-query("x17_visual_match", "SELECT vec_id, 'visual.c' || label AS rule_id, 'c' || label AS category, 'block' AS action, round(abs(embedding[1]::DOUBLE), 4) AS score FROM embeddings")(
-    lambda t: t.embeddings.select("vec_id", media.visual_match(F.concat(F.lit("c"), "label"), F.abs(F.col("embedding")[0].cast("double"))).alias("m")).select("vec_id", "m.*"))
-query("p18_hashtag_text", "SELECT p_partkey, '#' || array_to_string(string_split(p_name, ' '), ' #') AS line FROM part")(lambda t: t.part.select("p_partkey", media.hashtag_text(F.concat(F.lit(" ,#"), F.replace("p_name", F.lit(" "), F.lit(" , #")), F.lit(", "))).alias("line")))
+    """The last decision of each member on text and on pictures, as one submission; what is not a picture is text."""
+    log = t.log.withColumn("m", F.when(F.col("modality") == "image", "image").otherwise("text"))
+
+    def side(m: str) -> list[F.Column]:
+        own = lambda c: F.when(F.col("m") == m, F.col(c) if isinstance(c, str) else c)
+        by = F.when(F.col("request_id") % 11 == 0, "disabled").otherwise("model")
+        return [F.max_by(own("decision"), own("request_id")).alias(f"{m}_decision"), F.max_by(own(by), own("request_id")).alias(f"{m}_by"), F.max(own("latency_ms")).alias(f"{m}_risk"), F.max(own(F.when(F.col("request_id") % 5 == 0, F.concat(F.lit(f"{m} "), F.col("request_id") % 3)))).alias(f"{m}_note")]
+
+    of = lambda m: {"decision": F.col(f"{m}_decision"), "decided_by": F.col(f"{m}_by"), "risk": F.col(f"{m}_risk"), "note": F.col(f"{m}_note")}
+    return log.groupBy("user_id").agg(*side("text"), *side("image")).select("user_id", *[c.alias(n) for n, c in media.unified(of("text"), of("image")).items()])
+
+
+_SIDE = "arg_max(decision, request_id) FILTER ({1}) AS {0}d, arg_max(CASE WHEN request_id % 11 = 0 THEN 'disabled' ELSE 'model' END, request_id) FILTER ({1}) AS {0}b, max(latency_ms) FILTER ({1}) AS {0}r, max(CASE WHEN request_id % 5 = 0 THEN '{2} ' || request_id % 3 END) FILTER ({1}) AS {0}n"
+query("x16_unified", LOG + ", s AS (SELECT user_id, " + _SIDE.format("t", "modality IS DISTINCT FROM 'image'", "text") + ", " + _SIDE.format("i", "modality = 'image'", "image") + """ FROM log GROUP BY 1),
+ d AS (SELECT *, CASE WHEN td = 'reject' OR id = 'reject' THEN 'reject' WHEN td = 'revise' OR id = 'revise' THEN 'revise' ELSE 'approved' END AS decision FROM s)
+ SELECT user_id, decision, CASE decision WHEN 'approved' THEN 'approved' ELSE 'reject' END AS action, CASE decision WHEN 'approved' THEN 'allow' ELSE decision END AS legacy_decision,
+ CASE WHEN tb = 'disabled' OR ib = 'disabled' THEN 'disabled' ELSE coalesce(tb, ib) END AS decided_by, greatest(tr, ir) AS risk,
+ nullif(concat_ws(' | ', CASE WHEN td IN ('reject', 'revise') THEN coalesce(tn, 'Text violates moderation policy.') END, CASE WHEN id IN ('reject', 'revise') THEN coalesce("in", 'Image violates moderation policy.') END), '') AS note FROM d""")(_unified)
+query("x17_visual_match", """SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'visual.exemplar#' || vec_id WHEN 1 THEN 'visual.exemplar' WHEN 2 THEN 'visual.probe.l' || label ELSE 'visual.l' || label END AS rule_id, CASE WHEN vec_id % 4 > 1 THEN 'c' || label WHEN vec_id % 8 < 4 THEN 'marked' ELSE '' END AS category, 'block' AS action FROM embeddings""")(
+    lambda t: t.embeddings.withColumn("k", F.col("vec_id") % 4).select("vec_id", media.visual_match(F.when(F.col("k") < 2, "exemplar").when(F.col("k") == 2, "probe"), F.concat(F.lit("l"), "label"), F.concat(F.lit("c"), "label"), F.when(F.col("k") == 0, F.col("vec_id")), F.when(F.col("vec_id") % 8 < 4, "marked")).alias("m")).select("vec_id", "m.*"))
+query("p18_hashtag_text", r"SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w || ' The Day 2024 b'), ' ') AS line FROM part")(
+    lambda t: t.part.select("p_partkey", media.hashtag_text(F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("#"), w, F.lit("TheDay2024_b"))), ", ,").alias("raw")).alias("line")))
 query("p22_first_named", "SELECT event_id, coalesce(nullif(trim(props->>'$.text'), ''), nullif(trim(props->>'$.k'), '')) AS v FROM events")(lambda t: t.events.select("event_id", media.first_named(F.col("props"), ["text", "k"]).alias("v")))
 query("p23_attachments", "SELECT conv_id, sum((trim(text) <> '')::INT)::INT + 1 AS n FROM conversations GROUP BY 1")(lambda t: t.conversations.groupBy("conv_id").agg(F.collect_list("text").alias("a")).select("conv_id", media.attachments(F.col("a"), F.array(F.lit("x"), F.lit(" "), F.lit(None).cast("string")), F.lit(None).cast("array<string>")).alias("n")))
 
