@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
-from ..operators import audit, corpus, decision, evaluation, gate, vision
+from ..operators import audit, corpus, decision, evaluation, folds, gate, vision
 from ..operators.ranks import at_ranks
 from ..operators.terms import lexicon_hit
 from ..streaming import jobs
@@ -221,7 +221,22 @@ query("u7_superset_check", "SELECT count(*) AS missing FROM labels WHERE doc_id
 query("a26_word_lift", r"SELECT lang, round(avg(CASE WHEN regexp_matches(text, '(?i)(^|[^\w])the($|[^\w])') THEN toxic END) / nullif(avg(toxic), 0), 6) AS lift FROM documents JOIN labels USING (doc_id) WHERE lang='en' GROUP BY 1")(
     lambda t: t.documents.where("lang='en'").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.try_divide(F.avg(F.when(F.col("text").rlike(r"(?i)(^|[^\w])the($|[^\w])"), F.col("toxic"))), F.avg("toxic")), 6).alias("lift")))
 query("f21_multi_sentence", r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[.!?\n]')) >= 4")(lambda t: t.documents.where(F.regexp_count("text", F.lit(r"[.!?\n]")) >= 4).select("doc_id"))
-query("t12_folds")(lambda t: t.documents.select("doc_id", F.pmod(F.xxhash64(F.md5("text")), F.lit(5)).alias("fold")))
+query("t12_folds", r"""WITH k AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS nk, left(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z# ]', '', 'g'), 160) AS sk FROM documents),
+ l0 AS (SELECT doc_id, doc_id AS g FROM k)""" + "".join(f""",
+ l{n} AS (SELECT k.doc_id, least(l.g, min(l.g) OVER (PARTITION BY k.nk), min(l.g) OVER (PARTITION BY k.sk)) AS g FROM k JOIN l{n - 1} l USING (doc_id))""" for n in range(1, 7)) + """
+ SELECT doc_id, g AS "group", (('0x' || left(md5(g::VARCHAR), 8))::BIGINT % 5)::INT AS fold FROM l6""")(
+    lambda t: folds.near_copy_groups(t.spark, t.documents, {"text": T.norm_key(F.col("text")), "skeleton": T.skeleton(F.col("text"))}).withColumn("fold", folds.fold_of(F.col("group"), 5)))
+
+
+@query("a48_out_of_fold")
+def _out_of_fold(t: Tables) -> DataFrame:
+    """Recall and precision of each label of the vectors; vectors equal to two decimals stay in one fold."""
+    vectors = t.embeddings.select("vec_id", F.col("embedding").alias("x"), F.col("label").alias("y"))
+    rounded = F.to_json(F.transform("x", lambda v: F.round(v.cast("double"), 2)))
+    groups = folds.near_copy_groups(t.spark, vectors, {"vector": rounded}, "vec_id")
+    return folds.class_report(folds.out_of_fold(t.spark, vectors, groups))
+
+
 query("a8_a10_category_stats", "SELECT n_name, count(c_custkey) AS customers, count(*) FILTER (c_acctbal < 0) AS negative, count(*) FILTER (c_mktsegment = 'NONE') = 0 AS withdrawn FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")(
     lambda t: t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), (F.count_if(F.col("c_mktsegment") == "NONE") == 0).alias("withdrawn")))
 query("a52_counts_by_source", "SELECT source, count(*) AS n FROM documents GROUP BY 1")(lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source"))
