@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
-from ..operators import audit, blocklist, gate, highlights, media, occlusion, pictures, policy, reports, training, vision
+from ..operators import audit, blocklist, gate, highlights, media, noise, occlusion, pictures, policy, reports, training, vision
 from .queries import LOG, SCORED, UNIT, Tables, query
 from .reports import SPLIT, SQL_KEY
 
@@ -205,3 +205,4 @@ query("r9_c10_policy_as_of", """WITH c AS (SELECT 's' || (user_id % 7) AS surfac
  SELECT e.event_id, v.enabled, v.level, CASE v.level WHEN 'strict' THEN 0.1 WHEN 'medium' THEN 0.3 WHEN 'open' THEN 0.9 END::DOUBLE AS allow_max, CASE v.level WHEN 'strict' THEN 0.1 WHEN 'medium' THEN 0.7 WHEN 'open' THEN 0.95 END::DOUBLE AS reject_min
  FROM e ASOF LEFT JOIN v ON e.surface = v.surface AND e.ts >= v.since""")(
     lambda t: policy.as_of(t.events.select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("surface"), F.col("ts").cast("timestamp").alias("ts")), policy.policy_versions(_policy_changes(t), _LEVELS)).select("event_id", "enabled", "level", "allow_max", "reject_min"))
+query("p53_p54_noise")(lambda t: t.documents.select("doc_id", F.md5(noise.noise(F.col("text"), noise.Draws(F.col("doc_id")))).alias("noise"), F.md5(noise.obfuscate(F.col("text"), noise.Draws(F.col("doc_id")))).alias("obfuscated")))
