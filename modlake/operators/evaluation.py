@@ -52,6 +52,22 @@ def auc(df: DataFrame) -> DataFrame:
     return by.agg(F.round(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
+def average_precision(df: DataFrame) -> DataFrame:
+    """The mean over positives of the precision at their score, ties taken together; null without positives.
+
+    Counts from a score upwards are those of higher cells, from one row for each cell, and those in its own.
+    """
+    by = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n")).withColumn("cell", cell_of(F.col("p")))
+    upto = lambda c, w, last: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(0))
+    cells = by.groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    over = Window.orderBy(F.desc("cell"))
+    cells = cells.select("cell", upto("pos", over, -1).alias("pos_over"), upto("n", over, -1).alias("n_over"))
+    own = Window.partitionBy("cell").orderBy(F.desc("p"))
+    by = by.withColumns({"pos_own": upto("pos", own, 0), "n_own": upto("n", own, 0)}).join(cells, "cell")
+    precision = (F.col("pos_own") + F.col("pos_over")) / (F.col("n_own") + F.col("n_over"))
+    return by.agg(F.round(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")), 6).alias("average_precision"))
+
+
 def sweep(df: DataFrame, grid: list[float]) -> DataFrame:
     """Per threshold: share of rows under it and positives under it. Each row goes to one cell of the grid; the
     thresholds add up cells, so nothing is multiplied by the grid."""

@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 512  # for each step of the logarithm
+CELLS = 512  # for each power of two
+
+
+def _steps(size: Column) -> Column:
+    """A number that rises with a size above 0, CELLS steps for each power of two."""
+    held = F.least(size, F.lit(1.7e308))
+    power = F.floor(F.log2(held))
+    return F.floor((held / F.pow(F.lit(2.0), power) + power) * CELLS)
 
 
 def cell_of(value: Column) -> Column:
-    """A whole number that never falls as the value rises; some 700,000 of them at most, whatever the input."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * CELLS)
+    """A whole number that never falls as the value rises; some 2 million of them at most, whatever the input.
+
+    Cells keep the relative precision of values near 0 and of large ones, and of what probabilities near 1 lack of 1.
+    """
+    v = value.cast("double")
+    below, above, last = -1100 * CELLS, 60 * CELLS, 2000 * CELLS
+    return (
+        F.when(F.isnan(v), last).when(v == 0, below).when(v < 0, -2200 * CELLS - _steps(-v)).when(v <= 0.5, _steps(v)).when(v < 1, -_steps(1 - v)).otherwise(above + _steps(v))
+    ).cast("long")
 
 
 def at_ranks(df: DataFrame, by: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:

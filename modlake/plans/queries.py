@@ -252,6 +252,7 @@ query("a15_calibration", SCORED + "SELECT greatest(ceil(p*15)-1,0)::INT AS bin,
 for _n, _closed, _bin, _where in (("a14a_ece", "right", "greatest(ceil(p*15)-1,0)", "true"), ("a14b_ece", "left", "least(floor(p*10),9)", "true"), ("a14c_ece", "drop", "greatest(ceil(p*15)-1,0)", "p > 0")):
     query(_n, SCORED + f"SELECT round(sum(n*abs(a-b))/sum(n),4) AS ece FROM (SELECT {_bin} AS k, count(*) AS n, avg(p) AS a, avg(y) AS b FROM scored WHERE {_where} GROUP BY 1)")(lambda t, c=_closed: evaluation.ece(t.scored, 10 if c == "left" else 15, c))
 query("a16_auc", SCORED + "SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)/count(*),6) AS auc FROM scored a, scored b WHERE a.y=1 AND b.y=0")(lambda t: evaluation.auc(t.scored))
+query("a16_average_precision", SCORED + ", c AS (SELECT p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY p), w AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS n FROM c) SELECT round(sum(pos * (tp / n)) / sum(pos), 6) AS average_precision FROM w")(lambda t: evaluation.average_precision(t.scored))
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 SWEEP = SCORED + ", g AS (SELECT unnest([" + ",".join(map(str, GRID)) + "])::DOUBLE AS threshold), s AS (SELECT threshold, count(*) FILTER (p < threshold) AS skipped, sum(CASE WHEN p < threshold THEN y ELSE 0 END)::BIGINT AS missed FROM g, scored GROUP BY 1) "
 query("a27_a30_sweep", SWEEP + "SELECT * FROM s")(lambda t: evaluation.sweep(t.scored, GRID))

@@ -54,3 +54,18 @@ def test_ranks_of_negative_tied_and_missing_values(spark):
     assert [got["a"][f"r{k}"] for k in range(7)] == sorted(v for v in values if v is not None) and got["a"].n == 7
     assert got[None].r0 == 7.0 and got[None].r1 is None and "b" not in got
     assert at_ranks(df.limit(0), "g", "v", every).count() == 0
+
+
+def test_cells_rise_with_values_and_tell_saturated_scores_apart(spark):
+    import math
+    import random
+
+    from modlake.operators.ranks import cell_of
+
+    rng = random.Random(8)
+    values = [0.0, -0.0, 1.0, 0.5, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf, math.nextafter(1, 0), math.nextafter(0.5, 0), math.nextafter(0.5, 1), math.nextafter(1, 2)]
+    values += [s * 2.0 ** rng.uniform(-60, 60) for s in (1, -1) for _ in range(300)] + [1 - 2.0 ** -rng.uniform(0, 52) for _ in range(300)] + [rng.random() for _ in range(300)]
+    cells = {r.v: r.c for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", cell_of(F.col("v")).alias("c")).collect()}
+    told = [cells[v] for v in sorted(values)]
+    assert told == sorted(told) and min(told) > -(1 << 21) and max(told) < 1 << 21
+    assert len({cells[v] for v in values if 0.998 < v < 1}) > 100 and len({cells[v] for v in values if 0 < v < 0.0019}) > 100
