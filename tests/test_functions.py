@@ -14,6 +14,26 @@ def test_normalise_maps_back():
     assert norm == "fullwidth fi 's" and [at[0], at[4]] == [2, 7] and len(at) == len(norm)
 
 
+def test_results_leave_python_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "SLICE", 10)
+    texts = ["Ab c.", None, "", "x" * 30, "d  e"]
+    got = list(spans.sliced([(pa.array(texts),)], lambda t: spans.word_spans(t or ""), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+    assert [len(x) for x in got] == [4, 1]
+    assert [[(w["start"], w["end"]) for w in row] for x in got for row in x.to_pylist()] == [spans.word_spans(t or "") for t in texts]
+
+
+def test_spans_say_their_own_text(spark):
+    long = "né " * 400_000 + "end. Ünd so!"
+    df = spark.createDataFrame([(1, "One two.\nThree, four!"), (2, None), (3, long)], "id int, text string")
+    rows = df.select("id", spans.said_words("text").alias("w"), spans.said_sentences("text").alias("s"), spans.normal_map("text").alias("n"), spans.deobfuscated("text").alias("d")).orderBy("id").collect()
+    assert [x.own for x in rows[0].s] == ["One two", "Three, four"] and [(x.start, x.own) for x in rows[0].w][2] == (9, "Three,")
+    assert rows[1].w == [] and rows[1].s == [] and rows[1].n == ("", []) and rows[1].d is None
+    assert [(x.start, x.end, x.own) for x in rows[2].w] == [(s, e, long[s:e]) for s, e in spans.word_spans(long)]
+    assert (rows[2].n.norm, rows[2].n.idx) == spans.normalise(long) and rows[2].d == long
+
+
 def test_scan_units_join_fragments():
     t = "Yes. This is a full sentence. No!\nShort\nAnother whole line here."
     assert [t[s:e] for s, e in spans.scan_units(t)] == ["Yes. This is a full sentence. No", "Short", "Another whole line here"]
