@@ -154,6 +154,18 @@ def test_policies_by_change_and_as_of(spark):
     assert policy.as_of(none, versions).count() == 0 and policy.as_of(spark.createDataFrame(rows[:9], none.schema), versions.limit(0)).count() == 9
 
 
+def test_many_changes_of_one_surface_are_not_met_row_by_row(spark):
+    rng = random.Random(6)
+    pick = lambda *xs: rng.choice([None, None, *xs])
+    changes = [("post", at(rng.randint(0, 300_000)), i, pick(True, False), "open" if i == 700 else None, pick(0.2, 0.3), pick(0.1, 0.5, 0.7)) for i in range(1500)]
+    versions = policy.policy_versions(spark.createDataFrame(changes, "surface string, at timestamp, seq int, enabled boolean, level string, allow_max double, reject_min double"), LEVELS).localCheckpoint()
+    got = [(r["at"].replace(tzinfo=timezone.utc), r.enabled, r.level, r.allow_max, r.reject_min) for r in versions.orderBy("at").collect()]
+    assert got == plain_versions(changes)["post"]
+    rows = spark.range(3000).selectExpr("int(id) AS id", "'post' AS surface", "timestamp_seconds(id * 100) AS ts")
+    out = policy.as_of(rows, versions)
+    assert out.count() == 3000 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_stream_sees_a_policy_changed_between_batches(spark, tmp_path):
     schema = "id int, surface string, ts timestamp"
     table, seen = [("post", at(0), 0, None, "open", None, None)], []
