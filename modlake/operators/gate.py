@@ -147,8 +147,9 @@ def located(docs: DataFrame, rules: list[Rule], text: str = "text", key: str = "
     def spans(texts: pd.Series, ids: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "end": e} for s, e in match_spans(t, by_id[i])] for t, i in zip(texts, ids)])
 
-    fired = docs.select(key, text, F.explode("gate_matches.rule_id").alias("rule_id"))
-    return fired.select(key, "rule_id", F.explode(spans(text, "rule_id")).alias("s")).select(key, "rule_id", "s.start", "s.end")
+    # outer, since a filter for lists that are empty would run the gate and the search a second time
+    fired = docs.select(key, text, F.explode_outer("gate_matches.rule_id").alias("rule_id")).where("rule_id is not null")
+    return fired.select(key, "rule_id", F.explode_outer(spans(text, "rule_id")).alias("s")).where("s is not null").select(key, "rule_id", "s.start", "s.end")
 
 
 #: A small pack of our own words, in kind like a moderation service's.

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 CELLS = 512  # for each power of two
 
 
+def at_or_under(value: Column, grid: list[float]) -> Column:
+    """How many numbers of a grid are at or under a value; the value is asked for once, not for each number; a null counts none."""
+    return F.aggregate(F.transform(F.array(value), lambda v: F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g <= v))), F.lit(0), lambda a, n: a + n)
+
+
 def _steps(size: Column) -> Column:
     """A number that rises with a size above 0, CELLS steps for each power of two."""
     held = F.least(size, F.lit(1.7e308))

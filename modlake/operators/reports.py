@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranks import at_ranks
+from .ranks import at_or_under, at_ranks
 
 
 def _share(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -26,7 +26,7 @@ def places(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame
 
 def grid_by(df: DataFrame, by: str, grid: list[float]) -> DataFrame:
     """Per group and threshold: recall of y = 1 and share of y = 0 at or over it. A row adds to one cell of the grid."""
-    at = F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g <= F.col("p")))
+    at = at_or_under(F.col("p"), grid)
     cells = df.groupBy(by, at.alias("at")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     steps = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(float(g)).alias("threshold")) for i, g in enumerate(grid)])).alias("s")
     over = cells.select("*", steps)

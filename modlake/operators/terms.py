@@ -104,8 +104,13 @@ def places(toks: Column, lists: Iterable[Terms]) -> Column:
     lists = [t for t in lists if t.first]
     first = frozenset().union(*(t.first for t in lists)) if lists else frozenset({""})
     longest = max((n for t in lists for n in t.phrases), default=1)
-    marked = F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda m: m["t"].isin(*first))
-    return F.transform(marked, lambda m: F.struct(m["at"].alias("at"), F.slice(toks, m["at"] + 1, F.lit(longest)).alias("next")))
+
+    def of(own: Column) -> Column:
+        marked = F.filter(F.transform(own, lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda m: m["t"].isin(*first))
+        return F.transform(marked, lambda m: F.struct(m["at"].alias("at"), F.slice(own, m["at"] + 1, F.lit(longest)).alias("next")))
+
+    # one element, so that the tokens are made once and not for each place
+    return F.transform(F.array(toks), of)[0]
 
 
 def lexicon_hit(text: Column, lexicon: Iterable[str], lookalikes: str = "$@013457!", letters: str = "saoieasti", least: int = 3) -> Column:

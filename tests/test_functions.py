@@ -1,5 +1,7 @@
 """Span functions, rules, sinks and streaming forms on small cases."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from modlake.functions import spans
@@ -138,3 +140,19 @@ def test_file_kinds_and_hashtags(spark):
     df = spark.createDataFrame([(b"%PDF-1.7",), (b"\x89PNG....",), (b"....ftypisom",), (b"RIFF....WEBP",), (b"x",)], "content binary")
     assert [r[0] for r in df.select(T.file_kind(F.col("content"))).collect()] == ["pdf", "image", "video", "image", "unknown"]
     assert spark.range(1).select(T.hashtag_words(F.lit("#SaveTheDate2024_now"))).first()[0] == "Save The Date 2024 now"
+
+
+def test_what_a_row_needs_is_made_once(spark):
+    """Words and tokens by window and place, the gate by rule, scores by threshold: each stands in the plan once."""
+    from modlake.operators import evaluation, reports
+
+    docs = spark.createDataFrame([("all in all rights reserved a b c", "src0"), ("", None), (None, "x")], "text string, source string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    split = docs.select(T.windows(F.split("text", " "), 2, 1).alias("w"))
+    assert plan(split).count("split(") == 1 and [len(r.w) if r.w is not None else None for r in split.collect()] == [7, 0, 0]
+    matches = gate.check(docs, gate.DEFAULT_RULES, surface="source").select(F.explode_outer("gate_matches").alias("m")).where("m is not null")
+    assert [(r.m.rule_id, r.m.hits) for r in matches.collect()] == [("licence.notice", 1)]
+    assert plan(matches).count("regexp_extract_all(coalesce") == 1
+    scored = spark.range(10).select(F.lit("a").alias("g"), F.col("id").alias("y"), T.code_sum_score(F.concat(F.lit("x"), F.col("id"))).alias("p"))
+    for df in (evaluation.sweep(scored, [0.1, 0.2]), reports.grid_by(scored, "g", [0.1, 0.2])):
+        assert "ascii" in plan(df) and not re.search(r"array\(0\.1[^\n]*ascii", plan(df))
