@@ -2,31 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXEMPLARS = 20_000  # marked pictures that are sent to all tasks at most; more are taken in blocks
+PACK, SALTS = 1024, 32  # vectors of one length in one row; places at which packs meet
+EPS = 1e-9  # more than sums of products in another order differ by, for lengths of 1
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``size, n, keys, us``: up to PACK vectors ``(key, u)`` of one length a row, as bytes of whole numbers and doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def flush(size: int) -> pa.RecordBatch:
+            keys, us = held.pop(size)
+            return pa.RecordBatch.from_arrays([pa.array([size]), pa.array([len(keys)]), pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(us).tobytes()], pa.binary())], ["size", "n", "keys", "us"])
 
+        for b in batches:
+            for key, u in zip(b.column("key").to_pylist(), b.column("u")):
+                own = u.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                keys, us = held.setdefault(len(own), ([], []))
+                keys.append(key)
+                us.append(own)
+                if len(keys) == PACK:
+                    yield flush(len(own))
+        for size in list(held):
+            yield flush(size)
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(F.col("key").cast("long").alias("key"), "u").mapInArrow(run, "size long, n long, keys binary, us binary")
+
+
+def _nearest(u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest sum of products of each row of ``u`` with rows of ``v``, added up from the left, and its smallest id.
+
+    Products of matrices add in an order of their own: they say which pairs come near the largest, and these are added
+    up anew.
+    """
+    with np.errstate(invalid="ignore"):
+        rough = u @ v.T
+        slack = EPS * (1 + np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1).max())
+    rough[np.isnan(rough)] = np.inf  # as in Spark, above all numbers
+    at, of = np.nonzero(rough >= (rough.max(1) - np.nan_to_num(slack, nan=1.0, posinf=1.0))[:, None])
+    sums = np.zeros(len(at))
+    for k in range(u.shape[1]):
+        sums += u[at, k] * v[of, k]
+    order = np.lexsort((ids[of], -sums, ~np.isnan(sums), at))
+    first = order[np.searchsorted(at[order], np.arange(len(u)))]
+    return sums[first], ids[of[first]]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            keys, ids = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["ids"], np.int64)
+            u, v = np.frombuffer(r["us"]).reshape(len(keys), -1), np.frombuffer(r["vs"]).reshape(len(ids), -1)
+            s, e = _nearest(u, v, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([r["refuses"]] * len(keys)), pa.array(s), pa.array(e)], ["id", "refuses", "s", "e"])
 
 
 def near_exemplars(pictures: DataFrame, exemplars: DataFrame, withdrawn: tuple[str, ...] = ()) -> DataFrame:
     """``id, block, allow, matched`` for each of ``pictures(id, u)``: the best similarity to ``exemplars(ex_id, u, action,
     category)`` of each action, at least 0, and the refusing one. Withdrawn categories do not speak; unit vectors of other
-    length are like nothing. Marks are a stated set: blocks of them meet all pictures, and only maxima are kept.
+    length are like nothing.
+
+    All pictures meet all marks, in products of packs of each, dealt to SALTS places; only maxima are kept, and nothing
+    goes through the driver. Equal marks of one action meet once, as the smallest of their ids.
     """
     live = exemplars.where(~F.lower(F.trim("category")).isin(*withdrawn) if withdrawn else F.lit(True))
-    blocks = max(1, -(-live.count() // EXEMPLARS))
-    part = F.pmod(F.xxhash64("ex_id"), F.lit(blocks))
-    best = None
-    for k in range(blocks):
-        own = live.where(part == k).select(F.col("ex_id"), F.col("u").alias("v"), "action")
-        met = pictures.select("id", "u").join(F.broadcast(own), F.size("u") == F.size("v")).withColumn("s", dot(F.col("u"), F.col("v")))
-        got = met.groupBy("id").agg(F.max(F.when(F.col("action") == "block", F.struct("s", (-F.col("ex_id")).alias("e")))).alias("b"), F.max(F.when(F.col("action") != "block", F.col("s"))).alias("a"))
-        best = got if best is None else best.unionByName(got)
-    best = best.groupBy("id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    live = live.where("size(u) > 0 and not exists(u, x -> x is null)").groupBy("u", F.coalesce(F.col("action") == "block", F.lit(False)).alias("refuses")).agg(F.min("ex_id").alias("key"))
+    sides = [_packed(live.where(F.col("refuses") == own)).select("size", F.col("keys").alias("ids"), F.col("us").alias("vs"), F.lit(own).alias("refuses")) for own in (True, False)]
+    marks = sides[0].unionByName(sides[1])
+    packs = _packed(pictures.where("size(u) > 0 and not exists(u, x -> x is null)").select(F.col("id").alias("key"), "u"))
+    packs = packs.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(SALTS)))
+    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = packs.join(marks, ["size", "salt"]).select("keys", "us", "ids", "vs", "refuses").mapInArrow(_meet, "id long, refuses boolean, s double, e long")
+    best = met.groupBy("id").agg(F.max(F.when(F.col("refuses"), F.struct("s", (-F.col("e")).alias("e")))).alias("b"), F.max(F.when(~F.col("refuses"), F.col("s"))).alias("a"))
     zero = F.lit(0.0)
     out = pictures.select("id").join(best, "id", "left")
     return out.select("id", F.greatest(F.coalesce("b.s", zero), zero).alias("block"), F.greatest(F.coalesce("a", zero), zero).alias("allow"), F.when(F.col("b.s") > 0, -F.col("b.e")).alias("matched"))

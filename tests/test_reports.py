@@ -69,3 +69,38 @@ def test_cells_rise_with_values_and_tell_saturated_scores_apart(spark):
     told = [cells[v] for v in sorted(values)]
     assert told == sorted(told) and min(told) > -(1 << 21) and max(told) < 1 << 21
     assert len({cells[v] for v in values if 0.998 < v < 1}) > 100 and len({cells[v] for v in values if 0 < v < 0.0019}) > 100
+
+
+def test_marks_meet_pictures_in_packs(spark):
+    """Equal to all pairs added up from the left; copies, other lengths, nulls and no numbers among them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from modlake.operators import pictures, vision
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8 if i % 9 else 5)]) for i in range(1500)]
+    rows += [(2000 + i, rows[i * 7 + 1][1]) for i in range(150)] + [(3000, [1.0, None] * 4), (3001, None), (3002, []), (3003, [float("nan")] + [1.0] * 7)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").select("id", vision.unit(F.col("x")).alias("u")).localCheckpoint()
+    marks = df.where("id % 3 = 0").select(F.col("id").alias("ex_id"), "u", F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("action"), F.lit("a").alias("category"))
+    got = {r.id: (r.block, r.allow, r.matched) for r in pictures.near_exemplars(df, marks).collect()}
+    assert len(got) == len(rows)
+    units = {r.id: r.u for r in df.collect()}
+    marked = [(r.ex_id, r.action, r.u) for r in marks.collect()]
+
+    def dot(a, b):
+        s = 0.0
+        for x, y in zip(a, b):
+            s += x * y
+        return s
+
+    for i in [*range(0, 1500, 13), *range(2000, 2150, 5), 3000, 3001, 3002]:
+        u = units[i]
+        seen = [(dot(u, v), -e, a) for e, a, v in marked if e != 3003 and u and v and len(u) == len(v) and None not in u and None not in v]
+        block, allow = max([x[:2] for x in seen if x[2] == "block"], default=(0.0, None)), max([x[0] for x in seen if x[2] == "allow"], default=0.0)
+        if not u or len(u) == 5 or None in u:  # 3003 is no number and has the length of the others
+            assert got[i] == (max(block[0], 0.0), max(allow, 0.0), -block[1] if block[0] > 0 else None), i
+        else:
+            assert got[i][0] == max(block[0], 0.0) and got[i][2] == (-block[1] if block[0] > 0 else None), i
+    assert got[3003][0] != got[3003][0] and "Broadcast" not in pictures.near_exemplars(df, marks)._jdf.queryExecution().optimizedPlan().toString()
