@@ -15,7 +15,8 @@ from .common import Scratch
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_BYTES, SHARD_TERMS = 8192, 1 << 25, 500_000
-RANGE_BITS, LONG, FIRST, QUERY_BYTES, SALTS, EPS = 5, 256, 64, 1 << 25, 16, 2e-6
+RANGE, LONG_SHARE, LONG_LEAST, LONG_BYTES = 32, 16, 16, 1 << 26
+FIRST, STEP, GROUP, MANY, QUERY_BYTES, SALTS, EPS = 32, 2048, 32, 512, 1 << 25, 16, 2e-6
 
 #: Terms are runs of ASCII letters and digits and of all bytes from 128 on; A-Z are folded to a-z, all else is a break.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -41,10 +42,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Posting lists by term in order of document, cut where a range of 32 documents ends.
+    """Posting lists by term, each with its largest impact of all.
 
-    Each piece of a list knows its range and its largest impact, each list its largest impact of all. Pieces of all
-    terms end at the same documents, so maxima of pieces can be added up by range. ``touched`` counts postings read.
+    Long lists, those of a 16th of all documents or more, stand side by side by document (the longest, up to 64 MB), with
+    the largest impact of each in every range of 32 documents. ``touched`` counts postings read.
     """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, tf: np.ndarray, mean: float):
@@ -55,71 +56,85 @@ class Shard:
         weight += tf
         self.impact /= weight
         del weight
-        place = (self.docs >> RANGE_BITS).astype(np.int32)
-        new = np.append(True, place[1:] != place[:-1])[: len(place)]
-        new[self.list[:-1]] = True
-        start = np.flatnonzero(new)
-        self.start, self.range = np.append(start, len(place)), place[start]
-        self.most = np.maximum.reduceat(self.impact, start) if len(place) else np.empty(0)
-        self.piece = np.searchsorted(start, self.list)
-        self.best = np.maximum.reduceat(self.impact, self.list[:-1]) if len(place) else np.empty(0)
-        self.ranges = (self.n >> RANGE_BITS) + 1
+        self.best = np.maximum.reduceat(self.impact, self.list[:-1]) if len(self.docs) else np.empty(0)
+        size = np.diff(self.list)
+        long = np.flatnonzero(size >= max(LONG_LEAST, self.n // LONG_SHARE))
+        long = long[np.argsort(-size[long], kind="stable")][: LONG_BYTES // (8 * max(1, self.n))]
+        self.column = np.full(len(size), -1)
+        self.column[long] = np.arange(len(long))
+        self.long = np.zeros((self.n, len(long)))
+        for j, t in enumerate(long.tolist()):
+            own = slice(self.list[t], self.list[t + 1])
+            self.long[self.docs[own], j] = self.impact[own]
+        self.peak = np.maximum.reduceat(self.long, np.arange(0, self.n, RANGE), axis=0) if self.n else self.long
         self.touched = 0
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents of this shard and of ``best``, and their scores (rounded to 6 places, then smallest id).
-
-        Cursors run through whole lists as long as they must: those with most to give for each posting come first, and
-        the k-th best sum so far is a bar that all results reach. Once the maxima of the lists left cannot reach it by
-        themselves, a document is a pivot only if its sum and the block maxima that the lists left have in its range
-        reach the bar. Their cursors go from pivot to pivot in order of document, past all other pieces; the bar rises
-        with every few pivots scored, and pivots ahead that no longer reach it are passed over.
+        """The k best documents of this shard and of ``best``, and their scores (rounded to 6 places, then smallest id)."""
+        return self.tops([(terms, idf)], k, [best])[0]
+
+    def tops(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, best: list[tuple[np.ndarray, np.ndarray] | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`top` of many queries. Those whose long lists can give most in the same places share their pivots."""
+        weights = np.zeros((len(asked), self.long.shape[1]))
+        for own, (terms, idf) in zip(weights, asked):
+            column = self.column[terms]
+            own[column[column >= 0]] = idf[column >= 0]
+        peak = weights @ self.peak.T
+        near = np.argsort(peak.argmax(1), kind="stable") if self.n else np.empty(0, np.int64)
+        out = [x or (np.empty(0, np.int64), np.empty(0)) for x in best]
+        for at in range(0, len(near), GROUP):
+            own = near[at : at + GROUP]
+            for q, found in zip(own.tolist(), self._group([asked[q] for q in own], weights[own], peak[own], k, [out[q] for q in own])):
+                out[q] = found
+        return out
+
+    def _group(self, asked: list, weights: np.ndarray, peak: np.ndarray, k: int, best: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Block-max WAND for a group of queries at once.
+
+        The k-th best score so far of a query is a bar that all its results reach. Cursors run through its short lists. A
+        document is a pivot if, for a query of the group, its sum and the block maxima that the long lists have in its
+        range reach the bar: only there are long lists entered, for all queries of the group, and the other documents are
+        passed over. The documents with the highest bounds are scored ahead, which sets the bar; then pivots are taken in
+        order of document, with bars that rise.
         """
-        ids, scores = best or (np.empty(0, np.int64), np.empty(0))
-        size = self.list[terms + 1] - self.list[terms]
-        order = np.argsort(-idf * self.best[terms] / size, kind="stable")
-        terms, idf, size = terms[order], idf[order], size[order]
-        upto, left = np.append(0, np.cumsum(size)), np.append(np.cumsum((idf * self.best[terms])[::-1])[::-1], 0)
-        total, at, run, bar = np.zeros(self.n), 0, self.n, scores[-1] if len(scores) == k else 0.0
-        while at < len(terms) and left[at] + EPS >= bar:
-            to = max(at + 1, int(np.searchsorted(upto, upto[at] + run, "right")) - 1)
-            run = min(2 * run, 4 * self.n)
-            short = at + np.flatnonzero(size[at:to] < LONG)
-            posts = _ranges(self.list[terms[short]], self.list[terms[short] + 1])
-            if len(posts):
-                total += np.bincount(self.docs[posts], self.impact[posts] * np.repeat(idf[short], size[short]), self.n)
-            for j in (at + np.flatnonzero(size[at:to] >= LONG)).tolist():
-                own = slice(self.list[terms[j]], self.list[terms[j] + 1])
-                total[self.docs[own]] += self.impact[own] * idf[j]
-            self.touched += int(upto[to] - upto[at])
-            at = to
-            if self.n >= k:
-                bar = max(bar, np.partition(total, self.n - k)[self.n - k])
-        terms, idf = terms[at:], idf[at:]
-        pieces = self.piece[terms + 1] - self.piece[terms]
-        cursor = _ranges(self.piece[terms], self.piece[terms + 1])
-        weight, place = np.repeat(idf, pieces), self.range[cursor]
-        bound = total + np.bincount(place, self.most[cursor] * weight, self.ranges)[np.arange(self.n) >> RANGE_BITS] + EPS
-        ahead, step = np.flatnonzero(bound >= max(bar, 2 * EPS)), FIRST
-        while len(ahead):
-            pivots, ahead = ahead[:step], ahead[step:]
-            chosen = np.zeros(self.ranges, bool)
-            chosen[pivots >> RANGE_BITS] = True
-            use = chosen[place]
-            own = cursor[use]
-            n = self.start[own + 1] - self.start[own]
-            posts = _ranges(self.start[own], self.start[own + 1])
+        total, bars = np.zeros((len(asked), self.n)), np.full(len(asked), 2 * EPS)
+        bound = np.repeat(peak, RANGE, axis=1)[:, : self.n]
+        first = max(FIRST, 4 * k)
+        for j, (terms, idf) in enumerate(asked):
+            terms, idf = terms[self.column[terms] < 0], idf[self.column[terms] < 0]
+            if len(best[j][1]) == k:
+                bars[j] = max(bars[j], best[j][1][-1])
+            if peak[j].max() + (idf * self.best[terms]).sum() + EPS < bars[j]:
+                bound[j] = -1.0  # nothing here can reach the bar
+                continue
+            posts = _ranges(self.list[terms], self.list[terms + 1])
+            total[j] = np.bincount(self.docs[posts], self.impact[posts] * np.repeat(idf, self.list[terms + 1] - self.list[terms]), self.n)
             self.touched += len(posts)
-            score = (total[pivots] + np.bincount(self.docs[posts], self.impact[posts] * np.repeat(weight[use], n), self.n)[pivots]).round(6)
-            hit = np.flatnonzero(score > 0)
-            ids, scores = np.append(ids, self.ids[pivots[hit]]), np.append(scores, score[hit])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-            if len(scores) == k:
-                bar = max(bar, scores[-1])
-                ahead = ahead[bound[ahead] >= bar]
-            step *= 2
-        return ids, scores
+            bound[j] += total[j]
+            bound[j] += EPS
+            if self.n > first:
+                high = np.argpartition(bound[j], self.n - first)[self.n - first :]
+                score = total[j, high] + self.long[high] @ weights[j]
+                bars[j] = max(bars[j], np.partition(score, first - k)[first - k])
+        n_long, found = np.count_nonzero(weights, axis=1).sum(), list(best)
+        for at in range(0, self.n, STEP):
+            pivots = at + np.flatnonzero((bound[:, at : at + STEP] >= bars[:, None]).any(0))
+            if not len(pivots):
+                continue
+            self.touched += int(len(pivots) * n_long)
+            scores = weights @ self.long[pivots].T
+            scores += total[:, pivots]
+            for j, own in enumerate(scores):
+                hit = np.flatnonzero(own >= bars[j] - EPS)
+                score = own[hit].round(6)
+                hit, score = hit[score > 0], score[score > 0]
+                if len(hit):
+                    ids, score = np.append(found[j][0], self.ids[pivots[hit]]), np.append(found[j][1], score)
+                    order = np.lexsort((ids, -score))[:k]
+                    found[j] = ids[order], score[order]
+                    if len(order) == k:
+                        bars[j] = max(bars[j], found[j][1][-1])
+        return found
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -135,7 +150,15 @@ def build_index(docs: DataFrame) -> DataFrame:
         tf = np.diff(np.append(start, len(key)))
         key = key[start]
         counts = np.bincount(key >> 16, minlength=len(numbers))
-        arrays = [np.array(ids, np.int64), sizes, counts.astype(np.uint32), (key & 0xFFFF).astype(np.uint16), tf.astype(np.min_scalar_type(tf.max(initial=0)))]
+        lead = np.zeros(len(ids), np.int64)
+        np.maximum.at(lead, key & 0xFFFF, tf << 32 | key >> 16)
+        order = np.lexsort((sizes, lead & 0xFFFFFFFF))  # documents alike next to each other: their ranges have low maxima
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        key = key >> 16 << 16 | place[key & 0xFFFF]
+        own = np.argsort(key)
+        key, tf, ids, sizes = key[own], tf[own], np.array(ids, np.int64)[order], sizes[order]
+        arrays = [ids, sizes, counts.astype(np.uint32), (key & 0xFFFF).astype(np.uint16), tf.astype(np.min_scalar_type(tf.max(initial=0)))]
         terms = pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(list(numbers), pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(sizes.sum())]), terms, *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], ["n", "total", "terms", "ids", "sizes", "counts", "docs", "tf"])
 
@@ -214,10 +237,11 @@ def _find(sent: Broadcast[Block], mean: float, k: int):
                 docs = raw("docs", np.uint16)
                 shard = Shard(raw("ids", np.int64), raw("sizes", np.int64), raw("counts", np.uint32), docs, np.frombuffer(tf := b.column("tf")[row].as_buffer(), f"u{tf.size // max(1, len(docs)) or 1}"), mean)
                 place = pc.fill_null(pc.index_in(block.terms, value_set=b.column("terms")[row].values), -1).to_numpy()
-                for q in range(len(block.keys)):
-                    own = block.codes[block.edges[q] : block.edges[q + 1]]
-                    own = own[place[own] >= 0]
-                    best[q] = shard.top(place[own], block.idf[own], k, best.get(q))
+                for at in range(0, len(block.keys), MANY):
+                    many = range(at, min(at + MANY, len(block.keys)))
+                    own = [block.codes[block.edges[q] : block.edges[q + 1]] for q in many]
+                    own = [c[place[c] >= 0] for c in own]
+                    best.update(zip(many, shard.tops([(place[c], block.idf[c]) for c in own], k, [best.get(q) for q in many])))
         if best:
             many = [len(best[q][0]) for q in range(len(block.keys))]
             yield pa.RecordBatch.from_arrays([pa.array([key for key, m in zip(block.keys, many) for _ in range(m)], pa.string()), *(pa.array(np.concatenate([best[q][c] for q in range(len(block.keys))])) for c in (0, 1))], ["text_key", "doc_id", "score"])

@@ -399,6 +399,31 @@ def test_pruning_changes_nothing():
     assert sorted(shard.top(np.arange(len(lists)), idf, 10, high)[0]) == high[0].tolist() and shard.touched - before < len(docs) / 3
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_many_queries_share_a_shard(alike):
+    """Queries taken in groups find what each finds in all documents, also after the bars of an earlier shard."""
+    r = np.random.default_rng(5)
+    n, kinds = 900, 4
+    kind = np.sort(r.integers(0, kinds, n)) if alike else r.integers(0, kinds, n)
+    lists = [np.flatnonzero((kind == t % kinds) & (r.random(n) < 0.7) | (r.random(n) < 0.01)) for t in range(60)]
+    docs, counts = np.concatenate(lists), np.array(list(map(len, lists)))
+    shard = search.Shard(r.permutation(n), r.integers(20, 90, n), counts, docs, r.integers(1, 4, len(docs)), 50.0)
+    idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+    full = np.zeros((60, n))
+    full[np.repeat(np.arange(60), counts), docs] = shard.impact
+    asked = [np.flatnonzero((np.arange(60) % kinds == q % kinds) & (r.random(60) < 0.5)) for q in range(70)] + [np.empty(0, np.int64)]
+    high = (np.arange(9) + n, np.full(9, 1e6))
+    best = [high if q % 10 == 3 else (np.array([n]), np.array([0.5])) if q % 10 == 4 else None for q in range(71)]
+    for q, (ids, scores) in enumerate(shard.tops([(t, idf[t]) for t in asked], 9, best)):
+        total = (idf[asked[q]] @ full[asked[q]]).round(6)
+        old = best[q] or (np.empty(0, np.int64), np.empty(0))
+        own, score = np.append(old[0], shard.ids[total > 0]), np.append(old[1], total[total > 0])
+        want = np.lexsort((own, -score))[:9]
+        assert ids.tolist() == own[want].tolist() and np.allclose(scores, score[want], atol=2e-6)
+    if alike:  # of documents of the other kinds next to none is looked at
+        assert shard.touched < 0.7 * n * sum(map(len, asked))
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_pruning_on_random_lists(seed):
     r = np.random.default_rng(seed)
