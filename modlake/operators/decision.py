@@ -108,8 +108,8 @@ def cascade(docs: DataFrame, rules: list, scorer: Callable[[Column], Column], le
     reading. Spans that the pre-filter finds under ``clear_below`` in every reading are recorded with its score and
     never escalate. ``scores`` are all spans scanned, ``issues`` those that decided, of which no two overlap.
 
-    The gate runs once, its rows are written; each of the three readings is one join with the scores of texts that are
-    not known yet. ``doc_id`` is one row's. Null texts are empty.
+    The gate runs once, its rows are written, and so are the segments and units that are read of them; each of the three
+    readings is one join with the scores of texts that are not known yet. ``doc_id`` is one row's. Null texts are empty.
     """
     rounds = Rounds(docs.sparkSession, "cascade")
     memo = Memo(rounds, scorer)
@@ -127,7 +127,7 @@ def cascade(docs: DataFrame, rules: list, scorer: Callable[[Column], Column], le
 
     said = live.join(whole.where("level < 2").select("doc_id"), "doc_id", "left_semi")
     subjects, most = scan.subjects, scan.most_segments
-    parts = _parts(said, lambda text: [(s, e, "segment") for s, e in spans.addressed_segments(text, subjects, most)]).withColumn("low_syntax", F.lit(False))
+    parts = rounds.write(_parts(said, lambda text: [(s, e, "segment") for s, e in spans.addressed_segments(text, subjects, most)]).withColumn("low_syntax", F.lit(False)))
     segments = _read(parts, memo).join(bars, "doc_id").withColumn("level", route(F.col("risk"), F.col("lo"), F.col("hi"))).where("level > 0")
     entry = lambda by=None: F.struct("start", "end", "kind", "risk", "low_syntax", F.lit(by).cast("string").alias("by"))
     segments = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(entry().alias("e"), "level"))).alias("x"))
@@ -137,7 +137,7 @@ def cascade(docs: DataFrame, rules: list, scorer: Callable[[Column], Column], le
 
     reading = (F.col("level") < 2) & (F.coalesce("seg_level", F.lit(0)) < 2)
     scanned = state.where((reading | (F.col("model") == 2)) if scan.highlight_on_reject else reading).select("doc_id")
-    units = scan_units(live.join(scanned, "doc_id", "left_semi"), scan)
+    units = rounds.write(scan_units(live.join(scanned, "doc_id", "left_semi"), scan))
     if prefilter is None:
         scored = _read(units, memo).withColumn("by", F.lit(None).cast("string"))
     else:
