@@ -55,20 +55,50 @@ def has_syntax(span: Column, markers: Iterable[str] = MARKERS) -> Column:
 
 
 def apart(spans: Column) -> Column:
-    """Spans ``(start, end, kind, risk, ...)`` of which no two overlap: sentences before windows, riskiest first, ties by place."""
-    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(F.when(x["kind"] == "sentence", 0).otherwise(1).alias("k"), (-x["risk"]).alias("r"), x["start"].alias("s"), x["end"].alias("e"), x.alias("x"))))
-    keep = lambda kept, y: F.when(F.exists(kept, lambda k: (y["s"] < k["x"]["end"]) & (k["s"] < y["e"])), kept).otherwise(F.array_append(kept, F.struct(y["s"].alias("s"), y["x"].alias("x"))))
-    none = F.slice(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x.alias("x"))), 1, 0)
-    return F.transform(F.array_sort(F.aggregate(ranked, none, keep)), lambda k: k["x"])
+    """Spans ``(start, end, kind, risk, ...)`` of which no two overlap: sentences before windows, riskiest first, ties by place.
+
+    Spans are chosen within chains of overlapping ones, since none of another chain is in their way. A fold copies what
+    it holds at each step, so it holds the numbers of those kept.
+    """
+    placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), F.when(x["kind"] == "sentence", 0).otherwise(1).alias("k"), (-x["risk"]).alias("r"), x.alias("x"))))
+    upto = lambda n: F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+    block = lambda i: F.floor(i / 512).cast("int")
+
+    def measured(ys: Column) -> Column:
+        """With the largest end before each block of 512."""
+        ends = F.transform(ys, lambda y: y["e"])
+        before = F.transform(upto(block(F.array_size(ys) - 1) + 1), lambda b: F.array_max(F.slice(ends, F.lit(1), b * 512)))
+        return F.struct(ys.alias("ys"), ends.alias("ends"), before.alias("before"))
+
+    def chained(m: Column) -> Column:
+        reach = lambda i: F.greatest(F.get(m["before"], block(i)), F.array_max(F.slice(m["ends"], block(i) * 512 + 1, i % 512)))
+        firsts = F.filter(upto(F.array_size(m["ys"])), lambda i: F.coalesce(F.get(m["ys"], i)["s"] >= reach(i), F.lit(True)))
+        return F.struct(m["ys"].alias("ys"), firsts.alias("firsts"))
+
+    def chosen(c: Column) -> Column:
+        first = lambda g: F.coalesce(F.get(c["firsts"], g), F.array_size(c["ys"]))
+        return F.flatten(F.transform(F.transform(upto(F.array_size(c["firsts"])), lambda g: F.slice(c["ys"], first(g) + 1, first(g + 1) - first(g))), kept))
+
+    def kept(ys: Column) -> Column:
+        ranked = F.transform(F.array_sort(F.transform(ys, lambda y, i: F.struct(y["k"].alias("k"), y["r"].alias("r"), i.alias("i")))), lambda y: y["i"])
+        meet = lambda i, j: (F.get(ys, i)["s"] < F.get(ys, j)["e"]) & (F.get(ys, j)["s"] < F.get(ys, i)["e"])
+        keep = lambda own, i: F.when(F.exists(own, lambda j: meet(i, j)), own).otherwise(F.array_append(own, i))
+        return F.transform(F.array_sort(F.aggregate(ranked, F.array().cast("array<int>"), keep)), lambda i: F.get(ys, i)["x"])
+
+    # one element at each step, so that what is made once has a name below
+    return F.transform(F.transform(F.transform(F.array(placed), measured), chained), chosen)[0]
 
 
 @dataclass(frozen=True)
 class Scan:
-    """What is read besides the whole text. ``low_syntax_min`` is the bar of spans that are hardly sentences."""
+    """What is read besides the whole text. ``low_syntax_min`` is the bar of spans that are hardly sentences.
+
+    All units of a text are read, whatever its length; ``most_units`` is for a service that wants a limit.
+    """
 
     subjects: tuple[str, ...] = ("he", "she", "his", "her", "him", "they", "them", "their")
     most_segments: int = 3
-    most_units: int = 1700
+    most_units: int | None = None
     window_words: int = 40
     window_stride: int = 20
     low_syntax_min: float = 0.90
@@ -95,7 +125,7 @@ def _parts(live: DataFrame, find: Callable[[str], list]) -> DataFrame:
 def scan_units(live: DataFrame, scan: Scan) -> DataFrame:
     """``doc_id, start, end, kind, shown, own, other, low_syntax``: sentences where there are two or more, and windows of long ones."""
     size, stride, most = scan.window_words, scan.window_stride, scan.most_units
-    units = _parts(live, lambda text: spans.windows_over(text, size, stride, most))
+    units = _parts(live, lambda text: spans.windows_over(text, size, stride)[:most])
     return units.withColumn("low_syntax", ~has_syntax(F.col("shown"), scan.markers))
 
 
